@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from arbora.llm import simhash
+from arbora.llm import langid, licenses, packing, quality, simhash, substring
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (simhash.op4_simhash_near_dedup,)}
+    found = (
+        packing.op2_packing,
+        simhash.op4_simhash_near_dedup,
+        substring.op5_substring_dedup,
+        quality.op6_quality_classifier,
+        licenses.op9_license_scan,
+        langid.op10_language_id,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": substring.OP5_SQL, "op9_license_scan": licenses.OP9_SQL}
