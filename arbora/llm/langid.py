@@ -87,7 +87,10 @@ def train_embeddings(ids: list[np.ndarray], y: np.ndarray, n_classes: int, epoch
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, share: float = REJECTED_SHARE) -> tuple[float, float]:
-    """The temperature with the least log loss, and the confidence that all but ``share`` of the right predictions reach."""
+    """The temperature with the least log loss, and the confidence that all but ``share`` of the right predictions reach.
+
+    The latter is one half at most: a prediction that is likelier right than wrong is never rejected.
+    """
 
     def soft(t: float) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
@@ -98,7 +101,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, share: float = REJECTED_SHARE) -> tu
     t = float(grid[int(np.argmin(loss))])
     p = soft(t)
     right = p.argmax(axis=1) == y
-    return t, float(np.quantile(p.max(axis=1)[right], share)) if right.any() else 0.0
+    return t, min(0.5, float(np.quantile(p.max(axis=1)[right], share))) if right.any() else 0.0
 
 
 def fold(id_col: str = "doc_id", folds: int = 4) -> Column:
