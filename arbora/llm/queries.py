@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from arbora.llm import langid, licenses, packing, quality, simhash, substring
+from arbora.llm import langid, licenses, packing, pieces, pq, quality, simhash, substring, tokens, topk
 
 
 def queries() -> dict:
     found = (
+        tokens.op1_token_counts,
         packing.op2_packing,
+        pq.op3_embedding_near_dedup,
         simhash.op4_simhash_near_dedup,
         substring.op5_substring_dedup,
         quality.op6_quality_classifier,
+        topk.op7_exact_top_k,
+        pieces.op8_sentencepiece_sampling,
         licenses.op9_license_scan,
         langid.op10_language_id,
     )
@@ -18,4 +22,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substring.OP5_SQL, "op9_license_scan": licenses.OP9_SQL}
+    return {
+        "op3_embedding_near_dedup": pq.OP3_SQL,
+        "op5_substring_dedup": substring.OP5_SQL,
+        "op7_exact_top_k": topk.OP7_SQL,
+        "op9_license_scan": licenses.OP9_SQL,
+    }
