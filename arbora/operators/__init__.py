@@ -1 +1 @@
-"""..."""
+"""Phylogeny operators: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""..."""
+"""Sources, sinks and derived input views."""
