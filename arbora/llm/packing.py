@@ -17,7 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CONTEXT = 4096
 END_ID = 2
 #: Words whose ids a Python worker keeps; beyond that it starts anew, which costs time and changes nothing.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
@@ -66,7 +66,7 @@ def powers_of_two(n: int, limit: int) -> list[int]:
     return [limit] * (n // limit) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _groups(texts: list[bytes], size: int = 1 << 23) -> Iterator[list[bytes]]:
+def _groups(texts: Iterable[bytes], size: int = 1 << 21) -> Iterator[list[bytes]]:
     group, total = [], 0
     for t in texts:
         group.append(t)
@@ -84,7 +84,7 @@ def _packer(path: str, context: int, end_id: int, keep_ids: bool) -> Callable:
         tok = word_tokenizer(path)
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())
-            for group in _groups([(t.as_py() or "").encode() for t in batch.column(1)]):
+            for group in _groups((t.as_py() or "").encode() for t in batch.column(1)):
                 rows: list[list] = [[] for _ in range(6 + keep_ids)]
                 for data in tok.encode(group):
                     doc_id, data, start = next(ids), data + end, 0

@@ -317,7 +317,7 @@ def _finish(vocab: Pieces, lattice: Lattice, s: Sampler) -> list[tuple[np.ndarra
     return out
 
 
-def _runner(path: str, k: int, seed: int, keep_ids: bool, chars: int = 1_000_000) -> Callable:
+def _runner(path: str, k: int, seed: int, keep_ids: bool, chars: int = 300_000) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces_of(path)
         for batch in batches:
