@@ -99,9 +99,9 @@ def agglomerate(trees: DataFrame, freq: DataFrame, kind: str = "min", metric: st
     else:
         vec = freq.groupBy("tree", F.col("node").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "f"))), lambda s: s["f"]).alias("x"))
         data = pairwise_distance(vec, metric, keys=["tree"])
-    data = stash(data, "linkage_data")
+    data = stash(data, "linkage_data", release=False)
     own = F.transform("parents", lambda p, i: F.when(p >= 0, F.array((i + 1).cast("int"))).otherwise(F.array().cast("array<int>")))
-    state = stash(trees.select("tree", "parents", own.alias("clusters"), F.lit(True).alias("linear"), F.lit(True).alias("changed")), "state")
+    state = stash(trees.select("tree", "parents", own.alias("clusters"), F.lit(True).alias("linear"), F.lit(True).alias("changed")), "state", release=False)
     out = [state]
     rounds = state.agg(F.max(F.size(F.filter("parents", lambda p: p >= 0)))).first()[0] or 0
     for _ in range(rounds):
@@ -114,7 +114,7 @@ def agglomerate(trees: DataFrame, freq: DataFrame, kind: str = "min", metric: st
         merged = F.array_sort(F.array_union(F.get("clusters", F.col("one")), F.get("clusters", F.col("two"))))
         clusters = F.transform("clusters", lambda c, i: F.when(i == F.col("one"), merged).when(i == F.col("two"), F.array().cast("array<int>")).otherwise(c))
         rows = rows.select("tree", F.when(some, parents).otherwise(F.col("parents")).alias("parents"), F.when(some, clusters).otherwise(F.col("clusters")).alias("clusters"), (F.col("linear") & some).alias("linear"), some.alias("changed"))
-        state = stash(rows, "state")
+        state = stash(rows, "state", release=False)
         out.append(state)
     every = out[0]
     for s in out[1:]:

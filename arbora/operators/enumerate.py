@@ -19,7 +19,7 @@ def enumerate_trees(freq: DataFrame, max_trees: int | None = None) -> DataFrame:
     """
     vec = freq.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "f"))), lambda s: s["f"]).alias("f"))
     order = F.row_number().over(Window.orderBy(F.desc(F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 12)), "node")) - 1
-    vec = stash(vec.withColumn("place", order).withColumn("_one", F.lit(1)), "ordered")
+    vec = stash(vec.withColumn("place", order).withColumn("_one", F.lit(1)), "ordered", release=False)
     n = vec.count() - 1
     head = vec.where("place = 0")
     if n < 0 or head.first()["node"] != 0:
@@ -33,7 +33,7 @@ def enumerate_trees(freq: DataFrame, max_trees: int | None = None) -> DataFrame:
         less = F.zip_with(F.col("r.left"), F.col("fu"), lambda a, b: a - b)
         rest = F.transform("rest", lambda x: F.when(x["node"] == F.col("r.node"), F.struct(x["node"].alias("node"), less.alias("left"))).otherwise(x))
         parents = F.transform("parents", lambda p, i: F.when(i + 1 == F.col("u"), F.col("r.node")).otherwise(p).cast("int"))
-        state = stash(rows.select(parents.alias("parents"), F.concat(rest, F.array(F.struct(F.col("u").alias("node"), F.col("fu").alias("left")))).alias("rest")), "partial")
+        state = stash(rows.select(parents.alias("parents"), F.concat(rest, F.array(F.struct(F.col("u").alias("node"), F.col("fu").alias("left")))).alias("rest")), "partial", release=False)
         if max_trees is not None and state.count() > max_trees:
             raise RuntimeError(f"over {max_trees} partial trees at node {place} of {n}")
     return state.select("parents")

@@ -64,45 +64,48 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
     is a function of (seed, instance, parents), so results don't depend on partitioning.
     """
     p = p or SearchParams()
-    cells = stash(cells.select("node", "sample", "v", "n", "omega"), "cells")
+    cells = stash(cells.select("node", "sample", "v", "n", "omega"), "cells", release=False)
     n, m, rows, high = cells.agg(F.count_distinct("node"), F.count_distinct("sample"), F.count(F.lit(1)), F.max("node")).first()
     if not rows or rows != n * m or high != n:
         raise ValueError("cells must hold each of the nodes 1..n once for each sample")
-    packed = stash(pack(cells), "packed")
-    order = stash(_orders(cells, p), "order")
+    packed = stash(pack(cells), "packed", release=False)
+    order = stash(_orders(cells, p), "order", release=False)
     root = F.transform(F.sequence(F.lit(1), F.lit(n + 1)), lambda i: F.when(i == 1, 1.0).otherwise(float("nan")))
     first = with_data(cells.sparkSession.range(p.instances).select(F.col("id").cast("int").alias("instance")), packed)
     fits = F.transform("samples", lambda s: F.struct(s["sample"].alias("sample"), root.alias("f"), root.alias("eta")))
-    first = first.select("instance", F.array_repeat(F.lit(-1), n).alias("parents"), F.lit(0).alias("step"), F.lit(0.0).alias("score"), F.lit(0.0).alias("llh"), fits.alias("fits"))
-    queue = stash(first, "queue")
-    seen, done = queue.select("instance", "parents"), None
-    size = {i: p.beam_width for i in range(p.instances)}
-    for _ in range(max_steps):
+    queue = first.select("instance", F.array_repeat(F.lit(-1), n).alias("parents"), F.lit(0).alias("step"), F.lit(0.0).alias("score"), F.lit(0.0).alias("llh"), fits.alias("fits"))
+    columns, seen, done = queue.columns, None, None
+    size = dict.fromkeys(range(p.instances), p.beam_width)
+    for step in range(max_steps):
         ranked = queue.withColumn("rn", F.row_number().over(Window.partitionBy("instance").orderBy("score", "parents")))
         left = F.element_at(F.create_map(*[F.lit(x) for i in size for x in (i, size[i])]), F.col("instance"))
-        wide = ranked.where(F.col("rn") <= p.expansion_factor).drop("rn")
-        kept = ranked.where((F.col("rn") > p.expansion_factor) & (F.col("rn") <= left)).drop("rn")
-        new = stash(_expand(wide, order, packed, n, p), "children")
-        fresh = new.join(seen, ["instance", "parents"], "left_anti") if seen is not None else new
-        fresh = fresh.withColumn("nth", F.row_number().over(Window.partitionBy("instance", "parents").orderBy("score", "parent_score"))).where("nth = 1").drop("nth")
-        fresh = stash(fresh, "fresh")
-        complete = fresh.where(F.col("step") == n)
-        finished = {r[0]: r[1] for r in complete.groupBy("instance").agg(F.count_distinct("origin")).collect()}  # one small row for each instance
-        if finished:
-            for i, parents in finished.items():
-                size[i] = max(0, size[i] - parents)
-            part = complete.select("instance", "parents", "score", "llh", "fits")
-            done = stash(part if done is None else done.unionByName(part), "done")
-        queue = stash(kept.unionByName(fresh.where(F.col("step") < n).select(*kept.columns)), "queue")
-        seen = stash(seen.unionByName(fresh.select("instance", "parents")), "seen")
-        if queue.isEmpty():
+        fresh = _expand(ranked.where(F.col("rn") <= p.expansion_factor).drop("rn"), order, packed, n, p)
+        if seen is not None:
+            fresh = fresh.join(seen, ["instance", "parents"], "left_anti")
+        again = Window.partitionBy("instance", "parents").orderBy("score", "origin")
+        fresh = fresh.withColumn("nth", F.row_number().over(again)).where("nth = 1").select(*columns, "origin", F.lit(True).alias("new"))
+        kept = ranked.where((F.col("rn") > p.expansion_factor) & (F.col("rn") <= left)).select(*columns, F.lit(None).cast("array<int>").alias("origin"), F.lit(False).alias("new"))
+        state = stash(fresh.unionByName(kept), "state", release=step % 10 == 9)
+        whole = F.col("step") == n
+        counts = state.groupBy("instance").agg(F.count_distinct(F.when(whole, F.col("origin"))).alias("finished"), F.count_if(~whole).alias("left")).collect()  # one small row for each instance
+        for r in counts:
+            size[r["instance"]] = max(0, size[r["instance"]] - r["finished"])
+        if any(r["finished"] for r in counts):
+            part = state.where(whole).select("instance", "parents", "score", "llh", "fits")
+            done = part if done is None else done.unionByName(part)
+        if not sum(r["left"] for r in counts):
             break
+        queue = state.where(~whole).select(*columns)
+        found = state.where("new").select("instance", "parents")
+        seen = found if seen is None else seen.unionByName(found)
+        if step % 10 == 9:
+            seen = stash(seen, "seen")
     last = Window.partitionBy("instance").orderBy("score", "parents")
     return done.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= p.beam_width).drop("rn")
 
 
 def _expand(branches: DataFrame, order: DataFrame, packed: DataFrame, n: int, p: SearchParams) -> DataFrame:
-    """Children of ``branches``, fitted, scored and cut: instance, parents, step, score, llh, fits, origin, parent_score."""
+    """Children of ``branches``, fitted, scored and cut: instance, parents, step, score, llh, fits, origin."""
     up = order.select("instance", (F.col("rank") - 1).alias("step"), "u")
     rows = with_data(branches.join(F.broadcast(up), ["instance", "step"]), packed)
     cands = placement.candidates(rows, p.max_placements, p.force_monoprimary)
@@ -121,7 +124,7 @@ def _expand(branches: DataFrame, order: DataFrame, packed: DataFrame, n: int, p:
     else:
         noisy = made.withColumn("score", -F.col("llh"))
     cut = noisy.withColumn("rn", F.row_number().over(over.orderBy("score", "parents"))).where(F.col("rn") <= p.beam_width)
-    return cut.select("instance", "parents", "step", "score", "llh", "fits", "origin", "parent_score")
+    return cut.select("instance", "parents", "step", "score", "llh", "fits", "origin")
 
 
 def package(trees: DataFrame) -> DataFrame:

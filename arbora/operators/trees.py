@@ -35,13 +35,13 @@ def ancestry(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     root = edges.select(*keys, F.lit(0).alias("anc"), F.lit(0).alias("node"), F.lit(0).alias("depth")).distinct()
     own = edges.select(*keys, F.col("node").alias("anc"), "node", F.lit(0).alias("depth"))
-    step = stash(edges.select(*keys, F.col("parent").alias("anc"), "node", F.lit(1).alias("depth")), "ancestry")
+    step = stash(edges.select(*keys, F.col("parent").alias("anc"), "node", F.lit(1).alias("depth")), "ancestry", release=False)
     reach = 1
     while True:
         far = step.where(F.col("depth") == reach).select(*keys, F.col("anc").alias("mid"), "node")
         up = step.select(*keys, F.col("anc"), F.col("node").alias("mid"), F.col("depth").alias("more"))
         new = far.join(up, [*keys, "mid"]).select(*keys, "anc", "node", (F.col("more") + reach).alias("depth"))
-        longer = stash(step.unionByName(new), "ancestry")
+        longer = stash(step.unionByName(new), "ancestry", release=False)
         top = longer.agg(F.max("depth")).first()[0]
         step, before, reach = longer, reach, reach * 2
         if top is None or top < reach or top == before:
@@ -67,7 +67,7 @@ def newick(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, newick: ``(children)node`` bottom up, siblings by number, ended by a semicolon. One round for each level."""
     keys = list(keys)
     depth = ancestry(edges, keys).groupBy(*keys, "node").agg(F.max("depth").alias("depth"))
-    rows = stash(edges.join(depth, [*keys, "node"]).select(*keys, "node", "parent", "depth"), "depths")
+    rows = stash(edges.join(depth, [*keys, "node"]).select(*keys, "node", "parent", "depth"), "depths", release=False)
     height = rows.agg(F.max("depth")).first()[0] or 0
     done = None
     for level in range(height, -1, -1):

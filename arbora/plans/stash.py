@@ -29,20 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stash(df: DataFrame, name: str, release: bool = True) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return the table that was written.
 
     The result has no lineage: a lost executor costs a reread, never a recomputation. The shuffles that made ``df`` are
-    no longer referenced, so a collection lets Spark's context cleaner free their files before the next step adds its own.
+    no longer referenced; with ``release`` a garbage collection lets Spark's context cleaner free their files before the next
+    step adds its own. Loops over small tables go without it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arbora/{uuid.uuid4().hex}/{name}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     schema = df.schema
-    del df, writer
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    del df
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
