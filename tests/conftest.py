@@ -20,7 +20,7 @@ def spark():
 
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[2]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "3g")
         .config("spark.ui.enabled", "false")
