@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,12 +25,11 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class QualityModel:
-    """``score(x) = 1 / (1 + exp(-(intercept + slope * x)))`` with x the normalised difference of the compressed sizes."""
+    """``score = 1 / (1 + exp(-(weights[0] * difference + weights[1] * level + weights[2])))``, see ``features``."""
 
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    weights: tuple[float, float, float]
 
 
 @lru_cache(8)
@@ -44,30 +44,34 @@ def pieces(data: bytes) -> Iterator[bytes]:
         yield data[at : at + PIECE_BYTES]
 
 
-def difference(text: str | None, good: bytes, bad: bytes) -> float:
-    """(size with the bad dictionary - size with the good one) / their sum, over all pieces of the whole text; empty: 0."""
+def features(text: str | None, good: bytes, bad: bytes) -> tuple[float, float]:
+    """(difference, level) of a whole text, over all its pieces; (0, 0) for an empty one.
+
+    difference: bytes that the bad dictionary needs beyond the good one, for each byte of text. level: log of the mean of both
+    sizes for each byte. Text that repeats itself packs so well with either that the difference alone says little of it.
+    """
     g, b = _compressor(good), _compressor(bad)
+    data = (text or "").encode()
     x = y = 0
-    for part in pieces((text or "").encode()):
+    for part in pieces(data):
         x += len(g.compress(part))
         y += len(b.compress(part))
-    return (y - x) / (x + y) if x + y else 0.0
+    return ((y - x) / len(data), math.log((x + y) / 2 / len(data))) if data else (0.0, 0.0)
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[float, float]:
-    """Slope and intercept of a one-feature logistic regression, by Newton's method on the scaled feature."""
-    scale = max(float(np.abs(x).max(initial=0)), 1e-12)
-    a = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[float, ...]:
+    """Weights of a logistic regression on the columns of ``x``, then the intercept, by Newton's method on scaled columns."""
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)
+    a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (y - p) - ridge * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    own = w[:-1] / scale
+    return (*map(float, own), float(w[-1] - own @ mean))
 
 
 def held_out(id_col: str | Column = "doc_id", folds: int = 5) -> Column:
@@ -75,10 +79,13 @@ def held_out(id_col: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def difference_column(text: str, good: bytes, bad: bytes) -> Column:
-    @F.arrow_udf("double")
+def feature_column(text: str, good: bytes, bad: bytes) -> Column:
+    """struct<difference, level>"""
+
+    @F.arrow_udf("difference double, level double")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([difference(t.as_py(), good, bad) for t in texts], pa.float64())
+        rows = [features(t.as_py(), good, bad) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1)], ["difference", "level"])
 
     return run(F.col(text))
 
@@ -110,10 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, dict_pieces: int = DICT_PIECES, ca
     good, bad = (_dictionary(sample[k], size) for k in (1, 0))
     mixed = wanted.where("h & 3 = 0").orderBy("h", "doc_id").limit(calibration_docs)
     calibration = docs.select("doc_id", "text").join(F.broadcast(mixed), "doc_id")  # bounded by calibration_docs
-    got = calibration.select("label", difference_column("text", good, bad).alias("x")).toPandas()
+    got = calibration.select("label", feature_column("text", good, bad).alias("x")).select("label", "x.*").toPandas()
     if got["label"].nunique() < 2:
-        return QualityModel(good, bad, 100.0, 0.0)
-    return QualityModel(good, bad, *logistic_fit(got["x"].to_numpy(), got["label"].to_numpy(float)))
+        return QualityModel(good, bad, (100.0, 0.0, 0.0))
+    return QualityModel(good, bad, logistic_fit(got[["difference", "level"]].to_numpy(), got["label"].to_numpy(float)))
 
 
 def _dictionary(sample: list[bytes], size: int) -> bytes:
@@ -128,14 +135,15 @@ def score_column(text: str, model: QualityModel | None) -> Column:
     """The calibrated score, 0 to 1; 0.5 without a model."""
     if model is None:
         return F.lit(0.5)
-    z = F.lit(model.intercept) + F.lit(model.slope) * difference_column(text, model.good, model.bad)
+    x = feature_column(text, model.good, model.bad)
+    z = F.lit(model.weights[2]) + F.lit(model.weights[0]) * x["difference"] + F.lit(model.weights[1]) * x["level"]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of ``docs``, from whole texts alone.
 
-    Null and empty texts have difference 0 and so the score of the intercept. Null ids are scored and never learned from.
+    Null and empty texts have features 0 and so the score of the intercept. Null ids are scored and never learned from.
     Repeated rows are scored alike. If labels of one kind are missing, every score is 0.5. Extra columns are ignored.
     """
     model = train(docs, labels)

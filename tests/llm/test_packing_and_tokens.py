@@ -126,7 +126,7 @@ def test_samples_do_not_depend_on_neighbours(vocab):
 
 
 def all_segmentations(vocab, chunk):
-    names = {vocab.decoded[i].decode().replace(" ", pieces.SPACE): i for ids in vocab.tables.values() for i in ids[1].tolist()}
+    names = vocab.names
 
     def go(at):
         if at == len(chunk):
@@ -168,3 +168,13 @@ def test_decode_column(spark, vocab):
     (got,) = pieces.sample(vocab, ["some text é"], [1], 1)
     df = spark.createDataFrame([(got[0][0].tolist(),), (None,), ([],)], "ids array<int>")
     assert [r.t for r in df.select(pieces.decode_column("ids").alias("t")).collect()] == ["some text é", None, ""]
+
+
+def test_fast_words_equal_the_tokenizer(spark):
+    """Every distinct word of a table, and odd ones, give the tokenizer's own ids."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    words = sorted({w for r in rows for w in r.text.split()} | {"it's", "IT'LL9x", "ÀÉß", "á", "×x", "<|startoftext|>", "<|x", "x\x01y", "'S'", "don't!!", "a" * 3000, "µª"})
+    ref = Tokenizer.from_file(packing.word_bpe_path())
+    got = packing.WordTokenizer(packing.word_bpe_path()).encode([w.encode() for w in words])
+    for w, ids, e in zip(words, got, ref.encode_batch(words, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, w
