@@ -102,26 +102,26 @@ def placed_llh(parents: Column, s: Column, f: Column) -> Column:
     return F.aggregate(F.transform(rows, term), F.lit(0.0), lambda a, x: a + x)
 
 
-def fit_trees(trees: DataFrame, packed: DataFrame, keys: list[str]) -> DataFrame:
-    """``trees`` (unique ``keys``, parents, more columns) with llh and fits array<struct<sample, f, eta>>, sorted by sample.
+def fit_trees(trees: DataFrame, packed: DataFrame) -> DataFrame:
+    """``trees`` (parents, more columns that can be grouped by) with llh and fits array<struct<sample, f, eta>>, by sample.
 
     One row for each tree and sample is fitted, so wide sets of trees spread over all tasks; a tree's samples then meet again.
+    The other columns travel along, so nothing is computed twice and joined back; rows must be distinct.
     """
-    return _fitted(trees, with_data(trees.select(*keys, "parents"), packed), keys)
+    return _fitted(with_data(trees, packed), trees.columns)
 
 
 def fit_own(trees: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """As ``fit_trees`` where each tree (unique ``keys``) has cells (keys, node, sample, v, n, omega) of its own."""
-    return _fitted(trees, trees.select(*keys, "parents").join(pack(cells, keys), keys), keys)
+    return _fitted(trees.join(pack(cells, keys), keys), trees.columns)
 
 
-def _fitted(trees: DataFrame, with_samples: DataFrame, keys: list[str]) -> DataFrame:
-    rows = with_samples.select(*keys, "parents", F.explode("samples").alias("s"))
+def _fitted(with_samples: DataFrame, columns: list[str]) -> DataFrame:
+    rows = with_samples.select(*columns, F.explode("samples").alias("s"))
     fit = F.arrow_udf(_fit_batch, "f array<double>, eta array<double>")
     fitted = rows.withColumn("r", fit("parents", "s.target", "s.weight"))
-    part = fitted.select(*keys, F.struct(F.col("s.sample").alias("sample"), F.col("r.f").alias("f"), F.col("r.eta").alias("eta")).alias("fit"), placed_llh(F.col("parents"), F.col("s"), F.col("r.f")).alias("part"))
-    done = part.groupBy(*keys).agg(F.sum("part").alias("llh"), F.array_sort(F.collect_list("fit")).alias("fits"))
-    return trees.join(done, keys)
+    part = fitted.select(*columns, F.struct(F.col("s.sample").alias("sample"), F.col("r.f").alias("f"), F.col("r.eta").alias("eta")).alias("fit"), placed_llh(F.col("parents"), F.col("s"), F.col("r.f")).alias("part"))
+    return part.groupBy(*columns).agg(F.sum("part").alias("llh"), F.array_sort(F.collect_list("fit")).alias("fits"))
 
 
 def frequencies(fitted: DataFrame, keys: list[str]) -> DataFrame:

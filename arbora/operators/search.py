@@ -107,15 +107,14 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
 def _expand(branches: DataFrame, order: DataFrame, packed: DataFrame, n: int, p: SearchParams) -> DataFrame:
     """Children of ``branches``, fitted, scored and cut: instance, parents, step, score, llh, fits, origin."""
     up = order.select("instance", (F.col("rank") - 1).alias("step"), "u")
-    rows = with_data(branches.join(F.broadcast(up), ["instance", "step"]), packed)
+    rows = with_data(branches.join(F.broadcast(up), ["instance", "step"]), packed).withColumnRenamed("score", "parent_score")
     cands = placement.candidates(rows, p.max_placements, p.force_monoprimary)
-    keys = ["instance", "parents", "v", "c", "model"]
+    keys = ["instance", "parents", "v", "c", "model", "u", "step", "parent_score", "fallback"]
     scored = placement.scores(placement.expand_samples(cands), keys)
-    base = cands.select(*keys, "u", "step", F.col("score").alias("parent_score"), "fallback")
-    scored = base.join(scored, keys).withColumn("score", F.when(F.col("fallback"), 0.0).otherwise(F.col("score")))
+    scored = scored.withColumn("score", F.when(F.col("fallback"), 0.0).otherwise(F.col("score")))
     top = placement.best(scored, ["instance", "parents"], p.branching_factor, p.ignore_zero_probs)
-    made = top.select("instance", F.col("parents").alias("origin"), apply_action("parents", F.col("u"), F.col("v"), F.col("c")).alias("parents"), F.col("step") + 1, "parent_score", "i").toDF("instance", "origin", "parents", "step", "parent_score", "i")
-    made = fit_trees(made, packed, ["instance", "origin", "parents"])
+    made = top.select("instance", F.col("parents").alias("origin"), apply_action("parents", F.col("u"), F.col("v"), F.col("c")).alias("parents"), (F.col("step") + 1).alias("step"), "parent_score")
+    made = fit_trees(made, packed)
     over = Window.partitionBy("instance", "origin")
     if p.model == "sbs":
         key = F.concat_ws("|", F.lit(str(p.seed)), F.col("instance").cast("string"), F.array_join("origin", ","), F.array_join("parents", ","))

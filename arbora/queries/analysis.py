@@ -331,7 +331,7 @@ def fit_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """The distinct trees fitted: do the fits keep all constraints, and beat the feasible star of equal shares?"""
     c = S.cells(spark, d)
     trees = T.parents_of(S.tree_set(spark, d), ["t"]).select("parents").distinct()
-    fitted = fit_trees(trees, pack(c), ["parents"])
+    fitted = fit_trees(trees, pack(c))
     freq = frequencies(fitted, ["parents"])
     root = freq.where("node = 0").groupBy("parents").agg(F.bool_and(F.abs(F.col("f") - 1) < 1e-9).alias("root_is_one"))
     eta = freq.groupBy("parents", "sample").agg(F.sum("eta").alias("s"), F.min("eta").alias("low")).groupBy("parents").agg(F.bool_and((F.abs(F.col("s") - 1) < 1e-6) & (F.col("low") >= 0)).alias("etas_sum_to_one"))
@@ -347,7 +347,7 @@ def fit_frequencies(spark: SparkSession, d: str) -> DataFrame:
 def fitted_trees(spark: SparkSession, d: str) -> DataFrame:
     """Fitted frequencies of the distinct trees: parents, node, sample, f, eta."""
     trees = T.parents_of(S.tree_set(spark, d), ["t"]).select("parents").distinct()
-    return frequencies(fit_trees(trees, pack(S.cells(spark, d)), ["parents"]), ["parents"])
+    return frequencies(fit_trees(trees, pack(S.cells(spark, d))), ["parents"])
 
 
 @query()
@@ -366,7 +366,7 @@ def _clone_trees(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, Dat
     """Clone trees of the fitted distinct trees, and the cells they are scored on."""
     c = S.cells(spark, d)
     trees = T.parents_of(S.tree_set(spark, d), ["t"]).groupBy("parents").agg(F.min("t").alias("tree"))
-    freq = frequencies(fit_trees(trees, pack(c), ["tree", "parents"]), ["tree"]).where("node > 0")
+    freq = frequencies(fit_trees(trees, pack(c)), ["tree"]).where("node > 0")
     data = freq.join(c, ["node", "sample"]).select("tree", "node", "sample", "v", "n", "omega", "f")
     return C.clustering_llh(C.agglomerate(trees, freq, kind), data), c
 

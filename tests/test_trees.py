@@ -138,7 +138,7 @@ TRUTH = [0, 1, 1, 2]
 def test_wide_search_finds_the_best_tree(spark, model, e):
     cells = reads_of(spark, ETA, TRUTH)
     every = spark.createDataFrame([(p,) for p in rooted(4)], "parents array<int>")
-    best = fit.fit_trees(every, fit.pack(cells), ["parents"]).orderBy(F.desc("llh"), "parents").first()
+    best = fit.fit_trees(every, fit.pack(cells)).orderBy(F.desc("llh"), "parents").first()
     got = package(search(cells, SearchParams(beam_width=40, branching_factor=40, expansion_factor=e, model=model))).orderBy("rank").collect()
     assert got[0].parents == best.parents and abs(got[0].llh - best.llh) < 1e-6
     assert abs(sum(r.prob for r in got) - 1) < 1e-9 and [r.llh for r in got] == sorted((r.llh for r in got), reverse=True)
