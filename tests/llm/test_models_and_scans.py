@@ -64,7 +64,7 @@ def test_language_learns_nothing_from_the_held_out_fold(tables):
 
 def test_language_of_odd_rows(spark, tables):
     docs, _ = tables
-    odd = spark.createDataFrame([(None, "le la les une dans pour", "fr"), (1, None, "fr"), (2, "", None), (3, "12 34 !!", "de"), (4, "le", None), (4, "le", None)], "doc_id long, text string, lang string").withColumn("score", F.lit(3))
+    odd = spark.createDataFrame([(None, "le la les une dans pour", "fr"), (1, None, "fr"), (2, "", None), (3, "12 34 !! ²½Ⅷ_", "de"), (4, "le", None), (4, "le", None)], "doc_id long, text string, lang string").withColumn("score", F.lit(3))
     model = langid.train(docs, 400, 200)
     got = odd.select("doc_id", langid.predict_column("text", model).alias("p")).collect()
     assert [r.p.lang_pred for r in got][1:4] == ["und"] * 3 and [r.p.score for r in got][1:4] == [0.0] * 3 and got[4].p == got[5].p
