@@ -40,10 +40,15 @@ def lgamma(x: Column) -> Column:
     return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(shift)
 
 
+def log_choose(n: Column, v: Column) -> Column:
+    """Log of the binomial coefficient, continuous in v and n."""
+    v, n = v.cast("double"), n.cast("double")
+    return lgamma(n + 1.0) - lgamma(v + 1.0) - lgamma(n - v + 1.0)
+
+
 def log_binom_pmf(v: Column, n: Column, p: Column) -> Column:
     """Log of the binomial mass, continuous in v and n; p strictly between 0 and 1."""
-    v, n = v.cast("double"), n.cast("double")
-    return lgamma(n + 1.0) - lgamma(v + 1.0) - lgamma(n - v + 1.0) + v * F.ln(p) + (n - v) * F.ln(1.0 - p)
+    return log_choose(n, v) + v * F.ln(p) + (n - v) * F.ln(1.0 - p)
 
 
 def wald_interval(p: Column, n: Column, z: float = Z_99) -> tuple[Column, Column]:
@@ -87,8 +92,10 @@ def gumbel_with_maximum(g: Column, top: Column, largest: Column) -> Column:
     return F.when(g >= largest, top).otherwise(shifted)
 
 
-def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray, log_beta: np.ndarray) -> np.ndarray:
+def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Lentz's continued fraction, on the side of the mean where it converges fast."""
+    log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+    log_beta = (log_gamma(a) + log_gamma(b) - log_gamma(a + b)).astype(float)
     swap = x > (a + 1) / (a + b + 2)
     a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     inside = (x > 0) & (x < 1)
@@ -111,16 +118,15 @@ def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray, log_beta: np.ndarray)
     return np.where(swap, 1 - value, value)
 
 
-def _betainc_batch(a: pa.Array, b: pa.Array, x: pa.Array, log_beta: pa.Array) -> pa.Array:
-    a, b, x, log_beta = (c.to_numpy(zero_copy_only=False).astype(float) for c in (a, b, x, log_beta))
+def _betainc_batch(a: pa.Array, b: pa.Array, x: pa.Array) -> pa.Array:
+    a, b, x = (c.to_numpy(zero_copy_only=False).astype(float) for c in (a, b, x))
     gone = np.isnan(a) | np.isnan(b) | np.isnan(x)
     out = np.full(len(a), np.nan)
     if (~gone).any():
-        out[~gone] = _betainc(a[~gone], b[~gone], x[~gone], log_beta[~gone])
+        out[~gone] = _betainc(a[~gone], b[~gone], x[~gone])
     return pa.array(out, mask=gone)
 
 
 def betainc(a: Column, b: Column, x: Column) -> Column:
     """The regularised incomplete beta function I_x(a, b); null if any argument is. An Arrow kernel: Spark has none."""
-    a, b, x = a.cast("double"), b.cast("double"), x.cast("double")
-    return F.arrow_udf(_betainc_batch, "double")(a, b, x, lgamma(a) + lgamma(b) - lgamma(a + b))
+    return F.arrow_udf(_betainc_batch, "double")(a.cast("double"), b.cast("double"), x.cast("double"))

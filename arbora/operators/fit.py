@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.functions import clip, log_binom_pmf, safe_divide
-from arbora.functions.numeric import LLH_CLIP
+from arbora.functions import clip, safe_divide
+from arbora.functions.numeric import LLH_CLIP, log_choose
 from arbora.operators.reads import variance_weight
 
 
@@ -77,13 +77,15 @@ def _field(name: str) -> Callable[[Column], Column]:
 
 
 def pack(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row for each problem (``keys``): samples array<struct<sample, v, n, omega, target, weight>>, each an array over nodes 1..n.
+    """One row for each problem (``keys``): samples array<struct<sample, v, n, omega, target, weight, choose>>, each an array over nodes 1..n.
+
+    ``choose`` is the log of the binomial coefficient, the part of a likelihood that no tree changes.
 
     Its size is nodes times samples of one problem, a few MB at most, and doesn't grow with the number of trees.
     """
     target = clip(safe_divide(F.col("v"), F.col("omega") * F.col("n")), 0.0, 1.0)
-    rows = cells.select(*keys, "node", "sample", "v", "n", "omega", target.alias("target"), variance_weight(F.col("v"), F.col("n"), F.col("omega")).alias("weight"))
-    names = ["v", "n", "omega", "target", "weight"]
+    rows = cells.select(*keys, "node", "sample", "v", "n", "omega", target.alias("target"), variance_weight(F.col("v"), F.col("n"), F.col("omega")).alias("weight"), log_choose(F.col("n"), F.col("v")).alias("choose"))
+    names = ["v", "n", "omega", "target", "weight", "choose"]
     one = rows.groupBy(*keys, "sample").agg(F.array_sort(F.collect_list(F.struct("node", *names))).alias("x"))
     one = one.select(*keys, F.struct("sample", *[F.transform("x", _field(c)).alias(c) for c in names]).alias("s"))
     return one.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("samples"))
@@ -97,9 +99,10 @@ def with_data(trees: DataFrame, packed: DataFrame) -> DataFrame:
 
 def placed_llh(parents: Column, s: Column, f: Column) -> Column:
     """Log likelihood of the placed nodes of one sample."""
-    rows = F.arrays_zip(parents.alias("p"), s["v"].alias("v"), s["n"].alias("n"), s["omega"].alias("o"), F.slice(f, 2, F.size(parents)).alias("f"))
-    term = lambda r: F.when(r["p"] >= 0, log_binom_pmf(r["v"], r["n"], clip(r["o"] * r["f"], LLH_CLIP, 1 - LLH_CLIP))).otherwise(0.0)
-    return F.aggregate(F.transform(rows, term), F.lit(0.0), lambda a, x: a + x)
+    p = F.zip_with(s["omega"], F.slice(f, 2, F.size(parents)), lambda o, x: clip(o * x, LLH_CLIP, 1 - LLH_CLIP))
+    rows = F.arrays_zip(parents.alias("up"), s["v"].alias("v"), s["n"].alias("n"), s["choose"].alias("c"), p.alias("p"))
+    term = lambda r: F.when(r["up"] >= 0, r["c"] + r["v"] * F.ln(r["p"]) + (r["n"] - r["v"]) * F.ln(1.0 - r["p"])).otherwise(0.0)
+    return F.aggregate(rows, F.lit(0.0), lambda a, r: a + term(r))
 
 
 def fit_trees(trees: DataFrame, packed: DataFrame) -> DataFrame:
