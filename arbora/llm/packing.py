@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -28,31 +30,80 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What the fast path below is written for (fixed values): the tokenizer's pattern of words, and the mark of a word's end.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+# Words of visible ASCII and Latin-1 letters: their normal form is their lower case, and these are their parts.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_END, _NEXT = "\x01", "\n"
+
+
+def _byte_chars() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible Latin-1 ones for themselves, then from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in seen]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _plain_encoder(path: str) -> Callable[[str], list[int]] | None:
+    """An encoder of marked words with the same merges: a part's last byte carries the mark of the word's end, which gives way
+    to a byte of its own here. None for a file of another form."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["model"].get("end_of_word_suffix") != WORD_END or spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") != WORD_PATTERN:
+        return None
+    import tiktoken
+
+    chars, special = _byte_chars(), {t["id"] for t in spec["added_tokens"]}
+    ranks = {}
+    for token, rank in spec["model"]["vocab"].items():
+        if rank not in special:
+            core, end = (token[: -len(WORD_END)], _END.encode()) if token.endswith(WORD_END) else (token, b"")
+            ranks[bytes(chars[c] for c in core) + end] = rank
+    return tiktoken.Encoding("words", pat_str=f"[^{_END}{_NEXT}]+{_END}|{_NEXT}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class WordTokenizer:
     """Token ids of whole texts, word by word.
 
     This tokenizer drops white space and merges nothing across it, so a text's ids are those of its blank-separated words in
-    order. Most words are seen again and again: each is encoded once and kept as little-endian 32-bit ids.
+    order. Most words are seen again and again: each is encoded once and kept as little-endian 32-bit ids. New words of ASCII
+    and Latin-1 letters go through an encoder that skips the general normalisation; the rest through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = _plain_encoder(path)
+        if self.plain:
+            (self.next_id,) = self.plain(_NEXT)
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         lists = [t.split() for t in texts]
-        new = list(set().union(*lists).difference(self.known))
+        new = set().union(*lists).difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known = {}
-            new = list(set().union(*lists))
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for words in lists:
-            yield b"".join(map(self.known.__getitem__, words))
+            new = set().union(*lists)
+        words, rest = [], []
+        for w in new:
+            text = w.decode()
+            (words if self.plain and _PLAIN.fullmatch(text) and "<|" not in text else rest).append(text)
+        if words:
+            ids = np.array(self.plain(_PARTS.sub(r"\g<0>" + _END, _NEXT.join(words).lower())), "<u4")
+            cuts = np.flatnonzero(ids == self.next_id)
+            raw = ids.tobytes()
+            for w, a, b in zip(words, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]):
+                self.known[w.encode()] = raw[a:b]
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[w.encode()] = np.array(e.ids, "<u4").tobytes()
+        for line in lists:
+            yield b"".join(map(self.known.__getitem__, line))
 
 
 @lru_cache(2)
