@@ -46,7 +46,10 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 def _seeds(*parts: int) -> int:
     x = 0x2545F4914F6CDD1D
     for p in parts:
-        x = int(_mix(np.array([(x ^ (p & (1 << 64) - 1)) & (1 << 64) - 1], _U))[0])
+        x = (x ^ p & (1 << 64) - 1) & (1 << 64) - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        x ^= x >> 31
     return x
 
 
@@ -86,17 +89,33 @@ class Pieces:
         self.logs[usual] = logs
         if any(re.search(f"[^{SPACE}]{SPACE}", names[i]) for i in usual):
             raise ValueError("pieces that go on past a space are not supported")
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by_length: dict[int, list[int]] = {}
-        for i in usual:
-            by_length.setdefault(len(names[i]), []).append(i)
-        for length, ids in by_length.items():
-            chars = np.frombuffer("".join(names[i] for i in ids).encode("utf-32-le"), "<u4").reshape(-1, length)
-            h = np.zeros(len(ids), _U)
-            for j in range(length):
-                h = h + _mix(chars[:, j].astype(_U) + _U((j + 1) << 32))
-            order = np.argsort(h)
-            self.tables[length] = h[order], np.array(ids)[order]
+        self.names = {names[i]: i for i in usual}
+        self.longest = max(map(len, self.names), default=0)
+        known: dict[int, int] = {}
+        for name, i in self.names.items():
+            chars = np.frombuffer(name.encode("utf-32-le"), "<u4").astype(_U)
+            begun = np.cumsum(_mix(chars + (np.arange(1, len(chars) + 1).astype(_U) << _U(32)))).tolist()
+            for h in begun[:-1]:
+                known.setdefault(h, -1)
+            known[begun[-1]] = i
+        self.mask = (1 << (4 * len(known)).bit_length()) - 1
+        self.slots, self.values = np.zeros(self.mask + 1, _U), np.full(self.mask + 1, -2, np.int64)
+        for h, i in known.items():
+            at = h & self.mask
+            while self.values[at] != -2:
+                at = at + 1 & self.mask
+            self.slots[at], self.values[at] = h, i
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """The piece with each hash, -1 for the beginning of longer pieces, -2 for neither: linear probing in one table."""
+        at = (h & _U(self.mask)).astype(np.int64)
+        out = self.values[at]
+        wrong = np.flatnonzero((self.slots[at] != h) & (out != -2))
+        while len(wrong):
+            at[wrong] = at[wrong] + 1 & self.mask
+            out[wrong] = self.values[at[wrong]]
+            wrong = wrong[(self.slots[at[wrong]] != h[wrong]) & (out[wrong] != -2)]
+        return out
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut before each run of spaces: no piece goes on past such a cut."""
@@ -121,26 +140,25 @@ class Lattice:
         self.chars = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
         n = len(self.chars)
         left = np.repeat(self.first + lengths, lengths) - np.arange(n)
-        h, found = np.zeros(n, _U), []
-        at = np.arange(n)
-        covered = np.zeros(n, bool)
-        for size in range(1, max(vocab.tables, default=0) + 1):
-            at = at[left[at] >= size]
+        found, covered = [], np.zeros(n, bool)
+        at, h = np.arange(n), np.zeros(n, _U)
+        for size in range(1, vocab.longest + 1):
+            h = h + _mix(self.chars[at + size - 1].astype(_U) + _U(size << 32))
+            got = vocab.look_up(h)
+            hit = got >= 0
+            if size == 1:
+                covered[at[hit]] = True
+            found.append((at[hit], np.full(int(hit.sum()), size), got[hit]))
+            on = (got > -2) & (left[at] > size)
+            at, h = at[on], h[on]
             if not len(at):
                 break
-            h[at] += _mix(self.chars[at + size - 1].astype(_U) + _U(size << 32))
-            if size in vocab.tables:
-                keys, ids = vocab.tables[size]
-                i = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-                hit = keys[i] == h[at]
-                covered[at[hit]] |= size == 1
-                found.append((at[hit], np.full(hit.sum(), size), ids[i[hit]]))
         bare = np.flatnonzero(~covered)
         c = self.chars[bare]
         width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
         found.append((bare, np.ones_like(bare), np.where(width == 1, vocab.byte_id[np.minimum(c, 127)], -width)))
         start, size, ids = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(start * 64 + size, kind="stable")
+        order = np.argsort(start * 64 - size, kind="stable")  # long pieces first: they are often the likeliest
         self.start, size, self.ids = start[order], size[order], ids[order]
         self.target = np.where(left[self.start] == size, -1, self.start + size)
         self.edges_at = np.searchsorted(self.start, np.arange(n + 1))
@@ -149,6 +167,8 @@ class Lattice:
         # Backwards, all states equally far from their chunk's end at once: the log mass of all ways on from a state.
         mass = np.zeros(n + 1)
         far = left[self.start]
+        if n and left.max() < 1 << 16:
+            far = far.astype(np.uint16)  # sorts in linear time
         order = np.argsort(far, kind="stable")
         bounds = np.searchsorted(far[order], np.arange(1, (int(lengths.max()) if len(lengths) else 0) + 2))
         total = np.empty(len(logs))
@@ -161,11 +181,14 @@ class Lattice:
         self.log = total - mass[self.start]
         p = np.exp(self.log)
         run = np.cumsum(p)
-        before = (run - p)[self.edges_at[:-1]] if len(p) else run
-        self.key = self.start + np.minimum(run - before[self.start], 1.0)
+        self.reach = run - (run - p)[self.edges_at[:-1]][self.start] if len(p) else run
         if len(p):
-            self.key[self.edges_at[1:] - 1] = np.arange(n) + 1.0
+            self.reach[self.edges_at[1:] - 1] = np.inf
         self.choices = np.diff(self.edges_at)
+        # For each edge the log mass of its state's other edges, -inf if it has none.
+        self.others = np.full(len(p), -np.inf)
+        many = self.choices[self.start] > 1
+        self.others[many] = np.log(np.maximum(-np.expm1(self.log[many]), 1e-300))
 
     def walk(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges of all walks in order, index of each edge's walk): one random way to the end from each state."""
@@ -173,7 +196,11 @@ class Lattice:
         state = states
         while len(alive):
             u = _uniform(seeds[alive] + count[alive].astype(_U) * _U(0x9E3779B97F4A7C15))
-            e = np.clip(np.searchsorted(self.key, state + u, side="right"), self.edges_at[state], self.edges_at[state + 1] - 1)
+            e = self.edges_at[state]
+            short = np.flatnonzero(self.reach[e] <= u)
+            while len(short):
+                e[short] += 1
+                short = short[self.reach[e[short]] <= u[short]]
             steps.append((alive, e))
             count[alive] += 1
             state = self.target[e]
@@ -185,10 +212,10 @@ class Lattice:
         return path, np.repeat(np.arange(len(states)), count)
 
 
-def _truncated(log_mass: np.ndarray, below: float, u: np.ndarray) -> np.ndarray:
-    """Gumbels of the given log masses, conditioned on being below a bound."""
-    with np.errstate(over="ignore"):
-        return np.where(np.isneginf(log_mass), -np.inf, -np.logaddexp(-below, np.log(-np.log(u)) - log_mass))
+def _truncated(log_mass: np.ndarray, below: float, seed: int) -> np.ndarray:
+    """Gumbels of finite log masses, conditioned on being below a bound; a Gumbel is minus the log of an exponential."""
+    noise = np.random.Generator(np.random.Philox(key=seed)).standard_exponential(len(log_mass))
+    return -np.logaddexp(-below, np.log(np.maximum(noise, 1e-300)) - log_mass)
 
 
 class Sampler:
@@ -239,38 +266,28 @@ class Sampler:
         log = lattice.log[path]
         before = np.cumsum(log) - log
         start = len(head) if old >= 0 else 0
-        more = lattice.choices[lattice.start[path]] > 1
-        with np.errstate(divide="ignore"):
-            mass = np.where(more, before + np.log(np.maximum(-np.expm1(log), 1e-300)), -np.inf)[start:]
-        steps = np.arange(start, len(path))
-        if old >= 0:  # what is left of the region that this sample came from
-            tried = self.tried[(old, step)]
-            state = lattice.start[path[step]]
-            rest = 1 - float(np.exp(lattice.log[tried]).sum())
-            left = float(before[step]) + np.log(max(rest, 1e-300)) if len(tried) < lattice.choices[state] else -np.inf
-            mass, steps = np.append(mass, left), np.append(steps, -1)
-        u = _uniform(_U(_seeds(self.seed, 5, nth)) + np.arange(len(mass)).astype(_U) * _U(0x9E3779B97F4A7C15))
-        gumbel = _truncated(mass, bound, u)
-        owner = np.full(len(mass), nth)
-        if old >= 0:
-            owner[-1], steps[-1] = old, step
-        some = gumbel > -np.inf
-        for i, x in enumerate((gumbel[some], owner[some], steps[some])):
-            self.regions = self.regions or [[], [], []]
-            self.regions[i].append(x)
+        mass = before[start:] + lattice.others[path[start:]]
+        steps = np.flatnonzero(mass > -np.inf)
+        mass, steps = mass[steps], start + steps
+        owner = np.full(len(steps), nth)
+        if old >= 0 and len(tried := self.tried[(old, step)]) < lattice.choices[lattice.start[path[step]]]:
+            rest = 1 - float(np.exp(lattice.log[tried]).sum())  # what is left of the region that this sample came from
+            mass, steps, owner = np.append(mass, float(before[step]) + np.log(max(rest, 1e-300))), np.append(steps, step), np.append(owner, old)
+        self.regions.append([_truncated(mass, bound, _seeds(self.seed, 5, nth)), owner, steps])
         self._advance()
 
     def _advance(self) -> None:
         best, where = -np.inf, None
-        for i, g in enumerate(self.regions[0]):
+        for i, (g, _, _) in enumerate(self.regions):
             if len(g) and g[j := int(g.argmax())] > best:
                 best, where = float(g[j]), (i, j)
         if where is None:
             self.next = None
             return
         i, j = where
-        self.regions[0][i][j] = -np.inf
-        self.next = best, int(self.regions[1][i][j]), int(self.regions[2][i][j])
+        gumbel, owner, steps = self.regions[i]
+        gumbel[j] = -np.inf
+        self.next = best, int(owner[j]), int(steps[j])
 
 
 def sample(vocab: Pieces, texts: list[str], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
