@@ -72,7 +72,8 @@ def links(fps: DataFrame, distance: int = 3, segments: int = 4) -> DataFrame:
     first l segments differ in at most floor(l * distance / segments) bits, for every l. With 4 segments of 16 bits and
     distance 3 these budgets are 0, 1, 2, 3. The join key holds the first two budgets: the first segment is equal, and the
     second is equal after at most one set bit of one side is cleared; so a key has 32 bits and a fingerprint has about 36
-    keys. The longer chains are then checked, and last the full distance. No bound is put on the partners of a fingerprint.
+    keys. The longer chains are then checked, and last the full distance. No bound is put on the partners of a fingerprint;
+    as fingerprints are distinct, there are 43,744 others within 3 bits at most, so links don't grow with a group's square.
     """
     width = BITS // segments
     budget = [(i + 1) * distance // segments for i in range(segments)]
