@@ -144,6 +144,20 @@ def subsets(children: Column, largest: int) -> Column:
     return F.transform(masks, lambda m: F.filter(children, lambda x, i: F.getbit(m, i) == 1))
 
 
+def child_sets(rows: DataFrame, largest: int, children: str = "children", also: Column | None = None) -> DataFrame:
+    """``rows`` with c: one row for each non-empty set of at most ``largest`` (1 at least) members of ``children``, a sorted array
+    of distinct nodes. The arrays of ``also``, if given, come with them as they are; none may be as long as a set that grows.
+
+    Each round explodes the sets of the round before with one more, larger member, so the work follows the number of sets and no
+    row holds more than one of them.
+    """
+    single = F.transform(children, lambda x: F.array(x))
+    out = rows.withColumn("c", F.explode(single if also is None else F.concat(also, single)))
+    for size in range(1, largest):
+        out = out.withColumn("c", F.explode(F.expr(f"concat(array(c), transform(filter({children}, x -> size(c) = {size} AND x > element_at(c, -1)), x -> concat(c, array(x))))")))
+    return out
+
+
 def parsimony(parents: str) -> Column:
     """Number of nodes less the number of distinct parents."""
     return F.size(parents) - F.size(F.array_distinct(parents))
