@@ -127,10 +127,10 @@ SELECT q.u, q.w, q.sample, round(CASE WHEN x <= 0 THEN 0.0 WHEN x >= 1 THEN 1.0
     )
 )
 def betainc_tail(spark: SparkSession, d: str) -> DataFrame:
-    """The chance that node u's frequency is below that implied for w, for nodes of the same residue modulo 5."""
+    """The chance that node u's frequency is below that implied for w, for all ordered pairs. The twin has those of one residue modulo 5."""
     c = cells(spark, d)
     b = c.select(F.col("node").alias("w"), "sample", (F.lit(0.5) * F.least(F.lit(1.0), F.col("v") / (F.col("omega") * F.col("n")))).alias("x"))
-    rows = c.select(F.col("node").alias("u"), "sample", "v", "n").join(b, "sample").where("u <> w and u % 5 = w % 5")
+    rows = c.select(F.col("node").alias("u"), "sample", "v", "n").join(b, "sample").where("u <> w")
     return rows.select("u", "w", "sample", r6(betainc(F.col("v") + 1, F.col("n") - F.col("v") + 1, F.col("x"))).alias("p"))
 
 

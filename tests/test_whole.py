@@ -1,9 +1,10 @@
 """Queries and operators against brute force over all that they are asked for, where a twin covers less or there is none."""
 
 import itertools
+import math
 
 from arbora import catalog
-from arbora.sources.views import tree_set
+from arbora.sources.views import cells, tree_set
 
 
 def test_powerset_has_the_child_sets_of_every_tree(spark, sf):
@@ -13,3 +14,21 @@ def test_powerset_has_the_child_sets_of_every_tree(spark, sf):
     want = [(t, v, c) for (t, v), own in kids.items() for n in (1, 2) for c in itertools.combinations(sorted(own), n)]
     got = [(r.t, r.v, tuple(r.c)) for r in catalog.queries()["powerset"](spark, sf).collect()]
     assert sorted(got) == sorted(want) and sum(t in (3, 7) for t, *_ in got) == 650
+
+
+def test_betainc_tail_has_all_pairs(spark, sf):
+    reads = {(r.node, r.sample): r for r in cells(spark, sf).collect()}
+
+    def tail(v, n, x):  # at least v + 1 of n + 1 draws
+        log = lambda j: math.lgamma(n + 2) - math.lgamma(j + 1) - math.lgamma(n - j + 2) + j * math.log(x) + (n + 1 - j) * math.log1p(-x)
+        return float(x >= 1) if not 0 < x < 1 else math.fsum(math.exp(log(j)) for j in range(v + 1, n + 2))
+
+    want = {}
+    for (u, s), a in reads.items():
+        for (w, other), b in reads.items():
+            if s == other and u != w:
+                want[u, w, s] = tail(a.v, a.n, 0.5 * min(1.0, b.v / (b.omega * b.n)))
+    rows = catalog.queries()["betainc_tail"](spark, sf).collect()
+    got = {(r.u, r.w, r.sample): r.p for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1.1e-6
