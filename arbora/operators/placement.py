@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arbora.functions import EPSILON, betainc, clip, softmax, wald_interval
 from arbora.functions.numeric import MIN_OMEGA, MIN_VAR_READS
 from arbora.operators.reads import max_log_sum
-from arbora.operators.trees import subsets
+from arbora.operators.trees import child_sets
 
 #: Codes of the two kinds of action (fixed values): u takes over children of v, or becomes a leaf under v.
 SPLIT, LEAF = 1, 2
@@ -18,20 +18,18 @@ def candidates(branches: DataFrame, max_placements: int = 10, monoprimary: bool
     """``branches`` (parents, u, ...) with v, c, model: each way to put u under the root or a placed node v.
 
     Leaf: c is empty. Split: c is a non-empty set of at most ``max_placements`` children of v. ``monoprimary`` forbids leaves
-    under the root; where that leaves nothing, u may become a leaf under any node, the root too (``fallback``).
+    under the root; where that leaves nothing, u may become a leaf under any node, the root too (``fallback``). Any number of
+    children will do: sets grow as rows, up to the size asked for.
     """
     placed = F.filter(F.transform("parents", lambda p, i: F.when(p >= 0, i + 1).otherwise(-1)), lambda v: v > 0)
     at = branches.withColumn("placed", placed).withColumn("v", F.explode(F.concat(F.array(F.lit(0)), "placed")))
     below = F.filter(F.transform("parents", lambda p, i: F.when(p == F.col("v"), i + 1).otherwise(-1)), lambda x: x > 0)
     at = at.withColumn("children", below).drop("placed")
-    none = F.array().cast("array<int>")
-    split = F.when(F.size("children") > 0, F.transform(subsets(F.col("children"), max_placements), lambda c: F.struct(c.cast("array<int>").alias("c"), F.lit(SPLIT).alias("model"))))
-    leaf = F.array(F.struct(none.alias("c"), F.lit(LEAF).alias("model")))
     keep = (F.col("v") != 0) if monoprimary else F.lit(True)
     lone = F.forall("parents", lambda p: p < 0) if monoprimary else F.lit(False)
-    options = F.concat(F.coalesce(split, F.array().cast("array<struct<c:array<int>,model:int>>")), F.when(keep | lone, leaf).otherwise(F.array().cast("array<struct<c:array<int>,model:int>>")))
-    out = at.withColumn("o", F.explode(options)).withColumn("fallback", lone)
-    return out.select("*", "o.c", "o.model").drop("o")
+    none, leaf = F.array().cast("array<array<int>>"), F.array(F.array().cast("array<int>"))
+    out = child_sets(at, max_placements, "children", F.when(keep | lone, leaf).otherwise(none))
+    return out.withColumns({"fallback": lone, "model": F.when(F.size("c") > 0, SPLIT).otherwise(LEAF)})
 
 
 def _tail(b: Column, t: Column, omega: Column, x: Column) -> Column:

@@ -74,12 +74,13 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
     first = with_data(cells.sparkSession.range(p.instances).select(F.col("id").cast("int").alias("instance")), packed)
     fits = F.transform("samples", lambda s: F.struct(s["sample"].alias("sample"), root.alias("f"), root.alias("eta")))
     queue = first.select("instance", F.array_repeat(F.lit(-1), n).alias("parents"), F.lit(0).alias("step"), F.lit(0.0).alias("score"), F.lit(0.0).alias("llh"), fits.alias("fits"))
-    columns, seen, done = queue.columns, None, None
+    columns, seen, done, widest = queue.columns, None, None, 1
+    same = lambda v: F.size(F.filter("parents", lambda p: (p == v) & (p >= 0)))
     size = dict.fromkeys(range(p.instances), p.beam_width)
     for step in range(max_steps):
         ranked = queue.withColumn("rn", F.row_number().over(Window.partitionBy("instance").orderBy("score", "parents")))
         left = F.element_at(F.create_map(*[F.lit(x) for i in size for x in (i, size[i])]), F.col("instance"))
-        fresh = _expand(ranked.where(F.col("rn") <= p.expansion_factor).drop("rn"), order, packed, n, p)
+        fresh = _expand(ranked.where(F.col("rn") <= p.expansion_factor).drop("rn"), order, packed, n, p, widest)
         if seen is not None:
             fresh = fresh.join(seen, ["instance", "parents"], "left_anti")
         again = Window.partitionBy("instance", "parents").orderBy("score", "origin")
@@ -87,7 +88,7 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
         kept = ranked.where((F.col("rn") > p.expansion_factor) & (F.col("rn") <= left)).select(*columns, F.lit(None).cast("array<int>").alias("origin"), F.lit(False).alias("new"))
         state = stash(fresh.unionByName(kept), "state", release=step % 10 == 9)
         whole = F.col("step") == n
-        counts = state.groupBy("instance").agg(F.count_distinct(F.when(whole, F.col("origin"))).alias("finished"), F.count_if(~whole).alias("left")).collect()  # one small row for each instance
+        counts = state.groupBy("instance").agg(F.count_distinct(F.when(whole, F.col("origin"))).alias("finished"), F.count_if(~whole).alias("left"), F.max(F.array_max(F.transform("parents", same))).alias("widest")).collect()  # one small row for each instance
         for r in counts:
             size[r["instance"]] = max(0, size[r["instance"]] - r["finished"])
         if any(r["finished"] for r in counts):
@@ -95,7 +96,7 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
             done = part if done is None else done.unionByName(part)
         if not sum(r["left"] for r in counts):
             break
-        queue = state.where(~whole).select(*columns)
+        queue, widest = state.where(~whole).select(*columns), max(r["widest"] for r in counts)
         found = state.where("new").select("instance", "parents")
         seen = found if seen is None else seen.unionByName(found)
         if step % 10 == 9:
@@ -104,11 +105,14 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
     return done.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= p.beam_width).drop("rn")
 
 
-def _expand(branches: DataFrame, order: DataFrame, packed: DataFrame, n: int, p: SearchParams) -> DataFrame:
-    """Children of ``branches``, fitted, scored and cut: instance, parents, step, score, llh, fits, origin."""
+def _expand(branches: DataFrame, order: DataFrame, packed: DataFrame, n: int, p: SearchParams, widest: int) -> DataFrame:
+    """Children of ``branches``, fitted, scored and cut: instance, parents, step, score, llh, fits, origin.
+
+    No node of the branches has more than ``widest`` children, so no set of children needs more rounds than that.
+    """
     up = order.select("instance", (F.col("rank") - 1).alias("step"), "u")
     rows = with_data(branches.join(F.broadcast(up), ["instance", "step"]), packed).withColumnRenamed("score", "parent_score")
-    cands = placement.candidates(rows, p.max_placements, p.force_monoprimary)
+    cands = placement.candidates(rows, min(p.max_placements, widest), p.force_monoprimary)
     keys = ["instance", "parents", "v", "c", "model", "u", "step", "parent_score", "fallback"]
     scored = placement.scores(placement.expand_samples(cands), keys)
     scored = scored.withColumn("score", F.when(F.col("fallback"), 0.0).otherwise(F.col("score")))

@@ -133,15 +133,14 @@ def apply_action(parents: str, u: Column, v: Column, c: Column) -> Column:
 
 
 def subsets(children: Column, largest: int) -> Column:
-    """All non-empty subsets of an array with at most ``largest`` members, as an array of arrays.
+    """All non-empty subsets of a sorted array of distinct nodes with at most ``largest`` members, as an array of arrays.
 
-    Exponential in the array's size by nature; arrays of over 20 members are refused unless ``largest`` is below 4.
+    They grow by one larger member a round, so the work follows their number, but all of them are in one row: see ``child_sets``.
     """
-    size = F.size(children)
-    if largest >= 4:
-        size = F.when(size > 20, F.raise_error(F.lit("more than 20 children: lower max_placements"))).otherwise(size)
-    masks = F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), size.cast("int")) - 1), lambda m: F.bit_count(m) <= largest)
-    return F.transform(masks, lambda m: F.filter(children, lambda x, i: F.getbit(m, i) == 1))
+    single = F.transform(children, lambda x: F.array(x))
+    larger = lambda s: F.transform(F.filter(children, lambda x: x > F.element_at(s, -1)), lambda x: F.concat(s, F.array(x)))
+    grown = lambda sets, size: F.concat(sets, F.flatten(F.transform(F.filter(sets, lambda s: F.size(s) == size), larger)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(largest - 1)), single, grown) if largest > 1 else single
 
 
 def child_sets(rows: DataFrame, largest: int, children: str = "children", also: Column | None = None) -> DataFrame:

@@ -3,7 +3,11 @@
 import itertools
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
 from arbora import catalog
+from arbora.operators import placement, trees
 from arbora.sources.views import cells, tree_set
 
 
@@ -32,3 +36,18 @@ def test_betainc_tail_has_all_pairs(spark, sf):
     got = {(r.u, r.w, r.sample): r.p for r in rows}
     assert len(rows) == len(got) and got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1.1e-6
+
+
+@pytest.mark.parametrize(("n", "largest"), [(21, 4), (25, 3), (31, 2), (32, 2), (40, 1), (70, 2), (6, 10)])
+def test_candidates_take_all_sets_of_the_asked_size(spark, n, largest):
+    star = spark.createDataFrame([([0] * n + [-1], n + 1)], "parents array<int>, u int")
+    got = [(r.v, tuple(r.c), r.model) for r in placement.candidates(star, largest).select("v", "c", "model").collect()]
+    sets = [c for k in range(1, min(n, largest) + 1) for c in itertools.combinations(range(1, n + 1), k)]
+    want = [(0, c, placement.SPLIT) for c in sets] + [(v, (), placement.LEAF) for v in range(n + 1)]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize(("n", "largest"), [(32, 2), (21, 4)])
+def test_subsets_of_many_children(spark, n, largest):
+    one = spark.range(1).select(trees.subsets(F.sequence(F.lit(1), F.lit(n)), largest).alias("s")).first()
+    assert sorted(map(tuple, one.s)) == sorted(c for k in range(1, largest + 1) for c in itertools.combinations(range(1, n + 1), k))
