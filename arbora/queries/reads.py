@@ -120,14 +120,14 @@ def wilson_ci(spark: SparkSession, d: str) -> DataFrame:
 @query(
     with_views(
         "cells",
-        """, q AS (SELECT a.node AS u, b.node AS w, a.sample, a.v, a.n, 0.5 * least(1.0, b.v / (b.omega * b.n)) AS x FROM cells a JOIN cells b ON a.sample = b.sample AND b.node % 5 = a.node % 5 AND a.node <> b.node),
+        """, q AS (SELECT a.node AS u, b.node AS w, a.sample, a.v, a.n, 0.5 * least(1.0, b.v / (b.omega * b.n)) AS x FROM cells a JOIN cells b ON a.sample = b.sample AND a.node <> b.node),
 t AS (SELECT u, w, sample, n, x, unnest(range(v + 1, n + 2)) AS j FROM q WHERE x > 0 AND x < 1),
 s AS (SELECT u, w, sample, sum(exp(lgamma(n + 2.0) - lgamma(j + 1.0) - lgamma(n - j + 2.0) + j * ln(x) + (n + 1 - j) * ln(1 - x))) AS p FROM t GROUP BY ALL)
 SELECT q.u, q.w, q.sample, round(CASE WHEN x <= 0 THEN 0.0 WHEN x >= 1 THEN 1.0 ELSE p END, 6) + 0.0 AS p FROM q LEFT JOIN s USING (u, w, sample)""",
     )
 )
 def betainc_tail(spark: SparkSession, d: str) -> DataFrame:
-    """The chance that node u's frequency is below that implied for w, for all ordered pairs. The twin has those of one residue modulo 5."""
+    """The chance that node u's frequency is below that implied for w, for all ordered pairs."""
     c = cells(spark, d)
     b = c.select(F.col("node").alias("w"), "sample", (F.lit(0.5) * F.least(F.lit(1.0), F.col("v") / (F.col("omega") * F.col("n")))).alias("x"))
     rows = c.select(F.col("node").alias("u"), "sample", "v", "n").join(b, "sample").where("u <> w")
