@@ -121,18 +121,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed_words: int = SE
 
     Seed: every window selects one anchor by winnowing, so two equal windows meet at equal anchors; about 2 in
     ``window - seed_words + 2`` words start one. Extend: an anchor's span reaches both ways as far as the anchor is selected.
-    Equal spans are counted, never paired: a span found twice repeats in all its windows. Only where spans of one anchor
-    differ (at the ends of a passage), their windows are compared one by one, one representative for each distinct span.
-    So the rows grow with the text, not with the square of a group, and every count is a partial aggregate.
+    Equal spans are counted, never paired: a span found twice repeats in all its windows. The count of an anchor carries the
+    spans of two of its rows; where these agree (always, if all spans do; nearly always, if one span prevails) that span is
+    known to repeat, and its rows are settled by the one join on anchors. Only the other rows of an anchor with different spans
+    (at the ends of a passage) are joined with the spans' own counts, and their windows are compared one by one, one
+    representative for each distinct span. So the rows grow with the text, not with the square of a group, and every count is
+    a partial aggregate. Which two rows an anchor shows depends on the partitions; what is settled by them does not.
     """
     if not 0 < seed_words <= window < 64 + seed_words - 1:
         raise ValueError("seed_words must lie in 1..window, and an anchor may own 63 windows at most")
     keyed = _keyed(docs, id_col, text_col)
     seeds = stash(keyed.select("key", "text").mapInArrow(_seeder(window, seed_words), "key long, anchor long, span long, at long"), "seeds")
 
-    again = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
-    again = stash(again.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "repeated_anchors")
-    found = stash(seeds.join(again, "anchor"), "repeated_seeds")
+    again = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f("span").alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.first, "one"), (F.last, "other"))])
+    sure = F.when(F.col("one") == F.col("other"), F.col("one"))  # the spans of two different rows
+    again = stash(again.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), sure.alias("sure")), "repeated_anchors")
+    found = seeds.join(again, "anchor").select("key", "anchor", "span", "at", "mixed", F.coalesce(F.col("span") == F.col("sure"), F.lit(False)).alias("whole"))
+    found = stash(found, "repeated_seeds")
 
     mixed = found.where("mixed")
     spans = mixed.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("at").alias("at"))
@@ -142,8 +147,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed_words: int = SE
     windows = stash(windows, "windows")
     twice = stash(windows.groupBy("anchor", "hash").agg(F.sum("often").alias("n")).where("n > 1").select("anchor", "hash"), "repeated_windows")
 
-    whole = found.where("not mixed").select("key", "at")
-    whole = whole.unionByName(mixed.join(spans.where("often > 1").select("anchor", "span"), ["anchor", "span"]).select("key", "at"))
+    whole = found.where("whole").select("key", "at")
+    whole = whole.unionByName(mixed.where("not whole").join(spans.where("often > 1").select("anchor", "span"), ["anchor", "span"]).select("key", "at"))
     single = windows.where("often = 1").join(twice, ["anchor", "hash"]).select("key", (F.col("start") * 64 + 1).alias("at"))
     return whole.unionByName(single).groupBy("key").agg(F.collect_list("at").alias("at"))
 
