@@ -1,29 +1,36 @@
-"""Near-duplicate vectors: inverted lists with product-quantised residuals, probed without loss, reranked by exact cosine."""
+"""Near-duplicate vectors: inverted lists with product-quantised residuals, probed near their borders, reranked by exact cosine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from arbora.llm.graph import components, forest
-from arbora.llm.vectors import finite, kmeans, matrix, nearest, usual_length
+from arbora.llm.vectors import finite, kmeans, matrix, nearest
 from arbora.plans import stash
 
 COSINE = 0.95
-#: Bounds of the model: rows it is fitted on, inverted lists, subspaces, and codes of each.
+#: Rows that one inverted list should hold: the number of lists grows with the vectors.
+LIST_ROWS = 512
+#: Bounds of the model: rows it is fitted on (about), coarse centers, subspaces, and codes of each.
 SAMPLE_ROWS = 40_000
-MAX_LISTS = 1024
+COARSE_LISTS = 1024
 SUBSPACES = 8
 CODES = 64
+#: How far across a border a vector probes, in units of the step that a link makes along one direction (radius / sqrt(dim)).
+#: Both ends of a link probe, so it is missed only if it crosses a border by more than twice that.
+SLACK = 2.5
 #: Rows of one list that meet in one block, as index and as queries; longer lists are split into blocks of about this size.
 BLOCK_ROWS = 4096
 
-_SLACK = 1e-6
+_ROUNDING = 1e-6
 
 
 @dataclass(frozen=True)
@@ -77,50 +84,100 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _assigner(model: PQ, dim: int, radius: float) -> Callable:
-    between = np.sqrt(nearest(model.centers, model.centers)[1])
+def layout(n: int, list_rows: int, coarse: int, codes: int, subspaces: int) -> tuple[int, int]:
+    """(coarse centers, residual codes in a list's key) that give about ``n / list_rows`` lists."""
+    wanted, levels = max(1.0, n / list_rows), 0
+    while wanted / codes**levels > coarse and levels < subspaces:
+        levels += 1
+    return max(1, min(coarse, round(wanted / codes**levels))), levels
 
+
+def _close(d: np.ndarray, at: np.ndarray, between: np.ndarray, slack: float) -> np.ndarray:
+    """Which cells lie within ``slack`` of each row, by the distance to the border between a cell and the row's own."""
+    each = np.arange(len(at))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        near = (d - d[each, at][:, None]) / (2 * between[at]) <= slack + _ROUNDING  # 0 / 0 for a center that repeats: never used
+    near[each, at] = True
+    return near
+
+
+class Lists:
+    """Where vectors live and which lists they probe. A list is a coarse center and the first ``levels`` residual codes."""
+
+    def __init__(self, model: PQ, levels: int, slack: float):
+        self.model, self.levels, self.slack = model, levels, slack
+        self.between = np.sqrt(nearest(model.centers, model.centers)[1])
+        self.word_between = [np.sqrt(nearest(w, w)[1]) for w in model.words[:levels]]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home of each row, row of each probe in order, list of each probe)"""
+        at, d = nearest(x, self.model.centers)
+        row, coarse = np.nonzero(_close(d, at, self.between, self.slack))
+        home, probe = at.astype(np.int64), coarse.astype(np.int64)
+        codes = self.model.words.shape[1]
+        for m in range(self.levels):
+            part = lambda i, c: self.model.split(x[i] - self.model.centers[c])[:, m]  # noqa: E731, B023
+            own, _ = nearest(part(np.arange(len(x)), at), self.model.words[m])
+            home = home * codes + own
+            code, d = nearest(part(row, coarse), self.model.words[m])
+            i, word = np.nonzero(_close(d, code, self.word_between[m], self.slack))
+            row, coarse, probe = row[i], coarse[i], probe[i] * codes + word
+        return home, row, probe
+
+    def center(self, key: int) -> np.ndarray:
+        return self.model.centers[key // self.model.words.shape[1] ** self.levels]
+
+
+ROWS = "rid long, weight long, vec array<{0}>, home long, probes array<long>"
+
+
+def _assigner(lists: Lists, dim: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, probes = [], []
+            homes, counts, probes = [], [], []
             for start in range(0, batch.num_rows, 1024):
-                x = unit(matrix(batch.column(3).slice(start, 1024), dim))
-                at, d = nearest(x, model.centers)
-                own = d[np.arange(len(x)), at][:, None]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    far = (d - own) / (2 * between[at])
-                near = ~(far > radius + _SLACK)  # what is in list c is at least this far; the own list is 0 / 0
-                home += at.tolist()
-                probes += [np.flatnonzero(r).tolist() for r in near]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(probes, pa.list_(pa.int32()))], ["rid", "id", "weight", "vec", "home", "probes"])
+                x = unit(matrix(batch.column(2).slice(start, 1024), dim))
+                home, row, probe = lists.place(x)
+                homes.append(home)
+                counts.append(np.bincount(row, minlength=len(x)))
+                probes.append(probe)
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            probed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(probes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(homes)), probed], ["rid", "weight", "vec", "home", "probes"])
 
     return run
 
 
 class _Block:
-    """The index rows of one block of one list."""
+    """The index rows of one block of one list: exact vectors, codes, and the lists that each row probes itself."""
 
-    def __init__(self, key: tuple, model: PQ):
-        self.key, self.model, self.parts = key, model, []
+    def __init__(self, key: tuple, lists: Lists):
+        self.key, self.model, self.center, self.parts = key, lists.model, lists.center(key[0]), []
 
-    def add(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray) -> None:
-        codes, error = self.model.encode(x - self.model.centers[self.key[0]])
-        self.parts.append((ids, weights, x, codes, error))
+    def add(self, rid: np.ndarray, weight: np.ndarray, x: np.ndarray, probes: pa.ListArray) -> None:
+        owner = np.repeat(np.arange(len(rid)), np.diff(probes.offsets.to_numpy()))
+        self.parts.append((rid, weight, x, *self.model.encode(x - self.center), owner, probes.flatten().to_numpy()))
 
-    def search(self, x: np.ndarray, cosine: float, radius: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(first query, query of each link, id of each link, weight of each link), some queries at a time."""
-        for ids, weights, own, codes, error in self.parts:
+    def search(self, x: np.ndarray, home: np.ndarray, cosine: float, radius: float) -> Iterator[tuple]:
+        """(query, id, weight of each link, whether its other end does not probe the query's home), some queries at a time."""
+        for rid, weight, own, codes, error, owner, probed in self.parts:
             for start in range(0, len(x), 256):
                 q = x[start : start + 256]
-                close = self.model.distances(q - self.model.centers[self.key[0]], codes) <= radius + error[None, :] + _SLACK
+                close = self.model.distances(q - self.center, codes) <= radius + error[None, :] + _ROUNDING
                 a, b = np.nonzero(close)
                 right = np.einsum("ij,ij->i", q[a], own[b]) >= cosine
-                yield start, a[right], ids[b[right]], weights[b[right]]
+                a, b = start + a[right], b[right]
+                alone, away = np.zeros(len(a), bool), np.flatnonzero(home[a] != self.key[0])
+                if len(away):
+                    names, at = np.unique(np.concatenate([probed, home[a[away]]]), return_inverse=True)
+                    known = owner * len(names) + at[: len(probed)]
+                    alone[away] = ~np.isin(b[away] * len(names) + at[len(probed) :], known)
+                yield a, rid[b], weight[b], alone
 
 
-def _searcher(model: PQ, dim: int, cosine: float, radius: float) -> Callable:
+def _searcher(lists: Lists, dim: int, cosine: float, radius: float) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         for batch in batches:
@@ -129,20 +186,23 @@ def _searcher(model: PQ, dim: int, cosine: float, radius: float) -> Callable:
             cols = [batch.column(i).to_numpy() for i in range(7)]
             keys = np.stack(cols[:4], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            x = unit(matrix(batch.column(7), dim))
+            x = unit(matrix(batch.column(8), dim))
             out: list[list[np.ndarray]] = [[], [], []]
             for rows in np.split(np.arange(len(keys)), cuts):
                 key, is_query = tuple(keys[rows[0], :3].tolist()), keys[rows[0], 3]
                 if block is None or block.key != key:
-                    block = _Block(key, model)
-                rid, ids, weights = (c[rows] for c in cols[4:7])
+                    block = _Block(key, lists)
+                rid, weight, home = (c[rows] for c in cols[4:7])
                 if not is_query:
-                    block.add(ids, weights, x[rows])
+                    block.add(rid, weight, x[rows], batch.column(7).slice(rows[0], len(rows)))
                     continue
                 found = np.zeros(len(rows), np.int64)
-                for start, a, other, weight in block.search(x[rows], cosine, radius):
-                    np.add.at(found, start + a, weight)
-                    node, root = forest(ids[start + a], other) if len(a) else (a, a)
+                for a, other, more, alone in block.search(x[rows], home, cosine, radius):
+                    np.add.at(found, a, more)
+                    back, at = np.unique(other[alone], return_inverse=True)
+                    node, root = forest(rid[a], other) if len(a) else (a, a)
+                    for c, v in zip(out, (np.bincount(at, weight[a[alone]], len(back)).astype(np.int64), back, back)):
+                        c.append(v)
                     for c, v in zip(out, (np.zeros_like(node), node, root)):
                         c.append(v)
                 some = found > 0
@@ -154,63 +214,74 @@ def _searcher(model: PQ, dim: int, cosine: float, radius: float) -> Callable:
     return run
 
 
-def cosine_links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
-    """For distinct vectors (rid, id, weight, vec): their link counts (rid, n) and links with the same components (a, b).
+def cosine_links(vectors: DataFrame, dim: int, cosine: float = COSINE, slack: float = SLACK) -> tuple[DataFrame, DataFrame]:
+    """For distinct vectors of ``dim`` components (rid, weight, vec): link counts (rid, n) and links with the same components (a, b).
+
+    Unit vectors live in the list of their nearest center and residual codes, and probe every list whose border with their own
+    is closer than ``slack * radius / sqrt(dim)``, for the radius of the threshold. A link whose ends live in two lists is
+    found if either end probes the other's list, and is then counted for both; so it is lost only if it crosses the border by
+    over twice the slack, five standard deviations of a link of random direction (``slack >= sqrt(dim)`` is lossless). In a
+    list, the asymmetric distance may be wrong by the coding error of the row, which the index knows, so rows beyond the
+    threshold plus that error are dropped without loss; the exact cosine decides on the rest.
 
-    Unit vectors go to the list of their nearest center and probe every list that can hold a vector within the distance of the
-    threshold: a vector of list c is at least (d(q, c)^2 - d(q, own)^2) / (2 d(c, own)) from q. In a list, the asymmetric
-    distance may be wrong by the coding error of the row, which the index knows, so rows beyond the threshold plus that error
-    are dropped without loss; the exact cosine decides on the rest. ``n`` counts ``weight`` rows for each linked vector, the
-    vector's own included. A block's links are thinned to a forest before they leave the task, so groups of near copies
-    give rows in proportion to their size. Lists of any length are split into blocks, on the index and on the query side.
+    ``n`` counts ``weight`` rows for each linked vector, the vector's own included. A block's links are thinned to a forest
+    before they leave the task, so groups of near copies give rows in proportion to their size. Lists of any length are split
+    into blocks, on the index and on the query side. The model is fitted on about ``SAMPLE_ROWS`` vectors at most.
     """
-    dim = usual_length(vectors, "vec")
     n = vectors.count()
-    spark = vectors.sparkSession
-    if not n:
-        return spark.createDataFrame([], "rid long, n long"), spark.createDataFrame([], "a long, b long")
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    got = vectors.orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE_ROWS).select("vec").toArrow()
-    sample = unit(matrix(got.column(0).combine_chunks(), dim))
-    model = fit(sample, int(min(MAX_LISTS, max(1, round(n**0.5 / 2)))))
-    shared = _assigner(model, dim, radius)
-    rows = stash(vectors.select("rid", "id", "weight", "vec").mapInArrow(shared, "rid long, id long, weight long, vec array<double>, home int, probes array<int>"), "lists")
+    coarse, levels = layout(n, LIST_ROWS, COARSE_LISTS, CODES, SUBSPACES)
+    wanted = min(SAMPLE_ROWS, max(64 * coarse, 64 * CODES))
+    chosen = F.shiftrightunsigned(F.xxhash64("vec"), 1) / F.lit(float(1 << 63)) < min(1.0, wanted / max(n, 1))
+    sample = vectors.where(chosen).select("vec").toArrow().column(0).combine_chunks()  # about ``wanted`` rows
+    if not len(sample):
+        sample = vectors.limit(1).select("vec").toArrow().column(0).combine_chunks()
+    lists = Lists(fit(unit(matrix(sample, dim)), coarse), levels, radius * min(1.0, slack / dim**0.5))
+    kind = vectors.schema["vec"].dataType.elementType.simpleString()
+    rows = stash(vectors.select("rid", "weight", "vec").mapInArrow(_assigner(lists, dim), ROWS.format(kind)), "lists")
 
     long = F.lit(BLOCK_ROWS)
     own = rows.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count(F.lit(1)) / long).cast("int").alias("blocks"))
     asked = rows.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / long).cast("int").alias("shares"))
-    sizes = F.broadcast(stash(own.join(asked, "list"), "list_sizes"))  # at most MAX_LISTS rows
+    sizes = stash(own.join(asked, "list"), "list_sizes")
     part = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = rows.withColumnRenamed("home", "list").join(sizes, "list").withColumn("block", part("blocks")).select("list", "block", every("shares").alias("share"), F.lit(0).alias("query"), "rid", "id", "weight", "vec")
-    query = rows.select("rid", "id", "weight", "vec", F.explode("probes").alias("list")).join(sizes, "list").withColumn("share", part("shares"))
-    query = query.select("list", every("blocks").alias("block"), "share", F.lit(1).alias("query"), "rid", "id", "weight", "vec")
+    index = rows.withColumn("list", F.col("home")).join(sizes, "list").withColumn("block", part("blocks"))
+    index = index.select("list", "block", every("shares").alias("share"), F.lit(0).alias("query"), "rid", "weight", "home", "probes", "vec")
+    query = rows.select("rid", "weight", "home", "vec", F.explode("probes").alias("list")).join(sizes, "list").withColumn("share", part("shares"))
+    query = query.select("list", every("blocks").alias("block"), "share", F.lit(1).alias("query"), "rid", "weight", "home", F.array().cast("array<long>").alias("probes"), "vec")
     keys = ["list", "block", "share"]
     both = index.unionByName(query).repartition(*keys).sortWithinPartitions(*keys, "query")
-    found = stash(both.mapInArrow(_searcher(model, dim, cosine, radius), "n long, a long, b long"), "links")
+    found = stash(both.mapInArrow(_searcher(lists, dim, cosine, radius), "n long, a long, b long"), "links")
     return found.where("n > 0").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n")), found.where("n = 0").select("a", "b")
 
 
-def vector_groups(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def vector_groups(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", slack: float = SLACK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``embeddings``.
 
     Equal vectors are one node with a weight, so a group of copies costs one row in the search and still counts in full.
-    Vectors that are null, empty, all zero, or hold a null or a number that isn't finite link with nothing, nor do those of
-    another length than the commonest and rows without an id. Such a row is its own component. Repeated rows count as further
-    vectors. Extra columns, labels too, are ignored; an empty table gives an empty result.
+    Vectors that are null, empty, all zero, or hold a null or a number that isn't finite link with nothing, nor do rows without
+    an id; such a row is its own component. Vectors of one length are compared with each other, each length by an index of its
+    own. Repeated rows count as further vectors, and rows that share an id are told apart by their vectors. Extra columns,
+    labels too, are ignored; an empty table gives an empty result.
     """
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"))
+    kind = "float" if isinstance(embeddings.schema[vec_col].dataType.elementType, FloatType) else "double"
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     fits = F.col("vec_id").isNotNull() & finite("vec") & F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
-    dim = usual_length(rows.where(fits), "vec")
-    fits = F.coalesce(fits & (F.size("vec") == dim), F.lit(False))
-    rows = rows.select("vec_id", "vec", F.when(fits, F.xxhash64("vec")).alias("rid"))
-    distinct = rows.where("rid is not null").groupBy("rid", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    distinct = stash(distinct, "distinct_vectors")
-    counts, links = cosine_links(distinct, cosine)
-    comp = components(links)
-    heads = distinct.select("rid", "id").join(counts, "rid", "left").join(comp, distinct["id"] == comp["node"], "left")
-    heads = stash(heads.select("rid", F.col("n"), F.coalesce("component", "id").alias("component")), "component_of_vector")
-    out = rows.select("vec_id", "rid").join(heads, "rid", "left")
+    hashes = {"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit("vector"), "vec")}  # 128 bits of a vector, to find its node again
+    rows = rows.select("vec_id", F.when(F.coalesce(fits, F.lit(False)), F.col("vec")).alias("vec"))
+    distinct = rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    distinct = stash(distinct.select(F.monotonically_increasing_id().alias("rid"), "id", "weight", "vec", F.size("vec").alias("dim")).withColumns(hashes), "distinct_vectors")
+    lengths = [r["dim"] for r in distinct.select("dim").distinct().collect()]
+    found = [cosine_links(distinct.where(F.col("dim") == n), n, cosine, slack) for n in sorted(lengths)]
+    if not found:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    counts, links = (reduce(DataFrame.unionByName, x) for x in zip(*found))
+    nodes = distinct.select("rid", "id", "h1", "h2").join(counts, "rid", "left").join(components(links).withColumnRenamed("node", "rid"), "rid", "left")
+    nodes = stash(nodes, "nodes")
+    first = nodes.where("component is not null").groupBy("component").agg(F.min("id").alias("first"))
+    heads = nodes.join(first, "component", "left").select("h1", "h2", "n", F.coalesce("first", "id").alias("component"))
+    out = rows.select("vec_id", *[F.when(F.col("vec").isNotNull(), h).alias(c) for c, h in hashes.items()]).join(heads, ["h1", "h2"], "left")
     out = out.select("vec_id", F.coalesce(F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -38,7 +38,6 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     for _ in range(rounds):
         at, _ = nearest(x, centers)
         n = np.bincount(at, minlength=len(centers))
-        sums = np.zeros_like(centers)
-        np.add.at(sums, at, x)
+        sums = np.stack([np.bincount(at, column, len(centers)) for column in x.T], axis=1)
         centers = sums[n > 0] / n[n > 0, None]
     return centers

@@ -119,9 +119,11 @@ def vectors():
     return out + [(n, None, 9), (n + 1, [0.0] * 16, 9), (n + 2, [float("nan")] + [1.0] * 15, 9), (n + 3, [None] + [1.0] * 15, 9), (n + 4, [float("inf")] * 16, 9), (n + 5, [1.0, 2.0], 9), (n + 6, [], 9)]
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_vector_groups(spark, monkeypatch, block):
-    monkeypatch.setattr(pq, "BLOCK_ROWS", block)
+@pytest.mark.parametrize(("block", "list_rows", "coarse", "codes"), [(7, 512, 1024, 64), (4096, 16, 1024, 64), (50, 4, 3, 4)])
+def test_vector_groups(spark, monkeypatch, block, list_rows, coarse, codes):
+    """One list in small blocks, several lists, and lists split by residual codes."""
+    for name, value in (("BLOCK_ROWS", block), ("LIST_ROWS", list_rows), ("COARSE_LISTS", coarse), ("CODES", codes)):
+        monkeypatch.setattr(pq, name, value)
     rows = vectors()
     ok = {i: np.array(x) for i, x, _ in rows[:-7]}
     cos = lambda a, b: float(a / np.linalg.norm(a) @ (b / np.linalg.norm(b)))
@@ -133,6 +135,45 @@ def test_vector_groups(spark, monkeypatch, block):
     assert len(links) > 100 and len(got) == len(rows)
 
 
+def test_recall_on_planted_links(spark):
+    """64 dimensions, links right above the threshold, lists of about 100 rows: recall against brute force, and no false link."""
+    rng = np.random.default_rng(5)
+    base = pq.unit(rng.normal(size=(4000, 64)))
+    step = rng.normal(size=(1000, 64))
+    step -= (step * base[:1000]).sum(1, keepdims=True) * base[:1000]
+    cos = rng.uniform(0.951, 0.97, (1000, 1))
+    x = np.concatenate([base, cos * base[:1000] + np.sqrt(1 - cos**2) * pq.unit(step)]).astype(np.float32)
+    u = pq.unit(x.astype(float))
+    degree = ((u @ u.T) >= 0.95).sum(1) - 1
+    pq_rows, pq.LIST_ROWS = pq.LIST_ROWS, 100
+    try:
+        rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {r.vec_id: r.n_links for r in pq.vector_groups(rows).collect()}
+    finally:
+        pq.LIST_ROWS = pq_rows
+    assert degree.sum() >= 2000 and all(got[i] <= degree[i] for i in got)
+    assert sum(got.values()) >= 0.99 * degree.sum()
+
+
+def test_most_lists_are_not_probed():
+    rng = np.random.default_rng(6)
+    x = pq.unit(rng.normal(size=(6000, 64)))
+    coarse, levels = pq.layout(len(x), 100, 1024, 64, 8)
+    lists = pq.Lists(pq.fit(x, coarse), levels, np.sqrt(2 - 2 * pq.COSINE) * pq.SLACK / 8)
+    assert (coarse, levels) == (60, 0) and len(lists.place(x)[1]) < 0.25 * coarse * len(x)
+
+
+@pytest.mark.parametrize(("n", "want"), [(0, (1, 0)), (600, (1, 0)), (51_200, (100, 0)), (10**6, (31, 1)), (10**9, (477, 2))])
+def test_lists_grow_with_the_vectors(n, want):
+    assert pq.layout(n, 512, 1024, 64, 8) == want
+
+
+def test_rows_that_share_an_id_and_other_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.1])]
+    got = pq.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (5, 1, 4)]
+
+
 def test_vector_groups_of_nothing(spark):
     rows = spark.createDataFrame([(1, None), (None, [1.0])], "vec_id long, embedding array<double>")
     assert {(r.vec_id, r.n_links, r.component_id) for r in pq.vector_groups(rows).collect()} == {(1, 0, 1), (None, 0, None)}
