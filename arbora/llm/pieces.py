@@ -8,6 +8,7 @@ Maddison et al. 2014).
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -19,6 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLES = 3
+#: Characters of the texts that are sampled together (a longer text on its own), and chunks that are walked at once.
+BATCH_CHARS = 300_000
+WALKS = 1 << 16
+#: Characters of distinct chunks whose lattices a Python worker keeps, and the scale of a character's mass (a typical log).
+CACHED_CHARS = 1_000_000
+SCALE = 8.0
 SPACE = "▁"
 _U = np.uint64
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -43,13 +50,10 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((_mix(x) >> _U(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
-def _seeds(*parts: int) -> int:
-    x = 0x2545F4914F6CDD1D
-    for p in parts:
-        x = (x ^ p & (1 << 64) - 1) & (1 << 64) - 1
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-        x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
-        x ^= x >> 31
+def _seeds(x: np.ndarray, *codes: int) -> np.ndarray:
+    """Seeds of independent streams from other seeds."""
+    for c in codes:
+        x = _mix(x ^ _U(0x9E3779B97F4A7C15 * (c + 1) & (1 << 64) - 1))
     return x
 
 
@@ -78,6 +82,9 @@ class Pieces:
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 usual.append(i)
                 self.decoded[i] = name.replace(SPACE, " ").encode()
+        self.decoded_bytes = np.frombuffer(b"".join(self.decoded), np.uint8)
+        self.decoded_sizes = np.array([len(x) for x in self.decoded], np.int64)
+        self.decoded_at = np.cumsum(self.decoded_sizes) - self.decoded_sizes
         scores = np.array([m.get_score(i) for i in usual])
         if scores.min() <= -len(usual) / 2:  # ranks
             top = np.log(1 / np.arange(1, len(usual) + 2)).astype(float)
@@ -91,6 +98,7 @@ class Pieces:
             raise ValueError("pieces that go on past a space are not supported")
         self.names = {names[i]: i for i in usual}
         self.longest = max(map(len, self.names), default=0)
+        self.kept: Lattice | None = None
         known: dict[int, int] = {}
         for name, i in self.names.items():
             chars = np.frombuffer(name.encode("utf-32-le"), "<u4").astype(_U)
@@ -117,6 +125,12 @@ class Pieces:
             wrong = wrong[(self.slots[at[wrong]] != h[wrong]) & (out[wrong] != -2)]
         return out
 
+    def lattice(self) -> Lattice:
+        """The lattices kept so far, or none if they have grown too large; that costs time and changes nothing."""
+        if self.kept is None or len(self.kept.chars) > CACHED_CHARS:
+            self.kept = Lattice(self)
+        return self.kept
+
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut before each run of spaces: no piece goes on past such a cut."""
         return _RUNS.findall(self.normalize(text).replace(" ", SPACE)) if text else []
@@ -125,70 +139,142 @@ class Pieces:
         data = b"".join(map(self.decoded.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode(errors="replace")
 
+    def decodes(self, ids: np.ndarray, text: str) -> bool:
+        """Whether the ids give back the text, some at a time."""
+        want, at = text.encode(), 0
+        for start in range(0, len(ids), 1 << 18):
+            some = ids[start : start + (1 << 18)]
+            sizes = self.decoded_sizes[some]
+            data = self.decoded_bytes[np.arange(sizes.sum()) + np.repeat(self.decoded_at[some] - (np.cumsum(sizes) - sizes), sizes)].tobytes()
+            data = data[1:] if start == 0 and data[:1] == b" " else data
+            if not want.startswith(data, at):
+                return False
+            at += len(data)
+        return at == len(want)
+
 
 @lru_cache(2)
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+class _Numbers(dict):
+    """Numbers chunks as they come, and remembers those that are new."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.fresh.append(chunk)
+        self[chunk] = n = len(self)
+        return n
+
+
 class Lattice:
-    """The lattices of distinct chunks side by side: a state is a character's place, an edge a piece that starts there."""
+    """The lattices of all chunks seen so far, side by side: a state is a character's place, an edge a piece that starts there.
 
-    def __init__(self, vocab: Pieces, chunks: list[str]):
+    first: each chunk's first state. edges_at: each state's first edge. start, target, ids: an edge's states (-1 for the end of
+    the chunk) and piece (-w for a character of w bytes without one). log: its log probability among all ways on from its
+    state; others: that of the state's other edges, -inf if it has none; reach: the sum of probabilities up to it.
+    """
+
+    KINDS = {"first": np.int64, "chars": np.uint32, "edges_at": np.int64, "start": np.int32, "target": np.int32, "ids": np.int32, "log": np.float64, "others": np.float64, "reach": np.float64}
+
+    def __init__(self, vocab: Pieces):
+        self.vocab, self.numbers, self.buffers = vocab, _Numbers(), {}
+        for name, kind in self.KINDS.items():
+            self.buffers[name] = np.zeros(1024, kind)
+            setattr(self, name, self.buffers[name][: int(name == "edges_at")])
+
+    def _append(self, name: str, new: np.ndarray) -> None:
+        used, buffer = len(getattr(self, name)), self.buffers[name]
+        if used + len(new) > len(buffer):
+            buffer = self.buffers[name] = np.concatenate([buffer[:used], np.zeros(max(used, len(new)), buffer.dtype)])
+        buffer[used : used + len(new)] = new
+        setattr(self, name, buffer[: used + len(new)])
+
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's chunks; lattices of new ones are built together."""
+        rows = [np.array(list(map(self.numbers.__getitem__, self.vocab.chunks(t))), np.int32) for t in texts]
+        if self.numbers.fresh:
+            self._extend(self.numbers.fresh)
+            self.numbers.fresh = []
+        return rows
+
+    def _extend(self, chunks: list[str]) -> None:
+        vocab = self.vocab
         lengths = np.array([len(c) for c in chunks], np.int64)
-        self.first = np.cumsum(lengths) - lengths
-        self.chars = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
-        n = len(self.chars)
-        left = np.repeat(self.first + lengths, lengths) - np.arange(n)
+        first = np.cumsum(lengths) - lengths
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        n = len(chars)
+        left = np.repeat(first + lengths, lengths) - np.arange(n)
         found, covered = [], np.zeros(n, bool)
         at, h = np.arange(n), np.zeros(n, _U)
         for size in range(1, vocab.longest + 1):
-            h = h + _mix(self.chars[at + size - 1].astype(_U) + _U(size << 32))
+            h = h + _mix(chars[at + size - 1].astype(_U) + _U(size << 32))
             got = vocab.look_up(h)
             hit = got >= 0
             if size == 1:
                 covered[at[hit]] = True
-            found.append((at[hit], np.full(int(hit.sum()), size), got[hit]))
+            found.append((size, at[hit], got[hit]))
             on = (got > -2) & (left[at] > size)
             at, h = at[on], h[on]
             if not len(at):
                 break
         bare = np.flatnonzero(~covered)
-        c = self.chars[bare]
+        c = chars[bare].astype(np.int64)
         width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-        found.append((bare, np.ones_like(bare), np.where(width == 1, vocab.byte_id[np.minimum(c, 127)], -width)))
-        start, size, ids = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(start * 64 - size, kind="stable")  # long pieces first: they are often the likeliest
-        self.start, size, self.ids = start[order], size[order], ids[order]
-        self.target = np.where(left[self.start] == size, -1, self.start + size)
-        self.edges_at = np.searchsorted(self.start, np.arange(n + 1))
-        logs = np.where(self.ids >= 0, vocab.logs[np.maximum(self.ids, 0)], -self.ids * vocab.byte_log)
-
-        # Backwards, all states equally far from their chunk's end at once: the log mass of all ways on from a state.
-        mass = np.zeros(n + 1)
-        far = left[self.start]
-        if n and left.max() < 1 << 16:
-            far = far.astype(np.uint16)  # sorts in linear time
-        order = np.argsort(far, kind="stable")
-        bounds = np.searchsorted(far[order], np.arange(1, (int(lengths.max()) if len(lengths) else 0) + 2))
-        total = np.empty(len(logs))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            e = order[a:b]
-            if len(e):
-                total[e] = logs[e] + np.where(self.target[e] < 0, 0.0, mass[self.target[e]])
-                heads = np.flatnonzero(np.concatenate([[True], self.start[e][1:] != self.start[e][:-1]]))
-                mass[self.start[e][heads]] = np.logaddexp.reduceat(total[e], heads)
-        self.log = total - mass[self.start]
-        p = np.exp(self.log)
-        run = np.cumsum(p)
-        self.reach = run - (run - p)[self.edges_at[:-1]][self.start] if len(p) else run
-        if len(p):
-            self.reach[self.edges_at[1:] - 1] = np.inf
-        self.choices = np.diff(self.edges_at)
-        # For each edge the log mass of its state's other edges, -inf if it has none.
-        self.others = np.full(len(p), -np.inf)
-        many = self.choices[self.start] > 1
-        self.others[many] = np.log(np.maximum(-np.expm1(self.log[many]), 1e-300))
+        found.append((1, bare, np.where(width == 1, vocab.byte_id[np.minimum(c, 127)], -width)))
+        choices = sum((np.bincount(at, minlength=n) for _, at, _ in found), np.zeros(n, np.int64))
+        ends = np.cumsum(choices)
+        start = np.repeat(np.arange(n), choices)
+        ids, size, free = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), ends - choices
+        for length, at, got in sorted(found, key=lambda x: -x[0]):  # long pieces first: they are often the likeliest
+            to = free[at]
+            ids[to], size[to] = got, length
+            free[at] += 1
+        logs = np.where(ids >= 0, vocab.logs[np.maximum(ids, 0)], -ids * vocab.byte_log)
+        p = self._conditional(logs, start, size, left, np.repeat(np.arange(len(chunks)), lengths), ends)
+        log, run = np.log(np.maximum(p, 1e-300)), np.cumsum(p)
+        reach = run - (run - p)[ends - choices][start]
+        reach[ends - 1] = np.inf
+        others = np.full(len(p), -np.inf)
+        many = np.flatnonzero(choices[start] > 1)
+        others[many] = np.log(np.maximum(1 - p[many], 1e-16))
+        states, edges = len(self.chars), len(self.start)
+        target = np.where(left[start] == size, -1, states + start + size)
+        for name, x in zip(self.KINDS, (states + first, chars, edges + ends, states + start, target, ids, log, others, reach)):
+            self._append(name, x)
+
+    @staticmethod
+    def _conditional(logs: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, chunk: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The probability of each edge among all ways on from its state.
+
+        Masses of all ways on are added up backwards from the ends, all states equally far from theirs at once. They are scaled
+        by ``SCALE`` for each character, which keeps them in range for words; the few chunks that are too long or too rare for
+        that are added up as logarithms.
+        """
+        scaled = logs + SCALE * size
+        single = np.bincount(chunk, np.minimum(scaled[ends - 1], 0.0))  # a state's last edge is one character
+        heavy = (single < -600) | (np.bincount(chunk) > 600 / SCALE)
+        out = np.empty(len(logs))
+        for some, linear in ((np.flatnonzero(~heavy[chunk[start]]), True), (np.flatnonzero(heavy[chunk[start]]), False)):
+            if not len(some):
+                continue
+            own, x = start[some], np.exp(scaled[some]) if linear else scaled[some]
+            far = left[own]
+            to = np.where(far == size[some], -1, own + size[some])  # the last place stands for the end of every chunk
+            mass = np.full(len(left) + 1, 1.0 if linear else 0.0)
+            order = np.argsort(far.astype(np.uint16) if far.max() < 1 << 16 else far, kind="stable")
+            own, to, x, far = own[order], to[order], x[order], far[order]
+            cuts = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1], [True]]))
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            split = np.searchsorted(heads, cuts)
+            for a, b, i, j in zip(cuts[:-1], cuts[1:], split[:-1], split[1:]):
+                x[a:b] = x[a:b] * mass[to[a:b]] if linear else x[a:b] + mass[to[a:b]]
+                mass[own[heads[i:j]]] = (np.add if linear else np.logaddexp).reduceat(x[a:b], heads[i:j] - a)
+            out[some[order]] = x / mass[own] if linear else np.exp(x - mass[own])
+        return out
 
     def walk(self, states: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges of all walks in order, index of each edge's walk): one random way to the end from each state."""
@@ -211,130 +297,176 @@ class Lattice:
             path[offset[walk] + k] = e
         return path, np.repeat(np.arange(len(states)), count)
 
+    def ids_of(self, path: np.ndarray) -> np.ndarray:
+        """Piece ids of a path; a character without a piece becomes its bytes' pieces."""
+        ids = self.ids[path]
+        if (ids >= 0).all():
+            return ids
+        parts, last = [], 0
+        for i in np.flatnonzero(ids < 0).tolist():
+            data = chr(int(self.chars[self.start[path[i]]])).encode()
+            parts += [ids[last:i], self.vocab.byte_id[np.frombuffer(data, np.uint8)]]
+            last = i + 1
+        return np.concatenate([*parts, ids[last:]])
+
+
+def _bounded(gumbel: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Gumbels conditioned on being below a bound; they keep their order."""
+    return -np.logaddexp(-below, -gumbel)
 
-def _truncated(log_mass: np.ndarray, below: float, seed: int) -> np.ndarray:
-    """Gumbels of finite log masses, conditioned on being below a bound; a Gumbel is minus the log of an exponential."""
-    noise = np.random.Generator(np.random.Philox(key=seed)).standard_exponential(len(log_mass))
-    return -np.logaddexp(-below, np.log(np.maximum(noise, 1e-300)) - log_mass)
+
+def _gumbels(noise: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(_uniform(noise)))
+
+
+def _largest(g: np.ndarray, heads: np.ndarray, lengths: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(segments, places): for each segment of ``g`` the place of its largest value, then the next, ``m`` times; -inf is none."""
+    g, segment = g.copy(), np.repeat(np.arange(len(heads)), lengths)
+    for _ in range(m):
+        top = np.maximum.reduceat(g, heads)
+        hit = np.flatnonzero((g == top[segment]) & (g > -np.inf))
+        some, first = np.unique(segment[hit], return_index=True)
+        yield some, hit[first]
+        g[hit[first]] = -np.inf
+
+
+def _best(m: int, *regions: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The ``m`` regions (Gumbel, owner, step, log probability and place there: a row for each text) of largest Gumbel, in order."""
+    all_of_them = [np.concatenate(x, axis=1) for x in zip(*regions)]
+    order = np.argsort(-all_of_them[0], axis=1, kind="stable")[:, :m]
+    return tuple(np.take_along_axis(x, order, axis=1) for x in all_of_them)
 
 
 class Sampler:
-    """The samples of one text so far, and the regions of paths that are left.
+    """The samples of a batch of texts so far, and the best of the regions of paths that are left.
 
-    A region holds the paths that share the first ``step`` edges of a sample and leave it there by none of the edges tried.
-    Its Gumbel is the largest of its paths' perturbed log probabilities, so the region on top holds the next sample.
+    A region holds the paths that share the first ``step`` edges of a sample, its owner, and leave it there by none of the
+    edges tried. Its Gumbel is the largest of its paths' perturbed log probabilities, so a text's best region holds its next
+    sample. After the nth of k samples only the best k - n + 1 regions can matter: one for each sample to come, one for the
+    threshold. All texts take a step together, ``WALKS`` chunks at a time; of a text only its paths are kept.
     """
 
-    def __init__(self, seed: int, chunks: np.ndarray):
-        self.seed, self.chunks = seed, chunks
-        self.paths: list[np.ndarray] = []
-        self.places: list[np.ndarray] = []
-        self.perturbed: list[float] = []
-        self.regions: list[list[np.ndarray]] = []
-        self.tried: dict[tuple[int, int], list[int]] = {}
-        self.next: tuple[float, int, int] | None = (float(-np.log(-np.log(_uniform(np.array([seed], _U))[0]))), -1, 0)
-
-    def start(self, lattice: Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(edges so far, states to walk from, their chunks' places in the text) for the next sample."""
-        _, old, step = self.next
-        if old < 0:
-            return np.zeros(0, np.int64), lattice.first[self.chunks], np.arange(len(self.chunks))
-        path, place = self.paths[old], int(self.places[old][step])
-        tried = self.tried.setdefault((old, step), [int(path[step])])
+    def __init__(self, lattice: Lattice, rows: list[np.ndarray], seeds: list[int], k: int):
+        self.lattice, self.seeds, self.k = lattice, np.array([x & (1 << 64) - 1 for x in seeds], _U), k
+        self.ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        self.chunks = np.concatenate([np.zeros(0, np.int32), *rows])
+        self.paths: list[list[np.ndarray]] = [[] for _ in rows]
+        self.logs: list[list[float]] = [[] for _ in rows]
+        self.perturbed: list[list[float]] = [[] for _ in rows]
+        self.tried: dict[tuple[int, int, int], list[int]] = {}
+        self.regions = self._none(1)
+
+    def _none(self, m: int) -> tuple[np.ndarray, ...]:
+        return tuple(np.full((len(self.seeds), m), x, kind) for x, kind in ((-np.inf, float), (0, np.int64), (0, np.int64), (0.0, float), (0, np.int64)))
+
+    def run(self) -> None:
+        texts = np.arange(len(self.seeds))
+        bound = _gumbels(self.seeds)
+        begun = [(np.zeros(0, np.int32), 0.0, *self._from(t, 0), -np.inf) for t in texts.tolist()]
+        for nth in range(self.k):
+            if nth:
+                bound, *region = (x[:, 0] for x in self.regions)
+                texts = np.flatnonzero(bound > -np.inf)
+                luck = _uniform(_seeds(self.seeds[texts], 3, nth))
+                begun = [self._leave(*x) for x in zip(luck.tolist(), texts.tolist(), *(x[texts].tolist() for x in region))]
+            if not len(texts):
+                return
+            found = self._walk(nth, texts, bound[texts], begun)
+            if nth:
+                rest = np.array([x[-1] for x in begun]) + _gumbels(_seeds(self.seeds[texts], 9, nth))
+                rest = _bounded(rest, bound[texts])[:, None]
+                found = _best(self.k - nth, found, (rest, *(x[texts, None] for x in region)), tuple(x[texts, 1:] for x in self.regions))
+            self.regions = self._none(self.k - nth)
+            for x, y in zip(self.regions, found):
+                x[texts] = y
+
+    def _from(self, text: int, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, states) at the beginning of a text's chunks from a place on."""
+        chunks = self.chunks[self.ends[text] + place : self.ends[text + 1]]
+        return np.arange(place, place + len(chunks)), self.lattice.first[chunks]
+
+    def _leave(self, u: float, text: int, owner: int, step: int, before: float, place: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray, float]:
+        """The sample that a region holds leaves the owner's path by an edge not tried before: (edges so far, their log
+        probability, places and states to walk from, log mass of what is then left of the region)."""
+        lattice, path = self.lattice, self.paths[text][owner]
+        tried = self.tried.setdefault((text, owner, step), [int(path[step])])
         state = int(lattice.start[path[step]])
-        edges = np.array([e for e in range(lattice.edges_at[state], lattice.edges_at[state + 1]) if e not in tried])
-        p = np.cumsum(np.exp(lattice.log[edges] - lattice.log[edges].max()))
-        u = _uniform(np.array([_seeds(self.seed, 3, len(self.paths))], _U))[0]
-        edge = int(edges[min(int(np.searchsorted(p, u * p[-1], side="right")), len(edges) - 1)])
+        low, high = int(lattice.edges_at[state]), int(lattice.edges_at[state + 1])
+        left = [(e, math.exp(x)) for e, x in enumerate(lattice.log[low:high].tolist(), low) if e not in tried]
+        u *= math.fsum(p for _, p in left)
+        for edge, p in left:
+            u -= p
+            if u < 0:
+                break
         tried.append(edge)
-        later = np.arange(place + 1, len(self.chunks))
+        rest = before + math.log(max(math.fsum(q for e, q in left if e != edge), 1e-300)) if len(left) > 1 else -math.inf
+        places, states = self._from(text, place + 1)
         on = int(lattice.target[edge])
-        states = lattice.first[self.chunks[later]]
         if on >= 0:
-            states, later = np.append(on, states), np.append(place, later)
-        return np.append(path[:step], edge), states, later
-
-    def add(self, lattice: Lattice, head: np.ndarray, path: np.ndarray, places: np.ndarray) -> None:
-        bound, old, step = self.next
-        nth = len(self.paths)
-        if old >= 0:
-            places = np.concatenate([self.places[old][: len(head)], places])
-        path = np.concatenate([head, path])
-        self.paths.append(path)
-        self.places.append(places)
-        self.perturbed.append(bound)
-        log = lattice.log[path]
-        before = np.cumsum(log) - log
-        start = len(head) if old >= 0 else 0
-        mass = before[start:] + lattice.others[path[start:]]
-        steps = np.flatnonzero(mass > -np.inf)
-        mass, steps = mass[steps], start + steps
-        owner = np.full(len(steps), nth)
-        if old >= 0 and len(tried := self.tried[(old, step)]) < lattice.choices[lattice.start[path[step]]]:
-            rest = 1 - float(np.exp(lattice.log[tried]).sum())  # what is left of the region that this sample came from
-            mass, steps, owner = np.append(mass, float(before[step]) + np.log(max(rest, 1e-300))), np.append(steps, step), np.append(owner, old)
-        self.regions.append([_truncated(mass, bound, _seeds(self.seed, 5, nth)), owner, steps])
-        self._advance()
-
-    def _advance(self) -> None:
-        best, where = -np.inf, None
-        for i, (g, _, _) in enumerate(self.regions):
-            if len(g) and g[j := int(g.argmax())] > best:
-                best, where = float(g[j]), (i, j)
-        if where is None:
-            self.next = None
-            return
-        i, j = where
-        gumbel, owner, steps = self.regions[i]
-        gumbel[j] = -np.inf
-        self.next = best, int(owner[j]), int(steps[j])
-
-
-def sample(vocab: Pieces, texts: list[str], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+            places, states = np.concatenate([[place], places]), np.concatenate([[on], states])
+        return np.concatenate([path[:step], np.array([edge], np.int32)]), before + math.log(max(p, 1e-300)), places, states, rest
+
+    def _walk(self, nth: int, texts: np.ndarray, bound: np.ndarray, begun: list[tuple]) -> tuple[np.ndarray, ...]:
+        """Finish the texts' nth samples and return the best regions that leave them on the way."""
+        lattice, m = self.lattice, self.k - nth
+        log, step = np.array([x[1] for x in begun]), np.array([len(x[0]) for x in begun])
+        parts = [[x[0]] for x in begun]
+        row = np.repeat(np.arange(len(begun)), [len(x[2]) for x in begun])
+        places, states = (np.concatenate([x[i] for x in begun]) for i in (2, 3))
+        own, noise = (_seeds(self.seeds[texts], c, nth) for c in (7, 5))
+        none = [x[texts] for x in self._none(m)]
+        best = tuple(none)
+        for a in range(0, len(row), WALKS):
+            some = slice(a, a + WALKS)
+            path, walk = lattice.walk(states[some], _mix(places[some].astype(_U) + own[row[some]]))
+            each = row[some][walk]
+            heads = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+            here, lengths = each[heads], np.diff(np.append(heads, len(each)))
+            logs = lattice.log[path]
+            before = np.cumsum(logs) - logs
+            before += np.repeat(log[here] - before[heads], lengths)
+            steps = np.arange(len(path)) + np.repeat(step[here] - heads, lengths)
+            g = before + lattice.others[path] + _gumbels(noise[each] + steps.astype(_U))
+            found = [x.copy() for x in none]
+            for i, (segment, top) in enumerate(_largest(g, heads, lengths, m)):
+                for to, x in zip(found, (_bounded(g[top], bound[here[segment]]), nth, steps[top], before[top], places[some][walk[top]])):
+                    to[here[segment], i] = x
+            best = _best(m, best, tuple(found))
+            for r, x in zip(here.tolist(), np.split(path.astype(np.int32), heads[1:])):
+                parts[r].append(x)
+            log[here] += np.add.reduceat(logs, heads)
+            step[here] += lengths
+        for r, t in enumerate(texts.tolist()):
+            self.paths[t].append(np.concatenate(parts[r]))
+            self.logs[t].append(float(log[r]))
+            self.perturbed[t].append(float(bound[r]))
+        return best
+
+    def results(self, text: int) -> Iterator[tuple[np.ndarray, float, float, float]]:
+        """(ids, log probability, perturbed one, inclusion score) of a text's samples, best first."""
+        left = float(self.regions[0][text, 0])
+        for path, log, perturbed in zip(self.paths[text], self.logs[text], self.perturbed[text]):
+            yield self.lattice.ids_of(path), log, perturbed, 1.0 if left == -np.inf else float(-np.expm1(-np.exp(min(log - left, 700.0))))
+
+
+def sample(vocab: Pieces, texts: list[str], seeds: list[int], k: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct segmentations, best first: (ids, log probability, perturbed one, inclusion score).
 
     The inclusion score is the probability that the path's Gumbel passes the threshold of the k samples, the largest perturbed
     log probability that was not taken (Kool et al. 2019); 1 if no path was left out. A text's samples depend on its seed and
     itself alone, not on the texts beside it.
     """
-    known: dict[str, int] = {}
-    rows = [np.array([known.setdefault(c, len(known)) for c in vocab.chunks(t)], np.int64) for t in texts]
-    lattice = Lattice(vocab, list(known))
-    samplers = [Sampler(s, r) for s, r in zip(seeds, rows)]
-    for nth in range(k):
-        going = [s for s in samplers if s.next is not None]
-        begun = [s.start(lattice) for s in going]
-        if not begun:
-            break
-        own = np.concatenate([_mix(p.astype(_U) + _U(_seeds(s.seed, 7, nth))) for s, (_, _, p) in zip(going, begun)])
-        states = np.concatenate([x for _, x, _ in begun])
-        path, walk = lattice.walk(states, own)
-        ends = np.cumsum([len(x) for _, x, _ in begun])
-        cuts = np.searchsorted(walk, np.concatenate([[0], ends]))
-        places = np.concatenate([p for _, _, p in begun])[walk] if len(walk) else walk
-        for s, (head, _, _), a, b in zip(going, begun, cuts[:-1], cuts[1:]):
-            s.add(lattice, head, path[a:b], places[a:b])
-    return [_finish(vocab, lattice, s) for s in samplers]
-
-
-def _finish(vocab: Pieces, lattice: Lattice, s: Sampler) -> list[tuple[np.ndarray, float, float, float]]:
-    out = []
-    for path, perturbed in zip(s.paths, s.perturbed):
-        log = float(lattice.log[path].sum())
-        inclusion = 1.0 if s.next is None else float(-np.expm1(-np.exp(min(log - s.next[0], 700.0))))
-        ids = lattice.ids[path]
-        if (ids < 0).any():
-            parts, last = [], 0
-            for i in np.flatnonzero(ids < 0).tolist():
-                data = chr(int(lattice.chars[lattice.start[path[i]]])).encode()
-                parts += [ids[last:i], vocab.byte_id[np.frombuffer(data, np.uint8)]]
-                last = i + 1
-            ids = np.concatenate([*parts, ids[last:]])
-        out.append((ids, log, perturbed, inclusion))
-    return out
-
-
-def _runner(path: str, k: int, seed: int, keep_ids: bool, chars: int = 300_000) -> Callable:
+    lattice = vocab.lattice()
+    sampler = Sampler(lattice, lattice.rows(texts), seeds, k)
+    sampler.run()
+    return (list(sampler.results(i)) for i in range(len(texts)))
+
+
+def _row_seeds(ids: list[int | None], seed: int) -> list[int]:
+    return _seeds(np.array([r or 0 for r in ids], np.int64).view(_U), seed).tolist()
+
+
+def _runner(path: str, k: int, seed: int, keep_ids: bool) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces_of(path)
         for batch in batches:
@@ -344,16 +476,16 @@ def _runner(path: str, k: int, seed: int, keep_ids: bool, chars: int = 300_000)
                 rows.append(doc_id)
                 texts.append(text)
                 total += len(text)
-                if total >= chars:
+                if total >= BATCH_CHARS:
                     yield group(vocab, rows, texts)
                     rows, texts, total = [], [], 0
             yield group(vocab, rows, texts)
 
     def group(vocab: Pieces, rows: list, texts: list[str]) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(8 + keep_ids)]
-        for doc_id, text, got in zip(rows, texts, sample(vocab, texts, [_seeds(seed, 0 if r is None else r) for r in rows], k)):
+        for doc_id, text, got in zip(rows, texts, sample(vocab, texts, _row_seeds(rows, seed), k)):
+            decodes = vocab.decodes(got[0][0], text)  # one decoding tells for all: each covers the same characters
             for nth, (ids, log, perturbed, inclusion) in enumerate(got, 1):
-                decodes = vocab.decode(ids.tolist()) == text
                 row = (doc_id, nth, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log, perturbed, inclusion, decodes, ids)
                 for x, y in zip(out, row):
                     x.append(y)
