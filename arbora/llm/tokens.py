@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: the earliest of those with equally many; or to all its sections in proportion to their bytes.
 RULES = ("first", "most", "share")
 
+#: Lines that leave a task together; a text of more lines leaves on its own.
+BATCH_LINES = 100_000
+
 SECTION = "doc_id long, section int, start long, end long, n_tokens double, n_crossing long, doc_tokens long"
 
 
@@ -74,22 +77,31 @@ def _chars(data: bytes, ends: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])[ends]
 
 
+def _batch(parts: list[tuple]) -> pa.RecordBatch:
+    ids, *cols = zip(*parts) if parts else [()] * 7
+    lines = [len(c) for c in cols[0]]
+    doc_ids = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), lines)))
+    kinds = (np.int32, np.int64, np.int64, np.float64, np.int64, np.int64)
+    arrays = [pa.array(np.concatenate([np.zeros(0, t), *c]).astype(t, copy=False)) for c, t in zip(cols, kinds)]
+    return pa.RecordBatch.from_arrays([doc_ids, *arrays], [c.split()[0] for c in SECTION.split(", ")])
+
+
 def _counter(path: str, rule: str) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sizes = encoder(path)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            parts, lines = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 data, ids = text.encode(), np.array(encode(text), np.int64)
                 ends = line_ends(data)
-                count, crossing = allocate(ends, sizes[ids], rule)
-                stops = _chars(data, ends)
-                n = len(ends)
-                for x, y in zip(out, ([doc_id] * n, range(n), [0, *stops[:-1].tolist()], stops.tolist(), count.tolist(), crossing.tolist(), [len(ids)] * n)):
-                    x.extend(y)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], [c.split()[0] for c in SECTION.split(", ")])
+                stops, n = _chars(data, ends), len(ends)
+                parts.append((doc_id, np.arange(n), np.append(0, stops[:-1]), stops, *allocate(ends, sizes[ids], rule), np.full(n, len(ids))))
+                lines += n
+                if lines >= BATCH_LINES:
+                    yield _batch(parts)
+                    parts, lines = [], 0
+            yield _batch(parts)
 
     return run
 
