@@ -52,13 +52,13 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp long: one row for each row of ``docs``; other columns are not read."""
+    """doc_id, fp long, digest long (a hash of the text): one row for each row of ``docs``; other columns are not read."""
 
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
         return pa.array([fingerprint(t.as_py(), width) for t in texts], pa.int64())
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"), F.xxhash64(F.col(text_col)).alias("digest"))
 
 
 def _rotated(fp: Column, left: int) -> Column:
@@ -92,28 +92,43 @@ def links(fps: DataFrame, distance: int = 3, segments: int = 4) -> DataFrame:
     return index.join(probe, "key").where(cond).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"))
 
 
+def _groups(fps: DataFrame, distance: int) -> DataFrame:
+    """fp, node, component_id: for each distinct fingerprint the smallest one that links reach, and the smallest id among them."""
+    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct_fingerprints")
+    comp = components(links(distinct.select(F.col("fp").alias("id"), "fp"), distance))
+    rows = stash(distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("node")), "node_of_fingerprint")
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    return stash(rows.select("fp", "node").join(first, "node"), "component_of_fingerprint")
+
+
 def simhash_groups(docs: DataFrame, distance: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: one row for each row of ``docs``.
 
-    Rows with equal fingerprints are one node (their smallest id), so groups of copies cost one row in the candidate search.
-    ``component_id`` is the smallest id that links reach. Null and blank texts share fingerprint zero and are linked like any
-    others. A row with a null id is returned; it takes the component of its fingerprint, and null if no row of the component
-    has an id. Repeated rows come back repeated. Extra columns are ignored; an empty table gives an empty result.
+    Rows with equal fingerprints are one node, so groups of copies cost one row in the candidate search. ``component_id`` is
+    the smallest id that links reach. Null and blank texts share fingerprint zero and are linked like any others. A row with a
+    null id is returned and links through its fingerprint; its component is null if no row there has an id. Rows that share an
+    id are told apart by their fingerprints, repeated rows come back repeated. Extra columns are ignored; an empty table gives
+    an empty result.
     """
     fps = stash(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    reps = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "distinct_fingerprints")
-    comp = components(links(reps, distance))
-    of_fp = reps.join(comp, reps["id"] == comp["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(stash(of_fp, "component_of_fingerprint"), "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(_groups(fps, distance), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) whose id is the smallest of its near-duplicate group.
+    """One row of each near-duplicate group of ``docs`` (doc_id, text, ...), all its columns kept.
 
-    Rows that repeat a kept id are the same document and stay with it; rows without an id cannot be told apart and stay.
+    It is the one of the smallest id (rows without an id come last), then of the smallest hash of the text; of rows that agree
+    in both any one. So rows that repeat, and rows without an id, are copies like others.
     """
-    keep = simhash_groups(docs, distance, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    fps = stash(fingerprints(docs, width), "fingerprints")
+    rows = fps.join(_groups(fps, distance).select("fp", "node"), "fp").groupBy("node", "doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "times")).alias("best"))
+    best = stash(best.select("best.*"), "kept_documents")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("digest"))
+    once = keyed.join(best.where("times = 1"), same, "left_semi").select("row.*")
+    more = keyed.join(best.where("times > 1"), same, "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row"))
+    return once.unionByName(more.select("row.*"))
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
