@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.words import word_lists
@@ -18,6 +18,8 @@ from arbora.plans import stash
 
 WINDOW = 35
 SEED_WORDS = 8
+#: Two 64-bit hashes of id and text name a document. Rows with equal ids and texts share them; their results are the same.
+KEY = ["key", "key2"]
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -83,13 +85,13 @@ def _columns(batch: pa.RecordBatch, out: list[list[np.ndarray]], names: list[str
 def _seeder(window: int, seed_words: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for key, text in zip(batch.column(0).to_numpy(), batch.column(1)):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for *key, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)):
                 anchor, span, first, number = Hashed(text.as_py()).spans(window, seed_words)
                 if len(first):
-                    for x, y in zip(out, (np.full(len(first), key), anchor, span, first * 64 + number)):
+                    for x, y in zip(out, (*(np.full(len(first), k) for k in key), anchor, span, first * 64 + number)):
                         x.append(y)
-            yield _columns(batch, out, ["key", "anchor", "span", "at"])
+            yield _columns(batch, out, [*KEY, "anchor", "span", "at"])
 
     return run
 
@@ -97,27 +99,26 @@ def _seeder(window: int, seed_words: int) -> Callable:
 def _extender(window: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for key, text, wanted in zip(batch.column(0).to_numpy(), batch.column(1), batch.column(2)):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for *key, text, wanted in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)):
                 hashed, rows = Hashed(text.as_py()), wanted.values
                 at, anchor, often = (rows.field(i).to_numpy() for i in range(3))
                 number = at & 63
                 each = np.repeat(np.arange(len(at)), number)
                 start = (at >> 6)[each] + np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number)
-                for x, y in zip(out, (np.full(len(each), key), anchor[each], hashed.ranges(start, start + window), start, often[each])):
+                for x, y in zip(out, (*(np.full(len(each), k) for k in key), anchor[each], hashed.ranges(start, start + window), start, often[each])):
                     x.append(y)
-            yield _columns(batch, out, ["key", "anchor", "hash", "start", "often"])
+            yield _columns(batch, out, [*KEY, "anchor", "hash", "start", "often"])
 
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key: a 64-bit hash of id and text. Rows with equal ids and texts share one; their results are the same."""
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _key(id_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(F.lit("document"), F.col(id_col), F.col(text_col)).alias("key2")]
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, at array<long>: for each document (see ``_keyed``) with repeats, runs of repeated windows as 64 * start + number.
+    """key, key2, at array<long>: for each document (see ``KEY``) with repeats, runs of repeated windows as 64 * start + number.
 
     Seed: every window selects one anchor by winnowing, so two equal windows meet at equal anchors; about 2 in
     ``window - seed_words + 2`` words start one. Extend: an anchor's span reaches both ways as far as the anchor is selected.
@@ -130,27 +131,27 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed_words: int = SE
     """
     if not 0 < seed_words <= window < 64 + seed_words - 1:
         raise ValueError("seed_words must lie in 1..window, and an anchor may own 63 windows at most")
-    keyed = _keyed(docs, id_col, text_col)
-    seeds = stash(keyed.select("key", "text").mapInArrow(_seeder(window, seed_words), "key long, anchor long, span long, at long"), "seeds")
+    keyed = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
+    seeds = stash(keyed.mapInArrow(_seeder(window, seed_words), "key long, key2 long, anchor long, span long, at long"), "seeds")
 
     again = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f("span").alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.first, "one"), (F.last, "other"))])
     sure = F.when(F.col("one") == F.col("other"), F.col("one"))  # the spans of two different rows
     again = stash(again.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), sure.alias("sure")), "repeated_anchors")
-    found = seeds.join(again, "anchor").select("key", "anchor", "span", "at", "mixed", F.coalesce(F.col("span") == F.col("sure"), F.lit(False)).alias("whole"))
+    found = seeds.join(again, "anchor").select(*KEY, "anchor", "span", "at", "mixed", F.coalesce(F.col("span") == F.col("sure"), F.lit(False)).alias("whole"))
     found = stash(found, "repeated_seeds")
 
     mixed = found.where("mixed")
-    spans = mixed.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("at").alias("at"))
-    spans = stash(spans.select("anchor", "span", "key", "at", F.least("n", F.lit(2)).alias("often")), "distinct_spans")
-    wanted = spans.groupBy("key").agg(F.collect_list(F.struct("at", "anchor", "often")).alias("wanted"))
-    windows = keyed.select("key", "text").join(wanted, "key").mapInArrow(_extender(window), "key long, anchor long, hash long, start long, often long")
+    spans = mixed.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*KEY, "at")])
+    spans = stash(spans.select("anchor", "span", *KEY, "at", F.least("n", F.lit(2)).alias("often")), "distinct_spans")
+    wanted = spans.groupBy(*KEY).agg(F.collect_list(F.struct("at", "anchor", "often")).alias("wanted"))
+    windows = keyed.join(wanted, KEY).mapInArrow(_extender(window), "key long, key2 long, anchor long, hash long, start long, often long")
     windows = stash(windows, "windows")
     twice = stash(windows.groupBy("anchor", "hash").agg(F.sum("often").alias("n")).where("n > 1").select("anchor", "hash"), "repeated_windows")
 
-    whole = found.where("whole").select("key", "at")
-    whole = whole.unionByName(mixed.where("not whole").join(spans.where("often > 1").select("anchor", "span"), ["anchor", "span"]).select("key", "at"))
-    single = windows.where("often = 1").join(twice, ["anchor", "hash"]).select("key", (F.col("start") * 64 + 1).alias("at"))
-    return whole.unionByName(single).groupBy("key").agg(F.collect_list("at").alias("at"))
+    whole = found.where("whole").select(*KEY, "at")
+    whole = whole.unionByName(mixed.where("not whole").join(spans.where("often > 1").select("anchor", "span"), ["anchor", "span"]).select(*KEY, "at"))
+    single = windows.where("often = 1").join(twice, ["anchor", "hash"]).select(*KEY, (F.col("start") * 64 + 1).alias("at"))
+    return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list("at").alias("at"))
 
 
 def removed(n_words: int, at: np.ndarray | None, window: int = WINDOW) -> np.ndarray:
@@ -164,8 +165,9 @@ def removed(n_words: int, at: np.ndarray | None, window: int = WINDOW) -> np.nda
 
 
 def _with_repeats(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
+    """row (all columns of ``docs``, so that no name clashes) and at, its runs of repeated windows or null."""
     at = stash(repeated_windows(docs, window, seed_words), "repeats")
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(at.select(F.col("key").alias("_key"), F.col("at").alias("_at")), "_key", "left")
+    return docs.select(F.struct("*").alias("row"), *_key("doc_id", "text")).join(at, KEY, "left").select("row", "at")
 
 
 def substring_digest(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -189,7 +191,7 @@ def substring_digest(docs: DataFrame, window: int = WINDOW, seed_words: int = SE
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["n_words", "n_removed", "kept_sha256"])
 
     rows = _with_repeats(docs.select("doc_id", "text"), window, seed_words)
-    return rows.select("doc_id", digest("text", "_at").alias("d")).select("doc_id", "d.*")
+    return rows.select("row.doc_id", digest("row.text", "at").alias("d")).select("doc_id", "d.*")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -204,8 +206,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS)
             out.append([{"first_word": a, "end_word": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())])
         return pa.array(out, pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())])))
 
-    rows = _with_repeats(docs.select("doc_id", "text"), window, seed_words).where("_at is not null")
-    return rows.select("doc_id", F.explode(runs("_at")).alias("r")).select("doc_id", "r.*")
+    rows = _with_repeats(docs.select("doc_id", "text"), window, seed_words).where("at is not null")
+    return rows.select("row.doc_id", F.explode(runs("at")).alias("r")).select("doc_id", "r.*")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -231,11 +233,12 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed_words: int = SEED_W
     def cut(texts: pa.Array, ats: pa.Array) -> pa.Array:
         return pa.array([t.as_py() if not a.is_valid or not t.is_valid else without_words(t.as_py(), a.values.to_numpy(), window) for t, a in zip(texts, ats)], pa.string())
 
-    rows = _with_repeats(docs, window, seed_words).withColumn("text", cut("text", "_at"))
+    rows = _with_repeats(docs, window, seed_words)
+    row = F.col("row").withField("text", cut("row.text", "at"))
     if "n_chars" in docs.columns:
-        same = F.col("_at").isNull() | F.col("text").isNull()
-        rows = rows.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(docs.columns)
+        same = F.col("at").isNull() | F.col("row.text").isNull()
+        row = row.withField("n_chars", F.when(same, F.col("row.n_chars")).otherwise(F.length(row["text"]).cast(docs.schema["n_chars"].dataType)))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
