@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-
-from collections.abc import Iterable, Iterator
+import heapq
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +18,12 @@ from arbora.llm.words import blocks
 BUCKET_BITS = 16
 DIM = 16
 PIECE_BYTES = 600
-#: Bounds of the sample of rows from which a model is fitted: pieces for the embeddings, documents for calibration.
+#: Bounds of the sample of rows from which a model is fitted: pieces for the embeddings, documents for calibration. Every
+#: language has at least ``LEAST_PIECES`` (if its rows have them), however many languages there are.
 TRAIN_PIECES = 6000
 CALIBRATION_DOCS = 4000
+LEAST_PIECES = 100
 EPOCHS = 3
-MAX_LANGUAGES = 512
 #: A prediction is rejected if so small a share of the right calibration predictions has so little confidence.
 REJECTED_SHARE = 0.001
 UNDETERMINED = "und"
@@ -109,11 +111,20 @@ def fold(id_col: str = "doc_id", folds: int = 4) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(lang, doc, i, part) for lang, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))) for i, part in enumerate(blocks((text or "").encode(), PIECE_BYTES))]
-        cols = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.binary()))], ["lang", "doc_id", "nth", "piece"])
+def _cutter(each: int) -> Callable:
+    """lang, doc_id, nth, h, piece for rows (lang, doc_id, text): a document's ``each`` pieces of smallest hash, as no more can be
+    among the ``each`` smallest of its language."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for lang, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                parts = ((zlib.crc32(f"{doc}:{i}".encode()), i, part) for i, part in enumerate(blocks((text or "").encode(), PIECE_BYTES)))
+                rows += [(lang, doc, i, h, part) for h, i, part in heapq.nsmallest(each, parts)]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["lang", "doc_id", "nth", "h", "piece"])
+
+    return run
 
 
 def _logits(text: str, model: LanguageModel) -> Column:
@@ -127,19 +138,22 @@ def _logits(text: str, model: LanguageModel) -> Column:
 def train(docs: DataFrame, train_pieces: int = TRAIN_PIECES, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModel | None:
     """Fit on rows with a language outside the held-out fold; None if there are none.
 
-    The languages are counted first; then each gives about the same number of documents, chosen by a hash of the id, so that the
-    sample is bounded and doesn't depend on partitioning. Three quarters of them give pieces for the embeddings, one calibrates.
+    The languages are counted first, all of them; then each gives about the same number of documents, chosen by a hash of the
+    id, so that the sample is bounded and doesn't depend on partitioning. Three quarters of them give pieces for the embeddings,
+    one calibrates.
     """
     rows = docs.where(F.col("lang").isNotNull() & (fold() != 2)).withColumn("h", F.xxhash64(F.lit("lang"), "doc_id"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     languages = tuple(sorted(counts))
     if not languages:
         return None
-    each = max(train_pieces // len(languages), 1)
-    rates = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * (each + calibration_docs / len(languages)) / counts[k]))])
-    some = rows.where((F.shiftrightunsigned("h", 12) % (1 << 24)) / F.lit(float(1 << 24)) < rates[F.col("lang")]).select("doc_id", "lang", "text", "h")
-    cut = some.where("h & 3 <> 0").select("lang", "doc_id", "text").mapInArrow(_cut, "lang string, doc_id long, nth int, piece binary")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth")
+    each = max(train_pieces // len(languages), LEAST_PIECES)
+    wanted = [(k, min(1.0, 2 * (each + calibration_docs / len(languages)) / counts[k])) for k in languages]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, rate double"))  # one row for each language
+    share = (F.shiftrightunsigned("h", 12) % (1 << 24)) / F.lit(float(1 << 24))
+    some = rows.join(rates, "lang").where(share < F.col("rate")).select("doc_id", "lang", "text", "h")
+    cut = some.where("h & 3 <> 0").select("lang", "doc_id", "text").mapInArrow(_cutter(each), "lang string, doc_id long, nth int, h long, piece binary")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "nth")
     got = cut.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= each).orderBy("lang", "rank").select("lang", "piece").collect()
     sample = [(r[0], subwords(bytes(r[1]))) for r in got]
     sample = [(k, x) for k, x in sample if len(x)]
