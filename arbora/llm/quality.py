@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -90,25 +92,41 @@ def feature_column(text: str, good: bytes, bad: bytes) -> Column:
     return run(F.col(text))
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(label, doc, i, part) for label, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))) for i, part in enumerate(pieces((text or "").encode()))]
-        cols = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["label", "doc_id", "nth", "piece"])
+def _cutter(most: int) -> Callable:
+    """label, doc_id, nth, h, piece for rows (label, doc_id, text): a document's ``most`` pieces of smallest hash, as no more can be
+    among the ``most`` smallest of its label."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for label, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                parts = ((zlib.crc32(f"{doc}:{i}".encode()), i, part) for i, part in enumerate(pieces((text or "").encode())))
+                rows += [(label, doc, i, h, part) for h, i, part in heapq.nsmallest(most, parts)]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["label", "doc_id", "nth", "h", "piece"])
+
+    return run
+
+
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, label: one row for each document that ``labels`` calls good (1) or bad (0), and never both; rows that repeat count
+    once, rows that contradict each other count for nothing, nor do null ids and other values."""
+    rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
+    return rows.agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("high")).where("label = high").select("doc_id", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, dict_pieces: int = DICT_PIECES, calibration_docs: int = CALIBRATION_DOCS) -> QualityModel | None:
-    """Fit on labelled rows outside the held-out fold; None if either label has no text there.
+    """Fit on labelled rows (see ``usable_labels``) outside the held-out fold; None if either label has no text there.
 
     The rows split by a hash of the id: three quarters give pieces for the dictionaries (as many documents of either label at
     most), one quarter, in its natural mix, calibrates. Each sample is bounded and is the rows with the smallest hashes, so it
     doesn't depend on partitioning; only the labels of sampled rows are broadcast.
     """
-    wanted = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label")).where(~held_out()).withColumn("h", F.xxhash64(F.lit("quality"), "doc_id"))
+    wanted = usable_labels(labels).where(~held_out()).withColumn("h", F.xxhash64(F.lit("quality"), "doc_id"))
     one, two = (wanted.where(f"label = {k}").orderBy("h", "doc_id").limit(dict_pieces) for k in (0, 1))
     rows = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(one.unionByName(two)), "doc_id")  # bounded by dict_pieces
-    cut = rows.where("h & 3 <> 0").select("label", "doc_id", "text").mapInArrow(_cut, "label int, doc_id long, nth int, piece binary")
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth")
+    cut = rows.where("h & 3 <> 0").select("label", "doc_id", "text").mapInArrow(_cutter(dict_pieces), "label int, doc_id long, nth int, h long, piece binary")
+    first = Window.partitionBy("label").orderBy("h", "doc_id", "nth")
     got = cut.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= dict_pieces).orderBy("label", "rank").select("label", "piece").collect()
     sample = {k: [bytes(r[1]) for r in got if r[0] == k] for k in (0, 1)}
     if not all(sample.values()):
