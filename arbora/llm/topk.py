@@ -19,6 +19,7 @@ QUERY_ROWS = 8192
 BLOCK_ROWS = 4096
 SHARD_ROWS = 8192
 LEAF_ROWS = 48
+QUERY_LEAF_ROWS = 24
 #: The top level of the trees: at most so many cells around pivots, which are fitted on about so many rows.
 CELLS = 256
 SAMPLE_ROWS = 20_000
@@ -101,7 +102,7 @@ class Search:
     """The queries of one tree, what each must reach, and their best candidates so far."""
 
     def __init__(self, rids: np.ndarray, ids: np.ndarray, floor: np.ndarray, x: np.ndarray, k: int):
-        self.root, order = cover_tree(x)
+        self.root, order = cover_tree(x, QUERY_LEAF_ROWS)
         self.rids, self.ids, self.floor, self.x, self.k, self.met = rids[order], ids[order], floor[order], x[order], k, 0
         self.scores = np.full((len(ids), k), _NONE, np.int64)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)

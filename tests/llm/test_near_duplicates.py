@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from arbora.llm import graph, pq, simhash
 
@@ -84,8 +85,23 @@ def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d", 0, ""), (5, "a b c d", 0, ""), (None, None, 0, "")], DOCS)
     got = sorted(((r.doc_id, r.component_id) for r in simhash.simhash_groups(docs).collect()), key=str)
     assert got == sorted([(None, 5), (5, 5), (None, None)], key=str)
-    assert simhash.drop_near_duplicates(docs).count() == 3
-    assert simhash.simhash_groups(docs.limit(0)).count() == 0
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(5, "a b c d"), (None, None)], key=str)
+    assert simhash.simhash_groups(docs.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows that repeat, share an id with other texts, or have none."""
+    long = " ".join(f"q{i}" for i in range(80))
+    rows = [(1, "a b c d")] * 3 + [(1, "x y z w"), (1, long), (2, long + " end"), (None, "m n o p"), (None, "m n o p"), (7, "M n o p"), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("id", "hash", "row", "fp", "node", "best")})
+    kept = simhash.drop_near_duplicates(docs)
+    fps = {(i, t): slow_fingerprint(t) for i, t in rows}
+    root = closure(set(fps.values()), [(a, b) for a in set(fps.values()) for b in set(fps.values()) if a < b and (a ^ b).bit_count() <= 3])
+    got = kept.select("doc_id", "text").collect()
+    assert kept.columns == docs.columns and sorted(root[fps[r.doc_id, r.text]] for r in got) == sorted(set(root.values()))
+    first = {c: min((i is None, i or 0) for (i, t), f in fps.items() if root[f] == c) for c in root.values()}
+    assert all((r.doc_id is None, r.doc_id or 0) == first[root[fps[r.doc_id, r.text]]] for r in got)
 
 
 def test_links_cover_every_pattern_of_three_bits(spark):

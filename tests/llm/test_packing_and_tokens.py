@@ -90,6 +90,24 @@ def test_sections(docs):
         tokens.section_token_counts(docs, "none")
 
 
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_lines_by_brute_force(spark, monkeypatch, rule):
+    """Each line's tokens and crossings from the offsets of single decoded tokens, in batches of a few lines."""
+    monkeypatch.setattr(tokens, "BATCH_LINES", 5)
+    texts = ["one line", "a\n\n\nb  \n  c\n", "x\n" * 40 + "  \n\t\n end", "naïve\n漢字\n\U0001f600\n\n", "  \n  \n", "\n" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.section): (round(r.n_tokens, 9), r.n_crossing) for r in tokens.section_token_counts(docs, rule).collect()}
+    encode, sizes = tokens.encoder(tokens.byte_bpe_path())
+    want = {}
+    for i, t in enumerate(texts):
+        lines = t.encode().split(b"\n")
+        ends = list(itertools.accumulate(len(x) + 1 for x in lines))
+        ends = ends[:-1] if not lines[-1] else [*ends[:-1], len(t.encode())]
+        count, cross = slow_allocation([int(sizes[x]) for x in encode(t)], ends, rule)
+        want.update({(i, k): (round(c, 9), x) for k, (c, x) in enumerate(zip(count, cross))})
+    assert got == want and any(x for _, x in want.values())
+
+
 def test_fields(spark):
     rows = spark.createDataFrame([("ab cd", "ef", None), (None, None, None), ("x", "", "yz")], "a string, b string, field_tokens string")
     got = [r.field_tokens for r in tokens.field_token_counts(rows, ["a", "b", "field_tokens"], rule="first").collect()]
@@ -119,7 +137,7 @@ def test_segmentations_decode_and_differ(docs, vocab):
 
 def test_samples_do_not_depend_on_neighbours(vocab):
     texts, seeds = ["the quick brown fox", "jumps over", "the lazy dog\n"], [11, 22, 33]
-    together = pieces.sample(vocab, texts, seeds, 3)
+    together = list(pieces.sample(vocab, texts, seeds, 3))
     for t, s, want in zip(texts, seeds, together):
         (got,) = pieces.sample(vocab, [t], [s], 3)
         assert [(g[0].tolist(), round(g[1], 9)) for g in got] == [(w[0].tolist(), round(w[1], 9)) for w in want]
@@ -151,7 +169,7 @@ def test_without_replacement_as_by_listing(vocab):
     assert {tuple(ids.tolist()): round(log, 8) for ids, log, *_ in every} == {k: round(v, 8) for k, v in exact.items()}
     assert all(inclusion == 1 for *_, inclusion in every)
     n = 4000
-    got = pieces.sample(vocab, [text] * n, list(range(n)), 2)
+    got = list(pieces.sample(vocab, [text] * n, list(range(n)), 2))
     likely = max(exact, key=exact.get)
     p = math.exp(exact[likely])
     share = np.mean([tuple(g[0][0].tolist()) == likely for g in got])

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.llm import substring
 
@@ -70,7 +71,11 @@ def test_runs_and_cut_texts(spark):
         assert r.end_word - r.first_word >= 35
         runs[r.doc_id] = runs.get(r.doc_id, 0) + r.end_word - r.first_word
     assert runs == {i: n for i, (_, n, _) in enumerate(want) if n}
-    cut = {r.doc_id: r for r in substring.drop_repeats(docs).collect()}
+    clash = docs.withColumns({c: F.lit(c) for c in ("_at", "at", "row", "key", "key2", "_key")})
+    cut = substring.drop_repeats(clash)
+    assert cut.columns == clash.columns
+    cut = {r.doc_id: r for r in cut.collect()}
+    assert all((r["_at"], r["at"], r["row"], r["key"], r["key2"]) == ("_at", "at", "row", "key", "key2") for r in cut.values())
     for i, t in enumerate(texts):
         if want[i][1] == 0:
             assert cut[i].text == t
