@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.numeric import ISA_SLACK
-from arbora.plans import stash
+from arbora.plans import drop, stash
 
 
 def edges_of(trees: DataFrame, parents: str = "parents", keys: Sequence[str] = ()) -> DataFrame:
@@ -42,6 +42,7 @@ def ancestry(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         up = step.select(*keys, F.col("anc"), F.col("node").alias("mid"), F.col("depth").alias("more"))
         new = far.join(up, [*keys, "mid"]).select(*keys, "anc", "node", (F.col("more") + reach).alias("depth"))
         longer = stash(step.unionByName(new), "ancestry", release=False)
+        drop(edges.sparkSession, step)
         top = longer.agg(F.max("depth")).first()[0]
         step, before, reach = longer, reach, reach * 2
         if top is None or top < reach or top == before:

@@ -1,5 +1,5 @@
-"""Plan-level helpers: cutting lineage through shared storage."""
+"""Plans that span several Spark jobs."""
 
-from arbora.plans.stash import shared_dir, stash
+from arbora.plans.stash import drop, load, save, shared_dir, stash, temporary
 
-__all__ = ["shared_dir", "stash"]
+__all__ = ["drop", "load", "save", "shared_dir", "stash", "temporary"]

@@ -48,13 +48,6 @@ def tree_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("node", F.when(F.col("node") % 5 == 1, 0).otherwise(F.col("node") - 1).cast("int").alias("parent"))
 
 
-def tree_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node, parent: regions under the root, nations under their regions."""
-    top = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).cast("int").alias("node"), F.lit(0).alias("parent"))
-    low = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 6).cast("int").alias("node"), (F.col("n_regionkey") + 1).cast("int").alias("parent"))
-    return top.unionByName(low)
-
-
 def tree_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t, node, parent: eight sampled trees, four distinct ones, each found twice."""
     n = F.col("node")
@@ -86,8 +79,6 @@ SQL = {
     "nodes": "nodes AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INT) AS node FROM part)",
     "tree_heap": "tree_heap AS (SELECT node, CAST(floor(node / 2) AS INT) AS parent FROM nodes)",
     "tree_chain": "tree_chain AS (SELECT node, CAST(CASE WHEN node % 5 = 1 THEN 0 ELSE node - 1 END AS INT) AS parent FROM nodes)",
-    "tree_geo": """tree_geo AS (SELECT CAST(r_regionkey + 1 AS INT) AS node, 0 AS parent FROM region
-  UNION ALL SELECT CAST(n_nationkey + 6 AS INT), CAST(n_regionkey + 1 AS INT) FROM nation)""",
     "tree_set": """tree_set AS (SELECT t.t, node, CAST(CASE t.t % 4 WHEN 0 THEN floor(node / 2) WHEN 1 THEN floor(node / 3)
   WHEN 2 THEN (CASE WHEN node % 5 = 1 THEN 0 ELSE node - 1 END) ELSE 0 END AS INT) AS parent
   FROM nodes CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) t(t))""",
