@@ -130,3 +130,12 @@ def _betainc_batch(a: pa.Array, b: pa.Array, x: pa.Array) -> pa.Array:
 def betainc(a: Column, b: Column, x: Column) -> Column:
     """The regularised incomplete beta function I_x(a, b); null if any argument is. An Arrow kernel: Spark has none."""
     return F.arrow_udf(_betainc_batch, "double")(a.cast("double"), b.cast("double"), x.cast("double"))
+
+
+def _betainc_lists(a: pa.Array, b: pa.Array, x: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(a.value_lengths().to_numpy())]), pa.int32()), _betainc_batch(a.flatten(), b.flatten(), x.flatten()))
+
+
+def betainc_arrays(a: str, b: str, x: str) -> Column:
+    """``betainc`` of three array columns of equal lengths, without null arrays, element by element."""
+    return F.arrow_udf(_betainc_lists, "array<double>")(F.col(a), F.col(b), F.col(x))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from arbora.functions import clip
 from arbora.functions.numeric import PAC_CLIP
 from arbora.operators.reads import cluster_llh
-from arbora.plans import stash
+from arbora.operators.trees import lineages
+from arbora.plans import load, save, stash
+from arbora.sources.formats import require
 
 METRICS = ("euclidean", "cityblock", "cosine", "chebyshev")
 LINKAGES = ("min", "avg", "ward")
@@ -101,8 +103,9 @@ def agglomerate(trees: DataFrame, freq: DataFrame, kind: str = "min", metric: st
         data = pairwise_distance(vec, metric, keys=["tree"])
     data = stash(data, "linkage_data", release=False)
     own = F.transform("parents", lambda p, i: F.when(p >= 0, F.array((i + 1).cast("int"))).otherwise(F.array().cast("array<int>")))
-    state = stash(trees.select("tree", "parents", own.alias("clusters"), F.lit(True).alias("linear"), F.lit(True).alias("changed")), "state", release=False)
-    out = [state]
+    spark, state = trees.sparkSession, trees.select("tree", "parents", own.alias("clusters"), F.lit(True).alias("linear"), F.lit(True).alias("changed"))
+    schema, states = state.schema, [save(state, "state")]
+    state = load(spark, schema, states[-1])
     rounds = state.agg(F.max(F.size(F.filter("parents", lambda p: p >= 0)))).first()[0] or 0
     for _ in range(rounds):
         dist = _merge_distances(state, _merges(state), data, kind)
@@ -114,13 +117,27 @@ def agglomerate(trees: DataFrame, freq: DataFrame, kind: str = "min", metric: st
         merged = F.array_sort(F.array_union(F.get("clusters", F.col("one")), F.get("clusters", F.col("two"))))
         clusters = F.transform("clusters", lambda c, i: F.when(i == F.col("one"), merged).when(i == F.col("two"), F.array().cast("array<int>")).otherwise(c))
         rows = rows.select("tree", F.when(some, parents).otherwise(F.col("parents")).alias("parents"), F.when(some, clusters).otherwise(F.col("clusters")).alias("clusters"), (F.col("linear") & some).alias("linear"), some.alias("changed"))
-        state = stash(rows, "state", release=False)
-        out.append(state)
-    every = out[0]
-    for s in out[1:]:
-        every = every.unionByName(s)
+        states.append(save(rows, "state"))
+        state = load(spark, schema, states[-1])
     live = F.filter("clusters", lambda c: F.size(c) > 0)
-    return every.where("changed").select("tree", F.size(live).alias("size"), "parents", live.alias("clusters"))
+    return load(spark, schema, *states).where("changed").select("tree", F.size(live).alias("size"), "parents", live.alias("clusters"))
+
+
+def lineage_clusterings(edges: DataFrame, keys: Sequence[str] = ("tree",)) -> DataFrame:
+    """keys, size, llh, parents, clusters: the clone tree whose clones are the lineages (see ``trees.lineages``) of each tree.
+
+    Clones are numbered by their heads; ``parents`` holds the number (from 1, 0 for the root) of the clone that a clone hangs
+    off. Nothing is scored: llh is 0.
+    """
+    keys = list(keys)
+    rows = lineages(edges, keys)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("head"))
+    rows = rows.withColumn("clone", number)
+    of_node = rows.select(*keys, F.col("clone").alias("up"), F.explode("nodes").alias("parent"))
+    rows = rows.join(of_node, [*keys, "parent"], "left").select(*keys, "clone", F.coalesce("up", F.lit(0)).alias("up"), "nodes")
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("clone", "up", "nodes"))).alias("x"))
+    field = lambda c: F.transform("x", lambda y: y[c])
+    return packed.select(*keys, F.size("x").alias("size"), F.lit(0.0).alias("llh"), field("up").alias("parents"), field("nodes").alias("clusters"))
 
 
 def clustering_llh(clusterings: DataFrame, cells: DataFrame) -> DataFrame:
@@ -138,9 +155,12 @@ def information_criterion(llh: Column, size: Column, n: Column, m: Column, kind:
 
 
 def select_clustering(clusterings: DataFrame, n: Column, m: Column, kind: str = "bic", num_clones: int | None = None) -> DataFrame:
-    """For each tree the clustering with the least criterion, the larger of equal ones; or the one of ``num_clones`` clones."""
+    """For each tree the clustering with the least criterion, the larger of equal ones; or the one of ``num_clones`` clones, and an
+    error if a tree has none of that size."""
     rows = clusterings.withColumn("criterion", information_criterion(F.col("llh"), F.col("size"), n, m, kind))
     if num_clones is not None:
+        lacking = rows.groupBy("tree").agg(F.bool_or(F.col("size") == num_clones).alias("has")).where(~F.col("has"))
+        require(lacking, f"trees without a clustering of {num_clones} clones")
         return rows.where(F.col("size") == num_clones)
     first = Window.partitionBy("tree").orderBy("criterion", F.desc("size"))
     return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")

@@ -9,6 +9,11 @@ from arbora.functions.numeric import ISA_SLACK
 from arbora.plans import stash
 
 
+def count_trees(freq: DataFrame, max_trees: int | None = None) -> DataFrame:
+    """n_trees: one row, the number of trees of ``enumerate_trees``, without the trees: the last level is only counted."""
+    return _enumerate(freq, max_trees, only_count=True)
+
+
 def enumerate_trees(freq: DataFrame, max_trees: int | None = None) -> DataFrame:
     """parents array<int>: every tree in which no node's children sum to more than it in any sample.
 
@@ -17,6 +22,10 @@ def enumerate_trees(freq: DataFrame, max_trees: int | None = None) -> DataFrame:
     enough left. Partial trees are rows in shared storage, so the set may outgrow memory; ``max_trees`` stops the enumeration
     with an error once a level is larger (it never returns part of the trees).
     """
+    return _enumerate(freq, max_trees, only_count=False)
+
+
+def _enumerate(freq: DataFrame, max_trees: int | None, only_count: bool) -> DataFrame:
     vec = freq.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "f"))), lambda s: s["f"]).alias("f"))
     order = F.row_number().over(Window.orderBy(F.desc(F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 12)), "node")) - 1
     vec = stash(vec.withColumn("place", order).withColumn("_one", F.lit(1)), "ordered", release=False)
@@ -29,6 +38,8 @@ def enumerate_trees(freq: DataFrame, max_trees: int | None = None) -> DataFrame:
         u = F.broadcast(vec.where(F.col("place") == place).select(F.col("node").alias("u"), F.col("f").alias("fu"), "_one"))
         rows = state.withColumn("_one", F.lit(1)).join(u, "_one")
         fits = lambda r: F.forall(F.zip_with(r["left"], F.col("fu"), lambda a, b: b <= a + ISA_SLACK), lambda x: x)
+        if only_count and place == n:
+            return rows.agg(F.coalesce(F.sum(F.size(F.filter("rest", fits)).cast("long")), F.lit(0)).alias("n_trees"))
         rows = rows.withColumn("r", F.explode(F.filter("rest", fits)))
         less = F.zip_with(F.col("r.left"), F.col("fu"), lambda a, b: a - b)
         rest = F.transform("rest", lambda x: F.when(x["node"] == F.col("r.node"), F.struct(x["node"].alias("node"), less.alias("left"))).otherwise(x))
@@ -36,4 +47,4 @@ def enumerate_trees(freq: DataFrame, max_trees: int | None = None) -> DataFrame:
         state = stash(rows.select(parents.alias("parents"), F.concat(rest, F.array(F.struct(F.col("u").alias("node"), F.col("fu").alias("left")))).alias("rest")), "partial", release=False)
         if max_trees is not None and state.count() > max_trees:
             raise RuntimeError(f"over {max_trees} partial trees at node {place} of {n}")
-    return state.select("parents")
+    return state.agg(F.count(F.lit(1)).alias("n_trees")) if only_count else state.select("parents")

@@ -67,9 +67,13 @@ def fit_sample(parents: np.ndarray, target: np.ndarray, weight: np.ndarray) -> t
 
 
 def _fit_batch(parents: pa.Array, target: pa.Array, weight: pa.Array) -> pa.Array:
-    rows = [fit_sample(*(np.array(c.as_py()) for c in r)) for r in zip(parents, target, weight)]
-    lists = [pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in (0, 1)]
-    return pa.StructArray.from_arrays(lists, ["f", "eta"])
+    """One fit for each tree and sample; targets and weights are arrays over samples of arrays over nodes."""
+    out = []
+    for tree, targets, weights in zip(parents, target, weight):
+        up = np.array(tree.as_py())
+        fits = [fit_sample(up, t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(targets, weights)]
+        out.append([{"f": f, "eta": eta} for f, eta in fits])
+    return pa.array(out, pa.list_(pa.struct([("f", pa.list_(pa.float64())), ("eta", pa.list_(pa.float64()))])))
 
 
 def _field(name: str) -> Callable[[Column], Column]:
@@ -91,10 +95,10 @@ def pack(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return one.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("samples"))
 
 
-def with_data(trees: DataFrame, packed: DataFrame) -> DataFrame:
-    """``trees`` with the one row of ``pack`` beside each."""
+def with_data(trees: DataFrame, packed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``trees`` with the row of ``pack`` of their problem beside each. Spark broadcasts the problems while they are small."""
     one = F.lit(1).alias("_one")
-    return trees.select("*", one).join(F.broadcast(packed.select("*", one)), "_one").drop("_one")
+    return trees.join(packed, list(keys)) if keys else trees.select("*", one).join(packed.select("*", one), "_one").drop("_one")
 
 
 def placed_llh(parents: Column, s: Column, f: Column) -> Column:
@@ -105,13 +109,12 @@ def placed_llh(parents: Column, s: Column, f: Column) -> Column:
     return F.aggregate(rows, F.lit(0.0), lambda a, r: a + term(r))
 
 
-def fit_trees(trees: DataFrame, packed: DataFrame) -> DataFrame:
-    """``trees`` (parents, more columns that can be grouped by) with llh and fits array<struct<sample, f, eta>>, by sample.
+def fit_trees(trees: DataFrame, packed: DataFrame, keys: Sequence[str] = (), columns: dict[str, Column] | None = None) -> DataFrame:
+    """``trees`` (parents, ...) with llh and fits array<struct<sample, f, eta>>, by sample.
 
-    One row for each tree and sample is fitted, so wide sets of trees spread over all tasks; a tree's samples then meet again.
-    The other columns travel along, so nothing is computed twice and joined back; rows must be distinct.
+    A tree is one row with all its samples, so nothing is shuffled; sets of trees spread over tasks as they come.
     """
-    return _fitted(with_data(trees, packed), trees.columns)
+    return _fitted(with_data(trees, packed, keys), trees.columns, columns)
 
 
 def fit_own(trees: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,12 +122,18 @@ def fit_own(trees: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     return _fitted(trees.join(pack(cells, keys), keys), trees.columns)
 
 
-def _fitted(with_samples: DataFrame, columns: list[str]) -> DataFrame:
-    rows = with_samples.select(*columns, F.explode("samples").alias("s"))
-    fit = F.arrow_udf(_fit_batch, "f array<double>, eta array<double>")
-    fitted = rows.withColumn("r", fit("parents", "s.target", "s.weight"))
-    part = fitted.select(*columns, F.struct(F.col("s.sample").alias("sample"), F.col("r.f").alias("f"), F.col("r.eta").alias("eta")).alias("fit"), placed_llh(F.col("parents"), F.col("s"), F.col("r.f")).alias("part"))
-    return part.groupBy(*columns).agg(F.sum("part").alias("llh"), F.array_sort(F.collect_list("fit")).alias("fits"))
+def fit_columns() -> dict[str, Column]:
+    """The columns that a fit adds; loops build them once."""
+    fit = F.arrow_udf(_fit_batch, "array<struct<f: array<double>, eta: array<double>>>")
+    both = F.arrays_zip(F.col("samples").alias("s"), F.col("fitted").alias("r"))
+    llh = F.aggregate(both, F.lit(0.0), lambda total, z: total + placed_llh(F.col("parents"), z["s"], z["r"]["f"]))
+    fits = F.transform(both, lambda z: F.struct(z["s"]["sample"].alias("sample"), z["r"]["f"].alias("f"), z["r"]["eta"].alias("eta")))
+    return {"fitted": fit("parents", "samples.target", "samples.weight"), "llh": llh, "fits": fits}
+
+
+def _fitted(with_samples: DataFrame, names: list[str], columns: dict[str, Column] | None = None) -> DataFrame:
+    x = columns or fit_columns()
+    return with_samples.withColumn("fitted", x["fitted"]).select(*names, x["llh"].alias("llh"), x["fits"].alias("fits"))
 
 
 def frequencies(fitted: DataFrame, keys: list[str]) -> DataFrame:

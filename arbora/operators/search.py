@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.functions import gumbel, gumbel_with_maximum, key_uniform
+from arbora.functions import gumbel, gumbel_with_maximum, key_uniform, safe_divide, softmax
 from arbora.operators import placement
-from arbora.operators.fit import fit_trees, pack, with_data
-from arbora.operators.reads import fsum_order, random_order
+from arbora.operators.fit import fit_columns, fit_trees, pack, with_data
 from arbora.operators.trees import apply_action, parsimony
-from arbora.plans import stash
+from arbora.plans import drop, load, save, stash
 
 
 @dataclass(frozen=True)
@@ -41,103 +41,125 @@ class SearchParams:
             raise ValueError("widths, factors and counts are at least 1")
 
 
+#: A search is one instance of one run (an input of its own).
+KEY = ["run", "instance"]
+
+
 def _orders(cells: DataFrame, p: SearchParams) -> DataFrame:
-    parts = []
-    for i in range(p.instances):
-        by_sum = p.node_order == "fsum" or (p.node_order == "diverse" and i == 0)
-        order = fsum_order(cells) if by_sum else random_order(cells, p.seed, i)
-        parts.append(order.select(F.lit(i).alias("instance"), "rank", F.col("node").alias("u")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    """run, instance, todo: the nodes of each search in the order in which it places them."""
+    weight = F.sum(safe_divide(F.col("v"), F.col("n") * F.col("omega")))
+    rows = cells.groupBy("run", "node").agg(weight.alias("weight")).withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(p.instances - 1))))
+    by_sum = F.lit(p.node_order == "fsum") | (F.lit(p.node_order == "diverse") & (F.col("instance") == 0))
+    luck = key_uniform(F.concat_ws("|", F.lit(str(p.seed)), F.col("instance").cast("string"), F.col("node").cast("string")))
+    place = F.struct(F.when(by_sum, -F.round("weight", 9)).otherwise(luck).alias("rank"), F.col("node").cast("int").alias("node"))
+    return rows.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["node"]).alias("todo"))
 
 
 def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_000) -> DataFrame:
-    """instance, parents, score, llh, fits: the complete trees of all instances, at most ``beam_width`` of each.
-
-    ``cells`` (node, sample, v, n, omega) must hold every node 1..n in every sample. Each step takes the ``expansion_factor``
-    best partial trees of each instance off its queue, proposes and scores placements of its next node, fits the best
-    ``branching_factor``, cuts them to ``beam_width`` for each parent, and queues those whose parents vector is new to the
-    instance; the queue is cut to its size, which shrinks by one whenever an expansion completes new trees. Only counts pass
-    through the driver; queue, seen vectors and results stay in tables of shared storage. All ranks are total orders and noise
-    is a function of (seed, instance, parents), so results don't depend on partitioning.
+    """instance, parents, score, llh, fits, explored, cut: the complete trees of all instances, at most ``beam_width`` of each.
+
+    ``cells`` (node, sample, v, n, omega) must hold every node 1..n in every sample. With a column ``run`` it holds many inputs,
+    each with nodes and samples of its own; all runs and instances take a step together, and the result has ``run`` too.
+
+    Each step takes the ``expansion_factor`` best partial trees of each search off its queue, proposes and scores placements of
+    its next node, fits the best ``branching_factor``, cuts them to ``beam_width`` for each parent, and queues those whose
+    parents vector is new to the search; the queue is cut to its size, which shrinks by one whenever an expansion completes new
+    trees. Only counts pass through the driver, one row for each search; queue, seen vectors and results stay in tables of
+    shared storage. All ranks are total orders and noise is a function of (seed, instance, parents), so results don't depend on
+    partitioning. ``explored`` and ``cut`` count the partial trees expanded, and those given up by the cuts, of the search.
     """
     p = p or SearchParams()
-    cells = stash(cells.select("node", "sample", "v", "n", "omega"), "cells", release=False)
-    n, m, rows, high = cells.agg(F.count_distinct("node"), F.count_distinct("sample"), F.count(F.lit(1)), F.max("node")).first()
-    if not rows or rows != n * m or high != n:
+    spark, many = cells.sparkSession, "run" in cells.columns
+    cells = cells if many else cells.withColumn("run", F.lit(0))
+    cells = stash(cells.select("run", "node", "sample", "v", "n", "omega"), "cells", release=False)
+    shape = cells.groupBy("run").agg(F.count_distinct("node").alias("n"), F.count_distinct("sample").alias("m"), F.count(F.lit(1)).alias("rows"), F.max("node").alias("high"))
+    if cells.isEmpty() or not shape.where("rows <> n * m or high <> n").isEmpty():
         raise ValueError("cells must hold each of the nodes 1..n once for each sample")
-    packed = stash(pack(cells), "packed", release=False)
-    order = stash(_orders(cells, p), "order", release=False)
-    root = F.transform(F.sequence(F.lit(1), F.lit(n + 1)), lambda i: F.when(i == 1, 1.0).otherwise(float("nan")))
-    first = with_data(cells.sparkSession.range(p.instances).select(F.col("id").cast("int").alias("instance")), packed)
+    packed = stash(pack(cells, ["run"]), "packed", release=False)
+    n = F.size(F.col("samples")[0]["v"])
+    root = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.when(i == 1, 1.0).otherwise(float("nan")))
     fits = F.transform("samples", lambda s: F.struct(s["sample"].alias("sample"), root.alias("f"), root.alias("eta")))
-    queue = first.select("instance", F.array_repeat(F.lit(-1), n).alias("parents"), F.lit(0).alias("step"), F.lit(0.0).alias("score"), F.lit(0.0).alias("llh"), fits.alias("fits"))
-    columns, seen, done, widest = queue.columns, None, None, 1
-    same = lambda v: F.size(F.filter("parents", lambda p: (p == v) & (p >= 0)))
-    size = dict.fromkeys(range(p.instances), p.beam_width)
-    for step in range(max_steps):
-        ranked = queue.withColumn("rn", F.row_number().over(Window.partitionBy("instance").orderBy("score", "parents")))
-        left = F.element_at(F.create_map(*[F.lit(x) for i in size for x in (i, size[i])]), F.col("instance"))
-        fresh = _expand(ranked.where(F.col("rn") <= p.expansion_factor).drop("rn"), order, packed, n, p, widest)
-        if seen is not None:
-            fresh = fresh.join(seen, ["instance", "parents"], "left_anti")
-        again = Window.partitionBy("instance", "parents").orderBy("score", "origin")
-        fresh = fresh.withColumn("nth", F.row_number().over(again)).where("nth = 1").select(*columns, "origin", F.lit(True).alias("new"))
-        kept = ranked.where((F.col("rn") > p.expansion_factor) & (F.col("rn") <= left)).select(*columns, F.lit(None).cast("array<int>").alias("origin"), F.lit(False).alias("new"))
-        state = stash(fresh.unionByName(kept), "state", release=step % 10 == 9)
-        whole = F.col("step") == n
-        counts = state.groupBy("instance").agg(F.count_distinct(F.when(whole, F.col("origin"))).alias("finished"), F.count_if(~whole).alias("left"), F.max(F.array_max(F.transform("parents", same))).alias("widest")).collect()  # one small row for each instance
+    first = packed.join(_orders(cells, p), "run")
+    queue = first.select(*KEY, "todo", F.array_repeat(F.lit(-1), n).alias("parents"), F.lit(0).alias("step"), F.lit(0.0).alias("score"), F.lit(0.0).alias("llh"), fits.alias("fits"))
+    columns, states, schema, widest = queue.columns, [], None, 1
+    size = {(r["run"], r["instance"]): {"room": p.beam_width, "waiting": 1, "explored": 0, "cut": 0} for r in queue.select(*KEY).collect()}
+    columns_of = {"candidates": placement.candidate_columns(p.force_monoprimary), "scores": placement.score_columns(), "fits": fit_columns()}
+    columns_of["child"] = apply_action("parents", F.col("u"), F.col("v"), F.col("c"))
+    whole, same = F.col("step") == F.size("parents"), lambda v: F.size(F.filter("parents", lambda p: (p == v) & (p >= 0)))
+    for _ in range(max_steps):
+        for x in size.values():
+            taken = min(x["waiting"], p.expansion_factor)
+            x["explored"] += taken
+            x["cut"] += max(0, x["waiting"] - max(x["room"], taken))
+        rooms = spark.createDataFrame([(*k, x["room"]) for k, x in size.items()], f"run {schema_of(cells, 'run')}, instance int, room int")
+        ranked = queue.join(F.broadcast(rooms), KEY).withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "parents")))
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(size) * p.expansion_factor)
+        branches = ranked.where(F.col("rn") <= p.expansion_factor).select(*columns).repartition(tasks, *KEY, "parents")
+        fresh = _expand(branches, packed, p, widest, columns_of).withColumns({"new": F.lit(True), "old": F.lit(False)})
+        if states:
+            known = load(spark, schema, *states).where("new and not again").select(*KEY, "parents", F.lit(True).alias("old"))
+            fresh = fresh.unionByName(known, allowMissingColumns=True)
+        again = F.row_number().over(Window.partitionBy(*KEY, "parents").orderBy(F.desc("old"), "score", "origin")) > 1
+        fresh = fresh.withColumn("again", again).where("not old").select(*columns, "origin", "lost", "new", "again")
+        kept = ranked.where((F.col("rn") > p.expansion_factor) & (F.col("rn") <= F.col("room"))).select(*columns, F.lit(None).cast("array<int>").alias("origin"), F.lit(0).cast("long").alias("lost"), F.lit(False).alias("new"), F.lit(False).alias("again"))
+        state = fresh.unionByName(kept)
+        schema = state.schema
+        states.append(save(state, "state"))
+        state = load(spark, schema, states[-1])
+        live = ~F.col("again")
+        counts = state.groupBy(*KEY).agg(F.count_distinct(F.when(whole & live, F.col("origin"))).alias("finished"), F.count_if(~whole & live).alias("waiting"), F.sum("lost").alias("lost"), F.max(F.array_max(F.transform("parents", same))).alias("widest")).collect()  # one small row for each search
+        for x in size.values():
+            x["waiting"] = 0
         for r in counts:
-            size[r["instance"]] = max(0, size[r["instance"]] - r["finished"])
-        if any(r["finished"] for r in counts):
-            part = state.where(whole).select("instance", "parents", "score", "llh", "fits")
-            done = part if done is None else done.unionByName(part)
-        if not sum(r["left"] for r in counts):
+            x = size[r["run"], r["instance"]]
+            x["room"], x["waiting"], x["cut"] = max(0, x["room"] - r["finished"]), r["waiting"], x["cut"] + r["lost"]
+        if not any(x["waiting"] for x in size.values()):
             break
-        queue, widest = state.where(~whole).select(*columns), max(r["widest"] for r in counts)
-        found = state.where("new").select("instance", "parents")
-        seen = found if seen is None else seen.unionByName(found)
-        if step % 10 == 9:
-            seen = stash(seen, "seen")
-    last = Window.partitionBy("instance").orderBy("score", "parents")
-    return done.withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= p.beam_width).drop("rn")
+        queue, widest = state.where(~whole & live).select(*columns), max(r["widest"] for r in counts)
+    counters = spark.createDataFrame([(*k, x["explored"], x["cut"]) for k, x in size.items()], f"run {schema_of(cells, 'run')}, instance int, explored long, cut long")
+    done = load(spark, schema, *states).where(whole & F.col("new") & ~F.col("again")).select(*KEY, "parents", "score", "llh", "fits")
+    done = done.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "parents"))).where(F.col("rn") <= p.beam_width).drop("rn")
+    done = stash(done.join(F.broadcast(counters), KEY), "complete_trees", release=False)  # one row of counters for each search
+    drop(spark, *states)
+    return done if many else done.drop("run")
+
+
+def schema_of(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
 
 
-def _expand(branches: DataFrame, order: DataFrame, packed: DataFrame, n: int, p: SearchParams, widest: int) -> DataFrame:
-    """Children of ``branches``, fitted, scored and cut: instance, parents, step, score, llh, fits, origin.
+def _expand(branches: DataFrame, packed: DataFrame, p: SearchParams, widest: int, columns: dict) -> DataFrame:
+    """Children of ``branches``, fitted, scored and cut: run, instance, parents, step, score, llh, fits, origin, lost (how many
+    children of the same branch were cut, on the first of them).
 
-    No node of the branches has more than ``widest`` children, so no set of children needs more rounds than that.
+    Everything of one branch stays in one task, from its candidates to its children. No node of the branches has more than
+    ``widest`` children, so no set of children needs more rounds than that.
     """
-    up = order.select("instance", (F.col("rank") - 1).alias("step"), "u")
-    rows = with_data(branches.join(F.broadcast(up), ["instance", "step"]), packed).withColumnRenamed("score", "parent_score")
-    cands = placement.candidates(rows, min(p.max_placements, widest), p.force_monoprimary)
-    keys = ["instance", "parents", "v", "c", "model", "u", "step", "parent_score", "fallback"]
-    scored = placement.scores(placement.expand_samples(cands), keys)
-    scored = scored.withColumn("score", F.when(F.col("fallback"), 0.0).otherwise(F.col("score")))
-    top = placement.best(scored, ["instance", "parents"], p.branching_factor, p.ignore_zero_probs)
-    made = top.select("instance", F.col("parents").alias("origin"), apply_action("parents", F.col("u"), F.col("v"), F.col("c")).alias("parents"), (F.col("step") + 1).alias("step"), "parent_score")
-    made = fit_trees(made, packed)
-    over = Window.partitionBy("instance", "origin")
+    rows = branches.select(*KEY, "todo", "parents", "step", F.get("todo", F.col("step")).alias("u"), F.col("score").alias("parent_score"), "fits")
+    cands = placement.candidates(with_data(rows, packed, ["run"]), min(p.max_placements, widest), columns=columns["candidates"])
+    scored = placement.scores(cands, columns["scores"]).withColumn("score", F.when(F.col("fallback"), 0.0).otherwise(F.col("score")))
+    top = placement.best(scored, [*KEY, "parents"], p.branching_factor, p.ignore_zero_probs)
+    made = top.select(*KEY, "todo", F.col("parents").alias("origin"), columns["child"].alias("parents"), (F.col("step") + 1).alias("step"), "parent_score")
+    made = fit_trees(made, packed, ["run"], columns["fits"])
+    over = Window.partitionBy(*KEY, "origin")
     if p.model == "sbs":
         key = F.concat_ws("|", F.lit(str(p.seed)), F.col("instance").cast("string"), F.array_join("origin", ","), F.array_join("parents", ","))
         noisy = made.withColumn("g", F.col("llh") + gumbel(key_uniform(key)))
         noisy = noisy.withColumn("score", -gumbel_with_maximum(F.col("g"), -F.col("parent_score"), F.max("g").over(over))).drop("g")
     else:
         noisy = made.withColumn("score", -F.col("llh"))
-    cut = noisy.withColumn("rn", F.row_number().over(over.orderBy("score", "parents"))).where(F.col("rn") <= p.beam_width)
-    return cut.select("instance", "parents", "step", "score", "llh", "fits", "origin")
+    cut = noisy.withColumns({"rn": F.row_number().over(over.orderBy("score", "parents")), "made": F.count(F.lit(1)).over(over)}).where(F.col("rn") <= p.beam_width)
+    lost = F.when(F.col("rn") == 1, F.greatest(F.col("made") - p.beam_width, F.lit(0))).otherwise(0).cast("long")
+    return cut.select(*KEY, "todo", "parents", "step", "score", "llh", "fits", "origin", lost.alias("lost"))
 
 
-def package(trees: DataFrame) -> DataFrame:
-    """rank, parents, llh, prob, count, parsimony, fits: distinct trees of all instances, the likeliest first.
+def package(trees: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """rank, parents, llh, prob, count, parsimony, fits: distinct trees of all instances, the likeliest first; for each ``keys``
+    (such as run), if given.
 
     ``prob`` is the softmax of the log likelihoods; ``count`` tells how often a tree was found and does not enter it.
     """
-    rows = trees.groupBy("parents").agg(F.count(F.lit(1)).alias("count"), F.min_by(F.struct("llh", "fits"), "instance").alias("x"))
-    rows = rows.select("parents", "count", "x.llh", "x.fits").withColumn("parsimony", parsimony("parents"))
-    every = Window.partitionBy(F.lit(1))
-    e = F.exp(F.col("llh") - F.max("llh").over(every))
-    rows = rows.withColumn("e", e).withColumn("prob", F.col("e") / F.sum("e").over(every)).drop("e")
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("llh"), "parents")))
+    rows = trees.groupBy(*keys, "parents").agg(F.count(F.lit(1)).alias("count"), F.min_by(F.struct("llh", "fits"), "instance").alias("x"))
+    rows = rows.select(*keys, "parents", "count", "x.llh", "x.fits").withColumn("parsimony", parsimony("parents"))
+    every = Window.partitionBy(*(keys or [F.lit(1)]))  # a search's results: beam width times instances at most
+    return rows.withColumn("prob", softmax(F.col("llh"), every)).withColumn("rank", F.row_number().over(every.orderBy(F.desc("llh"), "parents")))

@@ -101,8 +101,8 @@ def rrl(spark: SparkSession, d: str) -> DataFrame:
     named = edges.select((F.col("t") % 2).cast("string").alias("method"), F.col("t").alias("tree"), "node", "parent")
     truth = edges.where("t = 0").select(F.lit("truth").alias("method"), F.lit(0).alias("tree"), "node", "parent")
     one = truth.select("method", "tree", F.lit(0.0).alias("llh"), F.lit(1).alias("count")).distinct()
-    q = M.relation_probs(one, truth, members).select("a", "b", "rel", F.col("p").alias("q"))
-    return M.relation_loss(M.relation_probs(_sampled_trees(spark, d), named, members), q).withColumn("score", r6("score"))
+    q = M.clone_relation_probs(one, truth).select("i", "j", "rel", F.col("p").alias("q"))
+    return M.clone_relation_loss(M.clone_relation_probs(_sampled_trees(spark, d), named), q, members, members).withColumn("score", r6("score"))
 
 
 @query(with_views("vectors", ", c AS (SELECT label, unnest(range(1, 65)) AS i, x FROM vectors), m AS (SELECT label, i, avg(x[i]) AS x FROM c GROUP BY ALL) SELECT a.label AS a, b.label AS b, round(sqrt(sum((a.x - b.x) ** 2)), 6) + 0.0 AS dist FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL"))
@@ -247,10 +247,13 @@ def gumbel_topk(spark: SparkSession, d: str) -> DataFrame:
     """The stochastic cut: five actions of each branch by noise conditioned on a largest value of 0."""
     key = F.concat_ws("|", F.lit("7"), F.col("branch").cast("string"), F.col("i").cast("string"))
     rows = S.actions(spark, d).withColumn("g", F.col("value") / 50 + gumbel(key_uniform(key)))
+    # Five of each part of a branch, then of the branch: no task sorts a branch.
+    parts = Window.partitionBy("branch", "part").orderBy(F.desc("g"), "i")
+    few = rows.withColumn("part", F.pmod(F.xxhash64("i"), F.lit(256))).withColumn("nth", F.row_number().over(parts)).where("nth <= 5")
     over = Window.partitionBy("branch")
-    rows = rows.withColumn("shifted", gumbel_with_maximum(F.col("g"), F.lit(0.0), F.max("g").over(over)))
-    rows = rows.withColumn("rank", F.row_number().over(over.orderBy(F.desc("shifted"), "i"))).where("rank <= 5")
-    return rows.select("branch", "i", r6("shifted").alias("shifted"), "rank")
+    few = few.withColumn("shifted", gumbel_with_maximum(F.col("g"), F.lit(0.0), F.max("g").over(over)))
+    few = few.withColumn("rank", F.row_number().over(over.orderBy(F.desc("shifted"), "i"))).where("rank <= 5")
+    return few.select("branch", "i", r6("shifted").alias("shifted"), "rank")
 
 
 def _half_placed(spark: SparkSession, d: str) -> DataFrame:
@@ -271,8 +274,7 @@ def _half_placed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    cands = P.candidates(_half_placed(spark, d)).select("u", "v", "c", "model", "children", "samples", "fits")
-    return P.scores(P.expand_samples(cands), ["u", "v", "c", "model"])
+    return P.scores(P.candidates(_half_placed(spark, d))).select("u", "v", "c", "model", "score")
 
 
 PLACE_SQL = """, et AS (SELECT f.node, f.sample, greatest(f.f - coalesce(b.b, 0.0), 0.0) AS eta FROM f_hat f
@@ -401,4 +403,83 @@ def tree_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("actions", " SELECT branch, i, round(e / sum(e) OVER (PARTITION BY branch), 8) + 0.0 AS prob FROM (SELECT branch, i, exp(value / 100 - max(value / 100) OVER (PARTITION BY branch)) AS e FROM actions)"))
 def action_probs(spark: SparkSession, d: str) -> DataFrame:
-    return S.actions(spark, d).select("branch", "i", (F.round(softmax(F.col("value") / 100, Window.partitionBy("branch")), 8) + 0.0).alias("prob"))
+    rows, x = S.actions(spark, d), F.col("value") / 100
+    top = rows.groupBy("branch").agg(F.max(x).alias("top"))  # partial maxima and sums: no task holds a branch
+    total = rows.join(top, "branch").groupBy("branch").agg(F.max("top").alias("top"), F.sum(F.exp(x - F.col("top"))).alias("total"))
+    return rows.join(total, "branch").select("branch", "i", (F.round(F.exp(x - F.col("top")) / F.col("total"), 8) + 0.0).alias("prob"))
+
+
+@query(with_views("cells tree_set", F_HAT_SQL + TREE_LLH_SQL + " SELECT t, round(-llh / ((SELECT count(DISTINCT node) FROM cells) * (SELECT count(DISTINCT sample) FROM cells) * ln(2)), 6) + 0.0 AS score FROM tl"))
+def plot_score(spark: SparkSession, d: str) -> DataFrame:
+    """The score of each tree that plots show."""
+    size = S.cells(spark, d).agg(F.count_distinct("node").alias("nodes"), F.count_distinct("sample").alias("samples"), F.lit(1).alias("_one"))
+    rows = tree_likelihoods(spark, d).withColumn("_one", F.lit(1)).join(size, "_one")
+    return rows.select("t", r6(M.plot_score(F.col("llh"), F.col("nodes"), F.col("samples"))).alias("score"))
+
+
+def _grouped_cells(spark: SparkSession, d: str, groups: int) -> DataFrame:
+    c = S.cells(spark, d).withColumn("node", (1 + (F.col("node") - 1) % groups).cast("int"))
+    return c.groupBy("node", "sample").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).withColumn("omega", F.lit(0.5))
+
+
+@query(
+    """WITH l AS (SELECT 4 AS run, [a, b, c, d] AS p FROM range(0, 5) r1(a), range(0, 5) r2(b), range(0, 5) r3(c), range(0, 5) r4(d)
+  UNION ALL SELECT 3, [a, b, c] FROM range(0, 4) r1(a), range(0, 4) r2(b), range(0, 4) r3(c)),
+s1 AS (SELECT run, p, unnest(p) AS a FROM l), s2 AS (SELECT run, p, CASE WHEN a = 0 THEN 0 ELSE p[a] END AS a FROM s1),
+s3 AS (SELECT run, p, CASE WHEN a = 0 THEN 0 ELSE p[a] END AS a FROM s2), s4 AS (SELECT run, p, CASE WHEN a = 0 THEN 0 ELSE p[a] END AS a FROM s3)
+SELECT run, list_transform(p, lambda i: CAST(i AS INT)) AS parents, (SELECT sum(CAST(pow(j + 1, j - 1) AS BIGINT))::BIGINT FROM range(0, run) t(j)) AS explored, 0::BIGINT AS cut
+FROM s4 GROUP BY run, p HAVING max(a) = 0"""
+)
+def search_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two inputs, of three and of four groups of nodes, searched together with a beam wide enough for all their trees: each is
+    found once, by way of all smaller trees."""
+    wide = SearchParams(beam_width=200, branching_factor=200, expansion_factor=200, model="bs")
+    both = _grouped_cells(spark, d, 3).withColumn("run", F.lit(3)).unionByName(_grouped_cells(spark, d, 4).withColumn("run", F.lit(4)))
+    return search(both, wide).select("run", "parents", "explored", "cut")
+
+
+@query(
+    with_views(
+        "cells",
+        """, h AS (SELECT node AS i, sample, least(1.0, v / (omega * n)) AS t, 1 / greatest(1e-4, (v + 1.0) * (1.0 - (v + 1.0) / (n + 2.0)) / pow((n + 2.0) * omega, 2)) AS k FROM cells),
+b AS (SELECT x.sample, x.i, x.t, x.k, sum(y.t) AS st, sum(1 / y.k) AS sw FROM h x JOIN h y ON x.sample = y.sample AND (y.t * y.k > x.t * x.k OR (y.t * y.k = x.t * x.k AND y.i <= x.i)) GROUP BY ALL),
+m AS (SELECT sample, greatest(0, max((st - 1) / sw)) AS mu FROM b GROUP BY sample),
+star AS (SELECT 'star' AS tree, i AS node, sample, greatest(0, t - mu / k) AS f FROM h JOIN m USING (sample)),
+c AS (SELECT x.sample, x.i AS a, y.i AS b, (SELECT sum(z.t * z.k) / sum(z.k) FROM h z WHERE z.sample = x.sample AND z.i BETWEEN x.i AND y.i) AS m FROM h x JOIN h y ON x.sample = y.sample AND x.i <= y.i),
+u AS (SELECT c.sample, h.i, c.a, max(c.m) AS m FROM h JOIN c ON h.sample = c.sample AND c.a <= h.i AND c.b >= h.i GROUP BY ALL),
+chain AS (SELECT 'chain' AS tree, i AS node, sample, least(1.0, greatest(0.0, min(m))) AS f FROM u GROUP BY ALL)
+SELECT tree, node, sample, round(f, 6) + 0.0 AS f FROM (SELECT * FROM star UNION ALL SELECT * FROM chain)""",
+    )
+)
+def fit_star_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The fits of all nodes as one star and as one chain, which have closed forms: a projection onto a simplex, and isotonic
+    regression."""
+    c = S.cells(spark, d)
+    kinds = F.explode(F.array(F.struct(F.lit("star").alias("tree"), F.lit(0).alias("parent")), F.struct(F.lit("chain").alias("tree"), (F.col("node") - 1).alias("parent"))))
+    edges = c.select("node").distinct().select("node", kinds.alias("k")).select("k.tree", "node", "k.parent")
+    freq = frequencies(fit_trees(T.parents_of(edges, ["tree"]), pack(c)), ["tree"])
+    return freq.where("node > 0").select("tree", "node", "sample", r6("f").alias("f"))
+
+
+@query(
+    with_views(
+        "cells",
+        """, q AS (SELECT 1 + (node - 1) % 3 AS node, sample, sum(v) AS v, sum(n) AS n, 0.5 AS omega FROM cells GROUP BY ALL),
+ds AS (SELECT a.node AS a, b.node AS b, round(sqrt(sum((least(1.0, a.v / (a.omega * a.n)) - least(1.0, b.v / (b.omega * b.n))) ** 2)), 12) AS dist FROM q a JOIN q b ON a.sample = b.sample AND a.node < b.node GROUP BY ALL),
+k AS (SELECT a, b FROM ds ORDER BY dist, a, b LIMIT 1),
+g AS (SELECT 3 AS size, i AS node, i AS clone FROM range(1, 4) t(i) UNION ALL SELECT 2, i, CASE WHEN i = b THEN a ELSE i END FROM range(1, 4) t(i), k UNION ALL SELECT 1, i, 1 FROM range(1, 4) t(i)),
+r AS (SELECT size, clone AS cluster, sample, least(v, 2 * n * omega) + 1 AS v, 2 * n * omega + 2 AS n, least(greatest(least(1.0, v / (omega * n)), 1e-4), 1 - 1e-4) AS f FROM g JOIN q USING (node)),
+pc AS (SELECT size, cluster, sample, sum(0.5 * f * n) / sum(n) AS p FROM r GROUP BY ALL),
+ll AS (SELECT size, sum(""" + PMF_SQL + """) AS llh FROM r JOIN pc USING (size, cluster, sample) GROUP BY size),
+cl AS (SELECT size, list(own ORDER BY clone) AS clusters FROM (SELECT size, clone, list(CAST(node AS INT) ORDER BY node) AS own FROM g GROUP BY ALL) GROUP BY size),
+pa AS (SELECT size, list(CASE WHEN node = clone THEN 0 ELSE -1 END ORDER BY node) AS parents FROM g GROUP BY size)
+SELECT size, parents, clusters, round(llh, 6) + 0.0 AS llh FROM cl JOIN pa USING (size) JOIN ll USING (size)""",
+    )
+)
+def pac_star(spark: SparkSession, d: str) -> DataFrame:
+    """Every clone tree of a star of three groups of nodes, by average linkage of their implied frequencies."""
+    c = _grouped_cells(spark, d, 3)
+    star = T.parents_of(c.select("node").distinct().withColumn("parent", F.lit(0))).withColumn("tree", F.lit(0))
+    data = c.withColumns({"tree": F.lit(0), "f": F.least(F.lit(1.0), F.col("v") / (F.col("omega") * F.col("n")))})
+    rows = C.clustering_llh(C.agglomerate(star, data.select("tree", "node", "sample", "f"), "avg"), data)
+    return rows.select("size", "parents", "clusters", r6("llh").alias("llh"))

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from arbora.functions import softmax
 from arbora.operators import reads as R
 from arbora.operators import trees as T
+from arbora.operators.cluster import lineage_clusterings
+from arbora.operators.enumerate import count_trees as count_all
 from arbora.operators.enumerate import enumerate_trees as enumerate_all
 from arbora.queries.reads import F_HAT_SQL, r6
-from arbora.sources.views import cells, tree_geo, tree_heap, tree_set, with_views
+from arbora.sources.formats import matrix_column, truth_trees
+from arbora.sources.views import cells, nodes, tree_heap, tree_set, with_views
 
 QUERIES, ORACLE = {}, {}
 
@@ -36,9 +39,16 @@ def tree_edges(spark: SparkSession, d: str) -> DataFrame:
     return T.edges_of(packed, keys=["t"])
 
 
-@query(with_views("tree_geo", ", e AS (SELECT * FROM tree_geo)" + ANC_SQL + " SELECT anc, node, depth FROM a", recursive=True))
+@query(
+    with_views(
+        "tree_set",
+        """, a AS (SELECT t, node AS anc, node, 0 AS depth FROM tree_set UNION ALL SELECT DISTINCT t, 0, 0, 0 FROM tree_set
+  UNION ALL SELECT a.t, e.parent, a.node, a.depth + 1 FROM a JOIN tree_set e ON a.t = e.t AND a.anc = e.node) SELECT t, anc, node, depth FROM a""",
+        recursive=True,
+    )
+)
 def ancestry(spark: SparkSession, d: str) -> DataFrame:
-    return T.ancestry(tree_geo(spark, d))
+    return T.ancestry(tree_set(spark, d), ["t"])
 
 
 @query(
@@ -73,13 +83,15 @@ def newick(spark: SparkSession, d: str) -> DataFrame:
     return T.newick(tree_set(spark, d), ["t"])
 
 
+LINEAGE_SQL = """, s AS (SELECT t, parent, count(*) AS c FROM tree_set GROUP BY ALL),
+h AS (SELECT t, node AS head, parent, node FROM tree_set JOIN s USING (t, parent) WHERE parent = 0 OR c > 1),
+l AS (SELECT t, head, parent, node FROM h UNION ALL SELECT l.t, l.head, l.parent, e.node FROM l JOIN tree_set e ON e.t = l.t AND e.parent = l.node JOIN s ON s.t = e.t AND s.parent = e.parent WHERE s.c = 1)"""
+
+
 @query(
     with_views(
         "tree_set",
-        """, s AS (SELECT t, parent, count(*) AS c FROM tree_set GROUP BY ALL),
-h AS (SELECT t, node AS head, parent, node FROM tree_set JOIN s USING (t, parent) WHERE parent = 0 OR c > 1),
-l AS (SELECT t, head, parent, node FROM h UNION ALL SELECT l.t, l.head, l.parent, e.node FROM l JOIN tree_set e ON e.t = l.t AND e.parent = l.node JOIN s ON s.t = e.t AND s.parent = e.parent WHERE s.c = 1)
-SELECT t, head, parent, list_sort(list(node)) AS nodes FROM l GROUP BY t, head, parent""",
+        LINEAGE_SQL + " SELECT t, head, parent, list_sort(list(node)) AS nodes FROM l GROUP BY t, head, parent",
         recursive=True,
     )
 )
@@ -87,6 +99,22 @@ def lineages(spark: SparkSession, d: str) -> DataFrame:
     return T.lineages(tree_set(spark, d), ["t"])
 
 
+@query(
+    with_views(
+        "tree_set",
+        LINEAGE_SQL
+        + """, g AS (SELECT t, head, parent, list_sort(list(node)) AS nodes FROM l GROUP BY t, head, parent),
+n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY head) AS clone FROM g),
+u AS (SELECT n.t, n.clone, n.nodes, CAST(coalesce(o.clone, 0) AS INT) AS up FROM n LEFT JOIN (SELECT t, clone, unnest(nodes) AS node FROM n) o ON o.t = n.t AND o.node = n.parent)
+SELECT t, CAST(count(*) AS INT) AS size, 0.0::DOUBLE AS llh, list(up ORDER BY clone) AS parents, list(nodes ORDER BY clone) AS clusters FROM u GROUP BY t""",
+        recursive=True,
+    )
+)
+def lineage_clones(spark: SparkSession, d: str) -> DataFrame:
+    """The clone tree of each tree whose clones are its lineages."""
+    return lineage_clusterings(tree_set(spark, d), ["t"])
+
+
 @query(with_views("tree_set", " SELECT t, node, CASE WHEN parent = 2 THEN (SELECT g.parent FROM tree_set g WHERE g.t = e.t AND g.node = 2) ELSE parent END AS parent FROM tree_set e WHERE node <> 2"))
 def contract_edge(spark: SparkSession, d: str) -> DataFrame:
     """Node 2 merged into a child in every tree."""
@@ -204,28 +232,79 @@ def apply_actions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("t", F.col("v").cast("long").alias("v"), T.apply_action("parents", F.size("parents"), F.col("v"), c).alias("parents"))
 
 
-@query(
+GROUPS_SQL = (
     """WITH RECURSIVE g AS (SELECT 1 + (CAST(substr(p_brand, 7) AS INT) - 1) % 6 AS node, CAST(n_regionkey AS INT) AS sample, count(*) AS n
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
 eta AS (SELECT node, sample, n / sum(n) OVER (PARTITION BY sample) AS eta FROM g UNION ALL SELECT DISTINCT 0, sample, 0.0 FROM g),
 e AS (SELECT DISTINCT node, CAST(floor(node / 2) AS INT) AS parent FROM g)"""
     + ANC_SQL
-    + """, f AS (SELECT a.anc AS node, sample, sum(eta) AS f FROM a JOIN eta USING (node) GROUP BY a.anc, sample),
-o AS (SELECT node, row_number() OVER (ORDER BY round(sum(f), 12) DESC, node) - 1 AS place FROM f GROUP BY node),
+    + ", f AS (SELECT a.anc AS node, sample, sum(eta) AS f FROM a JOIN eta USING (node) GROUP BY a.anc, sample)"
+)
+ENUMERATED_SQL = (
+    GROUPS_SQL
+    + """, o AS (SELECT node, row_number() OVER (ORDER BY round(sum(f), 12) DESC, node) - 1 AS place FROM f GROUP BY node),
 q AS (SELECT c.node AS node, p.node AS parent FROM o c JOIN o p ON p.place < c.place),
 ps AS (SELECT q1.parent AS p1, q2.parent AS p2, q3.parent AS p3, q4.parent AS p4, q5.parent AS p5, q6.parent AS p6
   FROM q q1, q q2, q q3, q q4, q q5, q q6 WHERE q1.node = 1 AND q2.node = 2 AND q3.node = 3 AND q4.node = 4 AND q5.node = 5 AND q6.node = 6),
 l AS (SELECT [p1, p2, p3, p4, p5, p6] AS parents FROM ps),
 x AS (SELECT parents, unnest(range(1, 7)) AS node FROM l),
 s AS (SELECT parents, parents[x.node] AS up, sample, sum(f.f) AS below FROM x JOIN f ON f.node = x.node GROUP BY ALL),
-bad AS (SELECT DISTINCT parents FROM s JOIN f ON s.up = f.node AND s.sample = f.sample WHERE s.below > f.f + 1e-9)
-SELECT parents FROM l WHERE parents NOT IN (SELECT parents FROM bad)"""
+bad AS (SELECT DISTINCT parents FROM s JOIN f ON s.up = f.node AND s.sample = f.sample WHERE s.below > f.f + 1e-9),
+fit AS (SELECT parents FROM l WHERE parents NOT IN (SELECT parents FROM bad))"""
 )
-def enumerate_trees(spark: SparkSession, d: str) -> DataFrame:
-    """All trees that the frequencies of six groups of nodes allow; the frequencies come from a tree, so there is one at least."""
+
+
+def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of a tree of six groups of nodes, and frequencies that come from it."""
     group = (1 + (F.col("node") - 1) % 6).alias("node")
     c = cells(spark, d).select(group, "sample", "n").groupBy("node", "sample").agg(F.sum("n").alias("n"))
     edges = c.select("node").distinct().select("node", F.floor(F.col("node") / 2).cast("int").alias("parent"))
-    return enumerate_all(T.f_from_eta(edges, shares(c)))
+    return edges, T.f_from_eta(edges, shares(c))
+
+
+@query(ENUMERATED_SQL + " SELECT parents FROM fit")
+def enumerate_trees(spark: SparkSession, d: str) -> DataFrame:
+    """All trees that the frequencies of six groups of nodes allow; the frequencies come from a tree, so there is one at least."""
+    return enumerate_all(_groups(spark, d)[1])
+
+
+@query(ENUMERATED_SQL + " SELECT count(*) AS n_trees FROM fit")
+def count_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Their number, the last level only counted."""
+    return count_all(_groups(spark, d)[1])
 
 
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    """A simulation's truth as ``formats.TRUTH`` has it: the six groups, with the nodes that they pool as mutations."""
+    edges, freq = _groups(spark, d)
+    members = nodes(spark, d).groupBy((1 + (F.col("node") - 1) % 6).alias("group")).agg(F.array_sort(F.collect_list("node")).alias("own"))
+    clusters = members.agg(F.transform(F.array_sort(F.collect_list(F.struct("group", "own"))), lambda x: F.transform(x["own"], lambda i: F.concat(F.lit("s"), i))).alias("clusters"))
+    one = F.lit(1).alias("_one")
+    rows = matrix_column(freq, "f", []).select(F.col("matrix").alias("phi"), one).join(T.parents_of(edges).select(F.col("parents").alias("structure"), one), "_one")
+    return rows.join(clusters.select("clusters", one), "_one").drop("_one").withColumn("vids_garbage", F.array().cast("array<string>"))
+
+
+TRUTH_SQL = """, m AS (SELECT DISTINCT 1 + (CAST(substr(p_brand, 7) AS INT) - 1) % 6 AS grp, CAST(substr(p_brand, 7) AS INT) AS node FROM part),
+cl AS (SELECT list(own ORDER BY grp) AS clusters FROM (SELECT grp, list('s' || node ORDER BY node) AS own FROM m GROUP BY grp)),
+ph AS (SELECT list(r ORDER BY node) AS phi FROM (SELECT node, list(round(f, 6) + 0.0 ORDER BY sample) AS r FROM f GROUP BY node))"""
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("phi", F.transform("phi", lambda row: F.transform(row, lambda x: F.round(x, 6) + 0.0)))
+
+
+@query(GROUPS_SQL + TRUTH_SQL + " SELECT 'truth' AS method, 0 AS tree_idx, (SELECT list(parent ORDER BY node) FROM e) AS parents, phi, 1::BIGINT AS count, 0.0::DOUBLE AS llh, 1.0::DOUBLE AS prob, clusters FROM ph, cl")
+def truth_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The true tree alone, as a method of its own."""
+    return _rounded(truth_trees(_truth(spark, d)))
+
+
+@query(
+    ENUMERATED_SQL
+    + TRUTH_SQL
+    + """ SELECT 'truth' AS method, CAST(row_number() OVER (ORDER BY parents) - 1 AS INT) AS tree_idx, parents, phi, 1::BIGINT AS count, 0.0::DOUBLE AS llh,
+  1.0 / count(*) OVER () AS prob, clusters FROM fit, ph, cl"""
+)
+def truth_enumerated(spark: SparkSession, d: str) -> DataFrame:
+    """All trees that the true frequencies allow, of equal weight."""
+    return _rounded(truth_trees(_truth(spark, d), enumerate_all(_groups(spark, d)[1])))

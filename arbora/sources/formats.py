@@ -5,12 +5,13 @@ Tables of trees and clusterings are Parquet with the columns of ``TREE`` and ``C
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SSM = "id string, name string, var_reads string, total_reads string, var_read_prob string"
 PARAMS = "samples array<string>, clusters array<array<string>>, garbage array<string>"
 TREE = "method string, tree_idx int, parents array<int>, phi array<array<double>>, eta array<array<double>>, count bigint, llh double, prob double, newick string, clusters array<array<string>>"
+TRUTH = "phi array<array<double>>, structure array<int>, clusters array<array<string>>, vids_garbage array<string>"
 CLUSTERING = "step int, size int, llh double, parents array<int>, clusters array<array<string>>, sv_clusters array<array<string>>"
 
 
@@ -90,8 +91,13 @@ def with_clusters(params: DataFrame, clustering: DataFrame) -> DataFrame:
 
 
 def write_trees(trees: DataFrame, path: str) -> None:
-    """Trees of ``TREE``'s columns, checked for equal numbers of nodes and frequency rows."""
-    require(trees.where(F.size("phi") != F.size("parents") + 1), "phi needs a row for the root and each node")
+    """Trees of ``TREE``'s columns, checked for rows of frequencies and for whole, finite values."""
+    for matrix in ("phi", "eta"):
+        require(trees.where(F.size(matrix) != F.size("parents") + 1), f"{matrix} needs a row for the root and each node")
+        require(trees.where(F.exists(matrix, lambda row: F.exists(row, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))), f"{matrix} holds values that are not finite")
+    require(trees.where(F.exists("parents", lambda p: p.isNull() | (p < 0) | (p > F.size("parents")))), "parents must be nodes of the tree")
+    require(trees.where(F.col("count").isNull() | (F.col("count") < 1) | F.col("llh").isNull()), "every tree needs a count and a log likelihood")
+    require(trees.groupBy("method", "tree_idx").count().where("count > 1"), "a method's trees need numbers of their own")
     trees.select(*_names(TREE)).write.parquet(path)
 
 
@@ -99,6 +105,38 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TREE).parquet(path)
 
 
+def one_tree(trees: DataFrame, tree_idx: int) -> DataFrame:
+    """The tree of that number; an error if there is none."""
+    rows = trees.where(F.col("tree_idx") == tree_idx)
+    if rows.isEmpty():
+        raise InvalidInput(f"no tree has the number {tree_idx}")
+    return rows
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """The one row of a simulation's truth: frequencies (rows: the root and its nodes), parents, clusters and garbage."""
+    rows = spark.read.schema(TRUTH).parquet(path)
+    require(rows.where(F.size("phi") != F.size("structure") + 1), "phi needs a row for the root and each node")
+    return rows
+
+
+def truth_frequencies(truth: DataFrame) -> DataFrame:
+    """node, sample, f of a truth, the root too."""
+    rows = truth.select(F.posexplode("phi").alias("node", "row"))
+    return rows.select("node", F.posexplode("row").alias("sample", "f"))
+
+
+def truth_trees(truth: DataFrame, trees: DataFrame | None = None) -> DataFrame:
+    """``TREE``'s columns but eta and newick, as method ``truth``: the true tree, or those of ``trees`` (parents; see
+    ``enumerate_trees``) with the true frequencies and clusters. All weigh the same: llh is 0 and count 1."""
+    one = F.lit(1).alias("_one")
+    rows = (truth.select(F.col("structure").alias("parents")) if trees is None else trees.select("parents")).select("parents", one)
+    every = Window.partitionBy("_one")  # the trees of one truth
+    rows = rows.withColumns({"tree_idx": F.row_number().over(every.orderBy("parents")) - 1, "prob": 1.0 / F.count(F.lit(1)).over(every)})
+    rows = rows.join(truth.select("phi", "clusters", one), "_one")
+    return rows.select(F.lit("truth").alias("method"), "tree_idx", "parents", "phi", F.lit(1).cast("long").alias("count"), F.lit(0.0).alias("llh"), "prob", "clusters")
+
+
 def write_clusterings(clusterings: DataFrame, path: str) -> None:
     clusterings.select(*_names(CLUSTERING)).write.parquet(path)
 

@@ -245,6 +245,23 @@ def test_truth_has_no_loss(spark):
     assert len(rel) == 16
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_loss_by_clones_is_the_loss_by_pairs(spark, strict):
+    """Method and truth cluster the mutations differently; two trees weigh in, one method's clusters are mixed up."""
+    own = spark.createDataFrame([(m, 1 + (3 * m + m // 5) % 3) for m in range(13)], "mut int, node int")
+    true = spark.createDataFrame([(m, 1 + m % 4) for m in range(13)], "mut int, node int")
+    shapes = {("a", 0): [0, 1, 1], ("a", 1): [0, 1, 2], ("b", 0): [0, 0, 0]}
+    edges = spark.createDataFrame([(*k, i + 1, p) for k, t in shapes.items() for i, p in enumerate(t)], "method string, tree int, node int, parent int")
+    found = spark.createDataFrame([("a", 0, -3.0, 2), ("a", 1, -2.5, 1), ("b", 0, -1.0, 1)], "method string, tree int, llh double, count int")
+    truth = spark.createDataFrame([("t", 0, i + 1, p) for i, p in enumerate(TRUTH)], "method string, tree int, node int, parent int")
+    once = spark.createDataFrame([("t", 0, 0.0, 1)], "method string, tree int, llh double, count int")
+    want = metrics.relation_loss(metrics.relation_probs(found, edges, own), metrics.relation_probs(once, truth, true).select("a", "b", "rel", F.col("p").alias("q")), strict)
+    q = metrics.clone_relation_probs(once, truth).select("i", "j", "rel", F.col("p").alias("q"))
+    got = metrics.clone_relation_loss(metrics.clone_relation_probs(found, edges), q, own, true, strict)
+    want, got = ({r.method: r.score for r in x.collect()} for x in (want, got))
+    assert want.keys() == got.keys() == {"a", "b"} and all(abs(want[k] - got[k]) < 1e-12 and want[k] > 0.01 for k in want)
+
+
 @pytest.mark.parametrize("metric", cluster.METRICS)
 def test_distances(spark, metric):
     a, b = np.array([1.0, 2.0, -3.0]), np.array([0.5, 0.0, 4.0])
