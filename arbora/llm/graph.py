@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.plans import stash
+from arbora.plans import drop, stash
 
 EDGE = "a long, b long"
 
@@ -51,6 +51,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     of the component size. Each round is two joins against per-node minima (partial aggregates, so a hub does not meet in one
     task) and is written to shared storage. Nodes without links are not returned. Links with a null end and loops are ignored.
     """
+    spark = edges.sparkSession
     edges = edges.where("a is not null and b is not null and a <> b")
     e = stash(thinned(edges).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -61,7 +62,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = stash(small.where("u <> v").distinct(), "edges")
+        e, before = stash(small.where("u <> v").distinct(), "edges"), e
+        drop(spark, before)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

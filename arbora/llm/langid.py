@@ -112,17 +112,17 @@ def fold(id_col: str = "doc_id", folds: int = 4) -> Column:
 
 
 def _cutter(each: int) -> Callable:
-    """lang, doc_id, nth, h, piece for rows (lang, doc_id, text): a document's ``each`` pieces of smallest hash, as no more can be
-    among the ``each`` smallest of its language."""
+    """lang, doc_id, nth, piece for rows (lang, doc_id, text): all pieces of a document, or ``each`` of them by a hash, as no more
+    are wanted of its language."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for lang, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 parts = ((zlib.crc32(f"{doc}:{i}".encode()), i, part) for i, part in enumerate(blocks((text or "").encode(), PIECE_BYTES)))
-                rows += [(lang, doc, i, h, part) for h, i, part in heapq.nsmallest(each, parts)]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["lang", "doc_id", "nth", "h", "piece"])
+                rows += [(lang, doc, i, part) for _, i, part in heapq.nsmallest(each, parts)]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.binary()))], ["lang", "doc_id", "nth", "piece"])
 
     return run
 
@@ -142,7 +142,7 @@ def train(docs: DataFrame, train_pieces: int = TRAIN_PIECES, calibration_docs: i
     id, so that the sample is bounded and doesn't depend on partitioning. Three quarters of them give pieces for the embeddings,
     one calibrates.
     """
-    rows = docs.where(F.col("lang").isNotNull() & (fold() != 2)).withColumn("h", F.xxhash64(F.lit("lang"), "doc_id"))
+    rows = docs.where(F.col("lang").isNotNull() & (fold() != 2)).select("doc_id", "lang", "text", F.xxhash64(F.lit("lang"), "doc_id").alias("h"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     languages = tuple(sorted(counts))
     if not languages:
@@ -152,8 +152,8 @@ def train(docs: DataFrame, train_pieces: int = TRAIN_PIECES, calibration_docs: i
     rates = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, rate double"))  # one row for each language
     share = (F.shiftrightunsigned("h", 12) % (1 << 24)) / F.lit(float(1 << 24))
     some = rows.join(rates, "lang").where(share < F.col("rate")).select("doc_id", "lang", "text", "h")
-    cut = some.where("h & 3 <> 0").select("lang", "doc_id", "text").mapInArrow(_cutter(each), "lang string, doc_id long, nth int, h long, piece binary")
-    first = Window.partitionBy("lang").orderBy("h", "doc_id", "nth")
+    cut = some.where("h & 3 <> 0").select("lang", "doc_id", "text").mapInArrow(_cutter(each), "lang string, doc_id long, nth int, piece binary")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth")
     got = cut.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= each).orderBy("lang", "rank").select("lang", "piece").collect()
     sample = [(r[0], subwords(bytes(r[1]))) for r in got]
     sample = [(k, x) for k, x in sample if len(x)]

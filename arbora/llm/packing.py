@@ -18,8 +18,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CONTEXT = 4096
 END_ID = 2
-#: Words whose ids a Python worker keeps; beyond that it starts anew, which costs time and changes nothing.
-CACHED_WORDS = 300_000
+#: About how many bytes of words and their ids a Python worker keeps; beyond that it starts anew, which costs time and changes
+#: nothing. A word counts as ``WORD_BYTES`` more than its own bytes and its ids, at most one for each byte.
+CACHED_BYTES = 80_000_000
+WORD_BYTES = 200
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
@@ -81,13 +83,16 @@ class WordTokenizer:
         if self.plain:
             (self.next_id,) = self.plain(_NEXT)
         self.known: dict[bytes, bytes] = {}
+        self.used = 0
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         lists = [t.split() for t in texts]
         new = set().union(*lists).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
+        cost = lambda: WORD_BYTES * len(new) + 5 * sum(map(len, new))
+        if self.used + cost() > CACHED_BYTES:
+            self.known, self.used = {}, 0
             new = set().union(*lists)
+        self.used += cost()
         words, rest = [], []
         for w in new:
             text = w.decode()

@@ -93,17 +93,17 @@ def feature_column(text: str, good: bytes, bad: bytes) -> Column:
 
 
 def _cutter(most: int) -> Callable:
-    """label, doc_id, nth, h, piece for rows (label, doc_id, text): a document's ``most`` pieces of smallest hash, as no more can be
-    among the ``most`` smallest of its label."""
+    """label, doc_id, nth, piece for rows (label, doc_id, text): all pieces of a document, or ``most`` of them by a hash, as no
+    more are wanted of its label."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for label, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 parts = ((zlib.crc32(f"{doc}:{i}".encode()), i, part) for i, part in enumerate(pieces((text or "").encode())))
-                rows += [(label, doc, i, h, part) for h, i, part in heapq.nsmallest(most, parts)]
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["label", "doc_id", "nth", "h", "piece"])
+                rows += [(label, doc, i, part) for _, i, part in heapq.nsmallest(most, parts)]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["label", "doc_id", "nth", "piece"])
 
     return run
 
@@ -125,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, dict_pieces: int = DICT_PIECES, ca
     wanted = usable_labels(labels).where(~held_out()).withColumn("h", F.xxhash64(F.lit("quality"), "doc_id"))
     one, two = (wanted.where(f"label = {k}").orderBy("h", "doc_id").limit(dict_pieces) for k in (0, 1))
     rows = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(one.unionByName(two)), "doc_id")  # bounded by dict_pieces
-    cut = rows.where("h & 3 <> 0").select("label", "doc_id", "text").mapInArrow(_cutter(dict_pieces), "label int, doc_id long, nth int, h long, piece binary")
-    first = Window.partitionBy("label").orderBy("h", "doc_id", "nth")
+    cut = rows.where("h & 3 <> 0").select("label", "doc_id", "text").mapInArrow(_cutter(dict_pieces), "label int, doc_id long, nth int, piece binary")
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth")
     got = cut.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= dict_pieces).orderBy("label", "rank").select("label", "piece").collect()
     sample = {k: [bytes(r[1]) for r in got if r[0] == k] for k in (0, 1)}
     if not all(sample.values()):

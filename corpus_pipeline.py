@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: five stages, each a DataFrame program over all that the stage before it kept."""
+"""From raw documents to packed sequences: five stages, each a DataFrame program over all that the stage before it kept.
+
+Odd rows, stage by stage: null and empty texts get the classifier's score for no text; where that keeps them, the language
+stage drops them (they have no language), as it drops texts without a letter. Null ids are scored, identified, linked, cut and
+packed like others and never learned from. Rows that repeat are copies: one of them stays. Texts of any length are treated
+whole. Extra columns, whatever their names, stay until packing. An empty table gives empty results.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from arbora.llm import langid, packing, quality, simhash, substring
-from arbora.plans import shared_dir
+from arbora.plans import drop, load, shared_dir, temporary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to shared storage and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/arbora/{uuid.uuid4().hex}"
+    """All stages over ``documents``; each stage's rows are written to shared storage and read again for the next. What a stage
+    leaves there besides, and its rows once the next stage has used them, are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/stage-{k}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/stage-{k}")
+        path = f"{shared_dir(spark)}/arbora/{uuid.uuid4().hex}/stage-{k}"
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = load(spark, out.schema, path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs

@@ -114,7 +114,7 @@ def test_every_language_is_learned(spark):
     """600 languages, each with words of its own; the rare ones too."""
     rng = random.Random(4)
     word = lambda k: "".join(chr(0x4E00 + k * 4 + rng.randrange(4)) for _ in range(3))
-    rows = [(k * 20 + i, " ".join(word(k) for _ in range(12)), f"l{k}") for k in range(600) for i in range(20 if k % 2 else 10)]
+    rows = [(k * 60 + i, " ".join(word(k) for _ in range(12)), f"l{k}") for k in range(600) for i in range(60 if k % 2 else 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(docs)
     assert len(model.languages) == 600

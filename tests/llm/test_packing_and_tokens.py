@@ -37,7 +37,7 @@ def test_pieces_hold_every_id_once(docs):
 
 
 def test_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    monkeypatch.setattr(packing, "CACHED_BYTES", 3 * packing.WORD_BYTES)
     tok, ref = packing.WordTokenizer(packing.word_bpe_path()), Tokenizer.from_file(packing.word_bpe_path())
     for text in ("a b c d", "d e f", "a b"):
         assert np.frombuffer(next(tok.encode([text.encode()])), "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids

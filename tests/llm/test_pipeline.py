@@ -1,12 +1,15 @@
 """The pipeline's stages take effect, in order, on all that the stage before kept."""
 
+from pathlib import Path
+
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from arbora.llm import langid, packing, quality, simhash, substring
-from arbora.plans import stash
+from arbora.plans import shared_dir, stash
 
 
 def test_stages(spark, sf):
@@ -36,6 +39,36 @@ def test_stages(spark, sf):
         assert own == tok.encode(r.text, add_special_tokens=False).ids + [2]
 
 
+def test_odd_rows_go_through_every_stage(spark, sf):
+    """Null ids and texts, repeated rows, a very long text, empty tables, and extra columns with the operators' own names."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = docs.where("text is not null and length(text) > 600").orderBy("doc_id").first()
+    long = " ".join(f"{w}{i % 7}" for i, w in enumerate(one.text.split() * 3000))
+    odd = [(None, one.text, one.lang), (None, None, None), (10**9, None, "en"), (10**9 + 1, "", "en"), (10**9 + 2, long, one.lang), (10**9 + 3, "x " * 50, None), (one.doc_id, one.text, one.lang), (10**9 + 4, "12 34", None)]
+    more = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = ("row", "key", "key2", "at", "h", "rate", "label", "id", "hash", "fp", "ids", "start", "score", "held_out")
+    table = docs.unionByName(more.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])).withColumns({c: F.lit(c) for c in clashing})
+    seen = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stash(stage(spark, seen, sf), "stage")
+        assert seen.columns == table.columns, name
+        assert seen.where(" or ".join(f"{c} <> '{c}'" for c in clashing)).count() == 0
+    rows = seen.collect()
+    assert all(r.text is not None for r in rows) and len({r.doc_id for r in rows}) == len(rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in rows}
+    empty = table.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
+
+
+def test_run_leaves_only_its_result(spark, sf):
+    base = Path(shared_dir(spark).removeprefix("file://")) / "arbora"
+    before = set(base.iterdir()) if base.exists() else set()
+    got = corpus_pipeline.run(spark, sf)
+    assert got.count() > 100 and len(set(base.iterdir()) - before) == 1
+
+
 def test_whole_run_is_registered(spark, sf):
     got = entry.queries()["pipeline"](spark, sf)
     assert got.count() > 100 and set(corpus_pipeline.packing.pack(spark.read.parquet(f"{sf}/documents.parquet")).columns) < set(got.columns)
