@@ -86,14 +86,16 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
     columns_of = {"candidates": placement.candidate_columns(p.force_monoprimary), "scores": placement.score_columns(), "fits": fit_columns()}
     columns_of["child"] = apply_action("parents", F.col("u"), F.col("v"), F.col("c"))
     whole, same = F.col("step") == F.size("parents"), lambda v: F.size(F.filter("parents", lambda p: (p == v) & (p >= 0)))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    partitions = int(partitions) if partitions.isdigit() else 200
     for _ in range(max_steps):
         for x in size.values():
             taken = min(x["waiting"], p.expansion_factor)
             x["explored"] += taken
             x["cut"] += max(0, x["waiting"] - max(x["room"], taken))
         rooms = spark.createDataFrame([(*k, x["room"]) for k, x in size.items()], f"run {schema_of(cells, 'run')}, instance int, room int")
-        ranked = queue.join(F.broadcast(rooms), KEY).withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "parents")))
-        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(size) * p.expansion_factor)
+        ranked = queue.join(_few(rooms, len(size)), KEY).withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "parents")))
+        tasks = min(partitions, len(size) * p.expansion_factor)
         branches = ranked.where(F.col("rn") <= p.expansion_factor).select(*columns).repartition(tasks, *KEY, "parents")
         fresh = _expand(branches, packed, p, widest, columns_of).withColumns({"new": F.lit(True), "old": F.lit(False)})
         if states:
@@ -119,11 +121,16 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
     counters = spark.createDataFrame([(*k, x["explored"], x["cut"]) for k, x in size.items()], f"run {schema_of(cells, 'run')}, instance int, explored long, cut long")
     done = load(spark, schema, *states).where(whole & F.col("new") & ~F.col("again")).select(*KEY, "parents", "score", "llh", "fits")
     done = done.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "parents"))).where(F.col("rn") <= p.beam_width).drop("rn")
-    done = stash(done.join(F.broadcast(counters), KEY), "complete_trees", release=False)  # one row of counters for each search
+    done = stash(done.join(_few(counters, len(size)), KEY), "complete_trees", release=False)
     drop(spark, *states)
     return done if many else done.drop("run")
 
 
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """One row for each of ``n`` searches: broadcast, unless there are very many."""
+    return F.broadcast(rows) if n <= 100_000 else rows
+
+
 def schema_of(rows: DataFrame, column: str) -> str:
     return rows.schema[column].dataType.simpleString()
 

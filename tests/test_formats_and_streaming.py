@@ -10,7 +10,7 @@ from arbora.operators.search import SearchParams, package, search
 from arbora.sources import formats
 from arbora.streaming import count_reads
 
-# The worked example's reads: depth 50 and probability one half everywhere.
+# The reads of the worked example (depth 50 and probability one half everywhere) and its order of clusters.
 READS = {
     "s0": "30,20,22", "s1": "0,9,0", "s2": "28,1,19", "s3": "0,0,9", "s4": "0,0,11",
     "s5": "20,1,13", "s6": "0,1,8", "s7": "1,0,9", "s8": "26,1,21", "s9": "21,21,22",

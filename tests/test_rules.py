@@ -1,7 +1,9 @@
 """Rules on inputs and methods, searches over many inputs, and tables that go when they are no longer needed."""
 
+import json
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ def cells_of(spark, shift, nodes=3, samples=2):
 def test_many_runs_equal_single_ones(spark):
     """Inputs of different sizes searched together give what each gives by itself, counters included."""
     p = SearchParams(beam_width=2, branching_factor=3, instances=2, node_order="diverse", seed=5)
-    alone = {"a": search(cells_of(spark, 0), p), "b": search(cells_of(spark, 4, 4, 3), p)}
-    both = search(cells_of(spark, 0).withColumn("run", F.lit("a")).unionByName(cells_of(spark, 4, 4, 3).withColumn("run", F.lit("b"))), p)
+    inputs = {"a": cells_of(spark, 0, 2), "b": cells_of(spark, 4, 3, 3)}
+    alone = {run: search(cells, p) for run, cells in inputs.items()}
+    both = search(inputs["a"].withColumn("run", F.lit("a")).unionByName(inputs["b"].withColumn("run", F.lit("b"))), p)
     key = lambda r: (r.instance, tuple(r.parents), round(r.llh, 9), round(r.score, 9), r.explored, r.cut)
     got = both.collect()
     for run, rows in alone.items():
@@ -83,6 +86,23 @@ def test_wrong_trees_are_not_written(spark, tmp_path, wrong):
         formats.one_tree(trees, 1)
 
 
+def test_archives(spark, tmp_path):
+    one = {"struct": np.array([[0, 1], [0, 0]]), "phi": np.ones((2, 3, 2)), "count": np.array([2, 1]), "llh": np.array([-1.0, -2.0])}
+    (tmp_path / "runs" / "a").mkdir(parents=True)
+    np.savez(tmp_path / "runs" / "a" / "x.npz", **one, **{"clusters.json": json.dumps([["s0"], ["s1"]]), "sampnames": np.array(["p", "q"])})
+    np.savez(tmp_path / "runs" / "y.npz", struct=np.array([[0]]))
+    got = formats.read_archives(spark, str(tmp_path / "runs"))
+    rows = {(r.path.rsplit("/", 1)[1], r.tree_idx): r for r in got.collect()}
+    assert set(rows) == {("x.npz", 0), ("x.npz", 1), ("y.npz", 0)}
+    x = rows["x.npz", 1]
+    assert (x.parents, x.phi, x["count"], x.llh, x.clusters, x.samples, x.eta) == ([0, 0], [[1.0] * 2] * 3, 1, -2.0, [["s0"], ["s1"]], ["p", "q"], None)
+    params = spark.createDataFrame([(["u"],)], "samples array<string>")
+    assert {(r.path[-5:], tuple(r.samples)) for r in formats.with_sample_names(got, params).collect()} == {("x.npz", ("p", "q")), ("y.npz", ("u",))}
+    np.savez(tmp_path / "bad.npz", **(one | {"llh": np.array([-1.0])}))
+    with pytest.raises(Exception, match="different lengths"):
+        formats.read_archives(spark, str(tmp_path / "bad.npz")).collect()
+
+
 def test_tables_go_when_dropped(spark):
     base = Path(shared_dir(spark)) / "arbora"
     base.mkdir(parents=True, exist_ok=True)
