@@ -182,6 +182,51 @@ def test_without_replacement_as_by_listing(vocab):
     assert abs(tops.mean() - 0.5772) < 0.08  # standard Gumbel
 
 
+@pytest.mark.parametrize(("text", "k"), [("to be", 3), ("aa b", 5), ("été", 2), ("x", 4)])
+def test_every_segmentation_comes_as_often_as_it_should(vocab, text, k):
+    """Whether a path is among k drawn without replacement, against all ordered draws; and inverse inclusion scores, which make
+    the sampled probabilities add up to one on average."""
+    exact = {(): 0.0}
+    for c in vocab.chunks(text):
+        exact = {a + b: x + y for a, x in exact.items() for b, y in all_segmentations(vocab, c).items()}
+    p = {a: math.exp(x) for a, x in exact.items()}
+    want = dict.fromkeys(p, 0.0)
+
+    def draw(chosen, chance):
+        left = math.fsum(p[a] for a in p if a not in chosen)
+        for a in p:
+            if a not in chosen:
+                own = chance * p[a] / left
+                want[a] += own
+                if len(chosen) + 1 < min(k, len(p)):
+                    draw((*chosen, a), own)
+
+    draw((), 1.0)
+    n = 3000
+    got = list(pieces.sample(vocab, [text] * n, list(range(n)), k))
+    seen = dict.fromkeys(p, 0)
+    for row in got:
+        assert len({tuple(g[0].tolist()) for g in row}) == len(row) == min(k, len(p))
+        for g in row:
+            seen[tuple(g[0].tolist())] += 1
+    assert all(abs(seen[a] / n - want[a]) < 4.5 * math.sqrt(max(want[a] * (1 - want[a]), 1e-4) / n) + 1e-3 for a in p)
+    total = np.array([math.fsum(math.exp(log) / inclusion for _, log, _, inclusion in row) for row in got])
+    assert abs(total.mean() - 1) < 5 * total.std() / math.sqrt(n) + 1e-9
+
+
+def test_slices_and_kept_lattices_change_nothing(vocab, monkeypatch):
+    """Few chunks walked at once, lattices thrown away after every batch, and words too long for linear masses."""
+    texts = ["the quick brown fox jumps over the lazy dog " * 9, "", "x", "ab" * 400 + " tail", "漢字 " * 30 + "\U0001f600" * 40]
+    seeds = [5, 6, 7, 8, 9]
+    plain = lambda rows: [[(g[0].tolist(), round(g[1], 7), round(g[2], 7), round(g[3], 7)) for g in row] for row in rows]
+    want = plain(pieces.sample(vocab, texts, seeds, 4))
+    monkeypatch.setattr(pieces, "WALKS", 3)
+    monkeypatch.setattr(pieces, "CACHED_CHARS", 0)
+    assert plain(pieces.sample(vocab, texts, seeds, 4)) == want
+    assert plain(pieces.sample(vocab, texts[3:], seeds[3:], 4)) == want[3:]
+    assert all(vocab.decode(g[0]) == t for t, row in zip(texts, want) for g in row)
+
+
 def test_decode_column(spark, vocab):
     (got,) = pieces.sample(vocab, ["some text é"], [1], 1)
     df = spark.createDataFrame([(got[0][0].tolist(),), (None,), ([],)], "ids array<int>")
