@@ -123,19 +123,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed_words: int = SE
     Seed: every window selects one anchor by winnowing, so two equal windows meet at equal anchors; about 2 in
     ``window - seed_words + 2`` words start one. Extend: an anchor's span reaches both ways as far as the anchor is selected.
     Equal spans are counted, never paired: a span found twice repeats in all its windows. The count of an anchor carries the
-    spans of two of its rows; where these agree (always, if all spans do; nearly always, if one span prevails) that span is
-    known to repeat, and its rows are settled by the one join on anchors. Only the other rows of an anchor with different spans
+    spans of its first and last row, and of those of the smallest and largest hash; where two of a pair agree (always, if all
+    spans do; nearly always, if one span prevails) that span is known to repeat, and its rows are settled by the one join on
+    anchors. (Rows of equal hashes are copies of one place of one document, so they agree too.) Only the other rows of an anchor with different spans
     (at the ends of a passage) are joined with the spans' own counts, and their windows are compared one by one, one
     representative for each distinct span. So the rows grow with the text, not with the square of a group, and every count is
-    a partial aggregate. Which two rows an anchor shows depends on the partitions; what is settled by them does not.
+    a partial aggregate. Which rows come first and last depends on the partitions; the result does not.
     """
     if not 0 < seed_words <= window < 64 + seed_words - 1:
         raise ValueError("seed_words must lie in 1..window, and an anchor may own 63 windows at most")
     keyed = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
     seeds = stash(keyed.mapInArrow(_seeder(window, seed_words), "key long, key2 long, anchor long, span long, at long"), "seeds")
 
-    again = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f("span").alias(c) for f, c in ((F.min, "low"), (F.max, "high"), (F.first, "one"), (F.last, "other"))])
-    sure = F.when(F.col("one") == F.col("other"), F.col("one"))  # the spans of two different rows
+    luck = F.xxhash64(*KEY, "at")
+    shown = {"low": F.min("span"), "high": F.max("span"), "one": F.first("span"), "other": F.last("span"), "least": F.min_by("span", luck), "most": F.max_by("span", luck)}
+    again = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[x.alias(name) for name, x in shown.items()])
+    sure = F.when(F.col("one") == F.col("other"), F.col("one")).when(F.col("least") == F.col("most"), F.col("least"))
     again = stash(again.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), sure.alias("sure")), "repeated_anchors")
     found = seeds.join(again, "anchor").select(*KEY, "anchor", "span", "at", "mixed", F.coalesce(F.col("span") == F.col("sure"), F.lit(False)).alias("whole"))
     found = stash(found, "repeated_seeds")
