@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbora.llm import langid, licenses, packing, pieces, pq, quality, simhash, substring, tokens, topk
+from arbora.llm import langid, licenses, packing, periods, pieces, pq, quality, resampling, rules, simhash, substring, tokens, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         pieces.op8_sentencepiece_sampling,
         licenses.op9_license_scan,
         langid.op10_language_id,
+        resampling.op11_importance_resampling,
+        periods.op12_periodic_runs,
+        rules.op13_quality_rules,
     )
     return {f.__name__: f for f in found}
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring.OP5_SQL,
         "op7_exact_top_k": topk.OP7_SQL,
         "op9_license_scan": licenses.OP9_SQL,
+        "op11_importance_resampling": resampling.OP11_SQL,
+        "op13_quality_rules": rules.OP13_SQL,
     }
