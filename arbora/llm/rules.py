@@ -6,6 +6,7 @@ Only DataFrame functions are used: no Python runs on the executors.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -188,7 +189,8 @@ def cascade(docs: DataFrame, rules: Sequence[Rule], always: Sequence[str] = (),
     """row (all columns of ``docs``), failed (the first rule in this order that rejects, or null), kept, and the measures.
 
     A rule's parts and measures are computed for the rows that no earlier rule has rejected; for the others they are null,
-    unless ``always`` asks for them. So the verdict doesn't depend on the order, ``failed`` does.
+    unless ``always`` asks for them. So the verdict doesn't depend on the order, ``failed`` does. How many rows each rule rejects
+    is observed (as quality_rules_...); filters on the verdict stay above that, where they don't copy the chain of conditions.
     """
     names, forced = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), set(needed(always))
     out = names.withColumn("failed", F.lit(None).cast("string"))
@@ -200,7 +202,7 @@ def cascade(docs: DataFrame, rules: Sequence[Rule], always: Sequence[str] = (),
                 out = out.withColumn(name, F.when(F.col("failed").isNull(), _column(name)))
         out = out.withColumn("failed", F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.expr(rule.rejects), F.lit(rule.name)))
     wanted = needed([*always, *(m for r in rules for m in r.measures)])
-    return out.select("row", "failed", F.col("failed").isNull().alias("kept"), *[n for n in wanted if n in MEASURES])
+    return out.observe(f"quality_rules_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("failed") == r.name).alias(r.name) for r in rules]).select("row", "failed", F.col("failed").isNull().alias("kept"), *[n for n in wanted if n in MEASURES])
 
 
 def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, always: Sequence[str] = (), text_col: str = "text") -> DataFrame:
