@@ -20,18 +20,17 @@ SEED = 42
 
 def _shingle_hashes(text: str, width: int):
     carry: list[bytes] = []
-    any_words = False
+    whole = True  # no shingle so far
     for words in word_lists(text.encode().lower()):
         words = carry + words
-        any_words = any_words or bool(words)
         if len(words) >= width:
             shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
             yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - width + 1)
             carry = words[len(words) - width + 1 :]
-            any_words = False
+            whole = False
         else:
             carry = words
-    if any_words:  # fewer words than a shingle has: the whole sequence is the only shingle
+    if whole and carry:  # fewer words than a shingle has: the whole sequence is the only shingle
         yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)
 
 

@@ -63,6 +63,28 @@ def test_long_text_in_blocks(monkeypatch):
     assert simhash.fingerprint(text) == whole == (slow_fingerprint(text) ^ 1 << 63) - (1 << 63)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 5])
+def test_every_block_size(monkeypatch, width):
+    from arbora.llm.words import blocks
+
+    texts = ["a b c d e f g", "one two", "", "  ", "abc def ghi   " + " " * 30, " " * 30 + "x y z w", "a" * 25 + " b c", "k l m n o p" + " " * 9 + "q"]
+    for text in texts:
+        words = text.split()
+        shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)] * bool(words)
+        want = sorted(xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles)
+        for size in range(1, 45):
+            monkeypatch.setattr(simhash, "word_lists", lambda data, size=size: (p.split() for p in blocks(data, size)))
+            assert sorted(h for part in simhash._shingle_hashes(text, width) for h in part.tolist()) == want
+
+
+def test_texts_longer_than_a_block():
+    from arbora.llm.words import BLOCK_BYTES
+
+    some = " ".join(f"w{i}" for i in range(40))
+    for text in (some + " " * BLOCK_BYTES, " " * BLOCK_BYTES + some, some + " " * (BLOCK_BYTES - len(some) - 2) + "last", some + " " * (BLOCK_BYTES - len(some) - 4) + "last", " ".join([some] * (BLOCK_BYTES // len(some) + 1))):
+        assert simhash.fingerprint(text) & (1 << 64) - 1 == slow_fingerprint(text)
+
+
 def test_groups(spark):
     rows = some_docs()
     got = simhash.simhash_groups(spark.createDataFrame(rows, DOCS)).collect()
