@@ -139,9 +139,9 @@ class Pieces:
         data = b"".join(map(self.decoded.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode(errors="replace")
 
-    def decodes(self, ids: np.ndarray, text: str) -> bool:
+    def decodes(self, ids: np.ndarray, want: bytes) -> bool:
         """Whether the ids give back the text, some at a time."""
-        want, at = text.encode(), 0
+        at = 0
         for start in range(0, len(ids), 1 << 18):
             some = ids[start : start + (1 << 18)]
             sizes = self.decoded_sizes[some]
@@ -484,9 +484,9 @@ def _runner(path: str, k: int, seed: int, keep_ids: bool) -> Callable:
     def group(vocab: Pieces, rows: list, texts: list[str]) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(8 + keep_ids)]
         for doc_id, text, got in zip(rows, texts, sample(vocab, texts, _row_seeds(rows, seed), k)):
-            decodes = vocab.decodes(got[0][0], text)  # one decoding tells for all: each covers the same characters
+            data = text.encode()
             for nth, (ids, log, perturbed, inclusion) in enumerate(got, 1):
-                row = (doc_id, nth, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log, perturbed, inclusion, decodes, ids)
+                row = (doc_id, nth, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log, perturbed, inclusion, vocab.decodes(ids, data), ids)
                 for x, y in zip(out, row):
                     x.append(y)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]

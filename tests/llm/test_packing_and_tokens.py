@@ -135,6 +135,21 @@ def test_segmentations_decode_and_differ(docs, vocab):
     assert pieces.sample_segmentations(docs.limit(0)).count() == 0
 
 
+def test_each_sample_is_decoded(monkeypatch):
+    import pyarrow as pa
+
+    real = pieces.sample
+
+    def wrong(vocab, texts, seeds, k):
+        for first, (ids, *rest), *more in real(vocab, texts, seeds, k):
+            yield [first, (np.append(ids[:-1], ids[-1] + 1), *rest), *more]
+
+    monkeypatch.setattr(pieces, "sample", wrong)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the quick brown fox", "jumps over it"])], ["doc_id", "text"])
+    got = pa.Table.from_batches(pieces._runner(pieces.piece_bpe_path(), 3, 0, False)([batch]))
+    assert got.column("decodes").to_pylist() == [True, False, True] * 2
+
+
 def test_samples_do_not_depend_on_neighbours(vocab):
     texts, seeds = ["the quick brown fox", "jumps over", "the lazy dog\n"], [11, 22, 33]
     together = list(pieces.sample(vocab, texts, seeds, 3))
