@@ -21,6 +21,10 @@ SEED_WORDS = 8
 #: Two 64-bit hashes of id and text name a document. Rows with equal ids and texts share them; their results are the same.
 KEY = ["key", "key2"]
 
+#: A key that holds more than one in so many of the rows of a join is looked up in a literal set, of at most so many keys,
+#: instead: so no key of a join is hot, whatever the data.
+HOT = 1000
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -122,39 +126,57 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed_words: int = SE
 
     Seed: every window selects one anchor by winnowing, so two equal windows meet at equal anchors; about 2 in
     ``window - seed_words + 2`` words start one. Extend: an anchor's span reaches both ways as far as the anchor is selected.
-    Equal spans are counted, never paired: a span found twice repeats in all its windows. The count of an anchor carries the
-    spans of its first and last row, and of those of the smallest and largest hash; where two of a pair agree (always, if all
-    spans do; nearly always, if one span prevails) that span is known to repeat, and its rows are settled by the one join on
-    anchors. (Rows of equal hashes are copies of one place of one document, so they agree too.) Only the other rows of an anchor with different spans
-    (at the ends of a passage) are joined with the spans' own counts, and their windows are compared one by one, one
-    representative for each distinct span. So the rows grow with the text, not with the square of a group, and every count is
-    a partial aggregate. Which rows come first and last depends on the partitions; the result does not.
+    Equal spans are counted, never paired: a span found twice repeats in all its windows. Where all spans of an anchor are equal
+    its count settles them. Where they differ (at the ends of a passage) the spans are counted, and the windows of each distinct
+    span, one representative for each, are compared one by one. So the rows grow with the text, not with the square of a group,
+    and every count is a partial aggregate. Rows meet the counts of their anchors, spans and windows by joins without hot keys,
+    see ``HOT``.
     """
     if not 0 < seed_words <= window < 64 + seed_words - 1:
         raise ValueError("seed_words must lie in 1..window, and an anchor may own 63 windows at most")
     keyed = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
     seeds = stash(keyed.mapInArrow(_seeder(window, seed_words), "key long, key2 long, anchor long, span long, at long"), "seeds")
 
-    luck = F.xxhash64(*KEY, "at")
-    shown = {"low": F.min("span"), "high": F.max("span"), "one": F.first("span"), "other": F.last("span"), "least": F.min_by("span", luck), "most": F.max_by("span", luck)}
-    again = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[x.alias(name) for name, x in shown.items()])
-    sure = F.when(F.col("one") == F.col("other"), F.col("one")).when(F.col("least") == F.col("most"), F.col("least"))
-    again = stash(again.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"), sure.alias("sure")), "repeated_anchors")
-    found = seeds.join(again, "anchor").select(*KEY, "anchor", "span", "at", "mixed", F.coalesce(F.col("span") == F.col("sure"), F.lit(False)).alias("whole"))
+    again = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("span") != F.max("span")).alias("mixed"))
+    again = stash(again.where("n > 1"), "repeated_anchors")
+    cold, hot = _by_heat(again, "anchor")
+    same = _among("anchor", [r["anchor"] for r in hot if not r["mixed"]])
+    mixed = _among("anchor", [r["anchor"] for r in hot if r["mixed"]])
+    found = seeds.where(~same & ~mixed).join(cold.select("anchor", "mixed"), "anchor").select(*seeds.columns, "mixed")
+    if hot:
+        found = found.unionByName(seeds.where(same | mixed).withColumn("mixed", mixed))
     found = stash(found, "repeated_seeds")
 
     mixed = found.where("mixed")
     spans = mixed.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*KEY, "at")])
-    spans = stash(spans.select("anchor", "span", *KEY, "at", F.least("n", F.lit(2)).alias("often")), "distinct_spans")
-    wanted = spans.groupBy(*KEY).agg(F.collect_list(F.struct("at", "anchor", "often")).alias("wanted"))
+    spans = stash(spans, "distinct_spans")
+    wanted = spans.groupBy(*KEY).agg(F.collect_list(F.struct("at", "anchor", F.least("n", F.lit(2)).alias("often"))).alias("wanted"))
     windows = keyed.join(wanted, KEY).mapInArrow(_extender(window), "key long, key2 long, anchor long, hash long, start long, often long")
     windows = stash(windows, "windows")
-    twice = stash(windows.groupBy("anchor", "hash").agg(F.sum("often").alias("n")).where("n > 1").select("anchor", "hash"), "repeated_windows")
-
-    whole = found.where("whole").select(*KEY, "at")
-    whole = whole.unionByName(mixed.where("not whole").join(spans.where("often > 1").select("anchor", "span"), ["anchor", "span"]).select(*KEY, "at"))
-    single = windows.where("often = 1").join(twice, ["anchor", "hash"]).select(*KEY, (F.col("start") * 64 + 1).alias("at"))
-    return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list("at").alias("at"))
+    twice = stash(windows.groupBy("anchor", "hash").agg(F.sum("often").alias("n")).where("n > 1"), "repeated_windows")
+
+    whole = found.where("not mixed").select(*KEY, "at")
+    for rows, counts, key, at in (
+        (mixed, spans.where("n > 1").select("anchor", "span", "n"), "span", F.col("at")),
+        (windows.where("often = 1"), twice, "hash", F.col("start") * 64 + 1),
+    ):
+        cold, hot = _by_heat(counts, key)
+        known = _among(key, [r[key] for r in hot])
+        whole = whole.unionByName(rows.where(known).select(*KEY, at.alias("at")))
+        whole = whole.unionByName(rows.where(~known).join(cold.select("anchor", key), ["anchor", key]).select(*KEY, at.alias("at")))
+    return whole.groupBy(*KEY).agg(F.collect_set("at").alias("at"))
+
+
+def _by_heat(counts: DataFrame, key: str) -> tuple[DataFrame, list]:
+    """``counts`` (key, n, ...) without its hot keys, and the rows of those: each has over one in ``HOT`` of all that is counted,
+    so there are fewer than ``HOT``."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT > total).collect()
+    return counts.where(F.col("n") * HOT <= total), hot
+
+
+def _among(key: str, values: list[int]) -> Column:
+    return F.col(key).isin(values) if values else F.lit(False)
 
 
 def removed(n_words: int, at: np.ndarray | None, window: int = WINDOW) -> np.ndarray:

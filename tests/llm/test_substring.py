@@ -44,8 +44,10 @@ def some_texts():
     return [*joined, None, "", joined[3]]
 
 
-@pytest.mark.parametrize(("window", "seed_words"), [(35, 8), (35, 35), (12, 3)])
-def test_digest(spark, window, seed_words):
+@pytest.mark.parametrize(("window", "seed_words", "hot"), [(35, 8, 1000), (35, 35, 1), (12, 3, 1), (35, 8, 30)])
+def test_digest(spark, monkeypatch, window, seed_words, hot):
+    """``hot``: 1000 settles all of a small table without joins, 1 by joins alone, 30 by both."""
+    monkeypatch.setattr(substring, "HOT", hot)
     texts = some_texts()
     rows = [(i, t, "clash", 0) for i, t in enumerate(texts)]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_digest(spark.createDataFrame(rows, DOCS).repartition(3), window, seed_words).collect()}
@@ -62,6 +64,24 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert substring.substring_digest(docs.limit(0)).count() == 0
 
 
+def test_copies_of_one_row_are_one_list_of_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text)] * 40 + [(1, text + " end")], "doc_id long, text string")
+    got = {len(r["at"]) for r in substring.repeated_windows(docs).collect()}
+    assert max(got) < 30  # places of one text, not of its copies
+
+
+def test_text_longer_than_a_block():
+    from arbora.llm.words import BLOCK_BYTES
+
+    words = [f"w{i % 7919}" for i in range(900_000)]
+    text = " ".join(words)
+    assert len(text) > BLOCK_BYTES and substring.Hashed(text).n == len(words)
+    h = substring.Hashed(text + " " * BLOCK_BYTES)
+    one, two = h.ranges(np.array([5, 7919 + 5]), np.array([5 + 700_000, 7919 + 5 + 700_000]))
+    assert h.n == len(words) and one == two
+
+
 def test_runs_and_cut_texts(spark):
     texts = some_texts()
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
