@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.numeric import ISA_SLACK
+from arbora.operators.euler import jump, subtree_sums, tour
 from arbora.plans import drop, stash
 
 
@@ -65,33 +66,28 @@ def partial_parents(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def newick(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, newick: ``(children)node`` bottom up, siblings by number, ended by a semicolon. One round for each level."""
+    """keys, newick: ``(children)node``, siblings by number, ended by a semicolon: the pieces of an Euler tour in its order."""
     keys = list(keys)
-    depth = ancestry(edges, keys).groupBy(*keys, "node").agg(F.max("depth").alias("depth"))
-    rows = stash(edges.join(depth, [*keys, "node"]).select(*keys, "node", "parent", "depth"), "depths", release=False)
-    height = rows.agg(F.max("depth")).first()[0] or 0
-    done = None
-    for level in range(height, -1, -1):
-        here = rows.where(F.col("depth") == level).select(*keys, "node", "parent") if level else rows.select(*keys, F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent")).distinct()
-        if done is None:
-            text = here.withColumn("text", F.col("node").cast("string"))
-        else:
-            inner = done.groupBy(*keys, F.col("parent").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), ",").alias("inner"))
-            own = F.col("node").cast("string")
-            text = here.join(inner, [*keys, "node"], "left").select(*keys, "node", "parent", F.when(F.col("inner").isNull(), own).otherwise(F.concat(F.lit("("), "inner", F.lit(")"), own)).alias("text"))
-        done = text
-    return done.select(*keys, F.concat("text", F.lit(";")).alias("newick"))
+    rows = tour(edges, keys)
+    inner = F.col("size") > 1
+    opening = F.concat(F.when(F.col("first"), "").otherwise(","), F.when(inner, "(").otherwise(""))
+    closing = F.concat(F.when(inner, ")").otherwise(""), F.col("node").cast("string"))
+    pieces = F.array(F.struct(F.col("opens").alias("at"), opening.alias("text")), F.struct(F.col("closes").alias("at"), closing.alias("text")))
+    listed = rows.select(*keys, F.explode(pieces).alias("piece")).groupBy(*keys).agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return listed.select(*keys, F.concat(F.array_join("pieces.text", ""), F.lit(";")).alias("newick"))
 
 
 def lineages(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, head, parent, nodes: maximal unbranched paths. A head hangs off the root or off a node with several children."""
+    """keys, head, parent, nodes: maximal unbranched paths. A head hangs off the root or off a node with several children.
+
+    Every other node points to its parent; the chains of pointers end at the heads.
+    """
     keys = list(keys)
     count = edges.groupBy(*keys, "parent").agg(F.count(F.lit(1)).alias("siblings"))
-    rows = edges.join(count, [*keys, "parent"]).withColumn("is_head", (F.col("parent") == 0) | (F.col("siblings") > 1))
-    heads = rows.where("is_head").select(*keys, F.col("node").alias("anc"), F.col("parent").alias("head_parent"))
-    found = ancestry(edges, keys).join(heads, [*keys, "anc"])
-    nearest = found.groupBy(*keys, "node").agg(F.min_by(F.struct("anc", "head_parent"), "depth").alias("h"))
-    return nearest.groupBy(*keys, F.col("h.anc").alias("head"), F.col("h.head_parent").alias("parent")).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    rows = stash(edges.join(count, [*keys, "parent"]).withColumn("is_head", (F.col("parent") == 0) | (F.col("siblings") > 1)), "lineage_heads", release=False)
+    ends = jump(rows.select(*keys, F.col("node").alias("item"), F.when(~F.col("is_head"), F.col("parent")).alias("to")), keys)
+    heads = rows.where("is_head").select(*keys, F.col("node").alias("end"), "parent")
+    return ends.join(heads, [*keys, "end"]).groupBy(*keys, F.col("end").alias("head"), "parent").agg(F.array_sort(F.collect_list("item")).alias("nodes"))
 
 
 def contract(edges: DataFrame, into: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -110,9 +106,8 @@ def eta_from_f(edges: DataFrame, freq: DataFrame, keys: Sequence[str] = ()) -> D
 
 
 def f_from_eta(edges: DataFrame, eta: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, node, sample, f: the sum of eta over a node's subtree."""
-    rows = ancestry(edges, keys).join(eta, [*keys, "node"])
-    return rows.groupBy(*keys, F.col("anc").alias("node"), "sample").agg(F.sum("eta").alias("f"))
+    """keys, node, sample, f: the sum of eta over a node's subtree. ``eta`` has a row for each node, the root too, and sample."""
+    return subtree_sums(tour(edges, keys), eta, "eta", keys, ["sample"]).withColumnRenamed("total", "f")
 
 
 def isa_violations(edges: DataFrame, freq: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
