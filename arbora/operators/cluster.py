@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +13,31 @@ from arbora.functions import clip
 from arbora.functions.numeric import PAC_CLIP
 from arbora.operators.reads import cluster_llh
 from arbora.operators.trees import lineages
-from arbora.plans import load, save, stash
 from arbora.sources.formats import require
 
-METRICS = ("euclidean", "cityblock", "cosine", "chebyshev")
+METRICS = ("euclidean", "sqeuclidean", "cityblock", "chebyshev", "canberra", "braycurtis", "cosine", "correlation", "hamming")
 LINKAGES = ("min", "avg", "ward")
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
-    """Distance of two arrays of the same length; cosine of a zero vector is null."""
+    """Distance of two arrays of the same length. Null where it has no value: cosine of a zero vector, correlation of a constant
+    one, braycurtis of two that cancel out. Places where both are 0 add nothing to canberra."""
     both = lambda f: F.zip_with(a, b, f)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    if metric == "euclidean":
-        return F.sqrt(total(both(lambda x, y: (x - y) * (x - y))))
+    if metric in ("euclidean", "sqeuclidean"):
+        square = total(both(lambda x, y: (x - y) * (x - y)))
+        return F.sqrt(square) if metric == "euclidean" else square
     if metric == "cityblock":
         return total(both(lambda x, y: F.abs(x - y)))
+    if metric == "canberra":
+        return total(both(lambda x, y: F.coalesce(F.try_divide(F.abs(x - y), F.abs(x) + F.abs(y)), F.lit(0.0))))
+    if metric == "braycurtis":
+        return F.try_divide(total(both(lambda x, y: F.abs(x - y))), total(both(lambda x, y: F.abs(x + y))))
+    if metric == "hamming":
+        return total(both(lambda x, y: F.when(x != y, 1.0).otherwise(0.0))) / F.size(a)
+    if metric == "correlation":
+        centered = lambda v: F.transform(v, lambda x: x - total(v) / F.size(v))
+        return distance(centered(a), centered(b), "cosine")
     if metric == "chebyshev":
         return F.array_max(both(lambda x, y: F.abs(x - y)))
     if metric == "cosine":
@@ -59,68 +71,78 @@ def ward(members: DataFrame) -> DataFrame:
     return rows.groupBy("c1", "c2").agg(F.sum(part).alias("dist"))
 
 
-def _merges(state: DataFrame) -> DataFrame:
-    """tree, one, two (places in the vector): the merges a state allows; of equal distance the smallest (one, two) wins.
+def merge_rounds(parents: np.ndarray, dist: np.ndarray, kind: str) -> Iterator[tuple[list[int], list[list[int]]]]:
+    """(parents, clusters) of one tree after each merge, the tree itself first; ``dist`` holds the distances of its nodes.
 
-    If all live nodes hang off the root any two may merge; else a node may merge with its parent, as long as only linear
-    segments merge (``linear``) one without other children.
+    If all live nodes hang off the root any two may merge; else a node may merge with its parent, at first only one without
+    other children (linear segments), then any. The closest two merge; of equal distances (to 12 places) the smallest pair. The
+    clone keeps the child's (or the smaller) place. A merge changes the distances of the merged clone alone, by the recurrences of
+    Lance and Williams (1967).
     """
-    live = lambda test: F.filter(F.transform("parents", lambda p, i: F.when(test(p), i).otherwise(-1)), lambda i: i >= 0)
-    rows = state.withColumns({"top": live(lambda p: p == 0), "low": live(lambda p: p > 0)})
-    pairs = F.flatten(F.transform("top", lambda i: F.transform(F.filter("top", lambda j: j > i), lambda j: F.struct(i.alias("one"), j.alias("two")))))
-    parent = lambda i: F.get("parents", i)
-    alone = lambda i: F.size(F.filter("parents", lambda p: p == parent(i))) == 1
-    ups = F.transform(F.filter("low", lambda i: ~F.col("linear") | alone(i)), lambda i: F.struct(i.alias("one"), (parent(i) - 1).alias("two")))
-    return rows.select("tree", F.explode(F.when(F.size("low") == 0, pairs).otherwise(ups)).alias("m")).select("tree", "m.one", "m.two")
-
-
-def _merge_distances(state: DataFrame, merges: DataFrame, data: DataFrame, kind: str) -> DataFrame:
-    members = state.select("tree", F.posexplode("clusters").alias("place", "ids")).select("tree", "place", F.explode("ids").alias("id"))
-    side = lambda c: merges.join(members.withColumnRenamed("place", c), ["tree", c])
-    if kind == "ward":
-        mean = lambda c: side(c).join(data, ["tree", "id"]).groupBy("tree", "one", "two", "sample").agg(F.avg("f").alias(f"m_{c}"), F.count(F.lit(1)).alias(f"n_{c}"))
-        rows = mean("one").join(mean("two"), ["tree", "one", "two", "sample"])
-        part = F.col("n_one") * F.col("n_two") / (F.col("n_one") + F.col("n_two")) * F.pow(F.col("m_one") - F.col("m_two"), 2)
-        return rows.groupBy("tree", "one", "two").agg(F.sum(part).alias("dist"))
-    both = side("one").withColumnRenamed("id", "x").join(side("two").withColumnRenamed("id", "y"), ["tree", "one", "two"])
-    both = both.select("tree", "one", "two", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return both.join(data, ["tree", "a", "b"]).groupBy("tree", "one", "two").agg((F.min("dist") if kind == "min" else F.avg("dist")).alias("dist"))
+    parents, d = parents.copy(), dist.copy()
+    size = np.ones(len(parents))
+    clusters = [[i + 1] if p >= 0 else [] for i, p in enumerate(parents.tolist())]
+    linear = True
+    while True:
+        yield parents.tolist(), [list(c) for c in clusters]
+        while True:
+            low, top = np.flatnonzero(parents > 0), np.flatnonzero(parents == 0)
+            if len(low):
+                alone = np.bincount(parents[low], minlength=len(parents) + 1) == 1
+                one = low[alone[parents[low]]] if linear else low
+                two = parents[one] - 1
+            else:
+                i, j = np.triu_indices(len(top), 1)
+                one, two = top[i], top[j]
+            if len(one) or not linear:
+                break
+            linear = False
+        if not len(one):
+            return
+        k = np.lexsort((two, one, np.round(d[one, two], 12)))[0]
+        a, b = int(one[k]), int(two[k])
+        if kind == "min":
+            new = np.minimum(d[a], d[b])
+        elif kind == "avg":
+            new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        else:
+            new = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / (size[a] + size[b] + size)
+        d[a] = d[:, a] = new
+        size[a] += size[b]
+        parents[parents == b + 1] = parents[b]
+        parents[b] = -1
+        clusters[a], clusters[b] = sorted(clusters[a] + clusters[b]), []
+
+
+def _rounds(kind: str) -> Callable:
+    def run(parents: pa.Array, dist: pa.Array) -> pa.Array:
+        out = []
+        for tree, rows in zip(parents, dist):
+            up = np.array(tree.as_py(), np.int64)
+            out.append([{"parents": p, "clusters": [c for c in own if c]} for p, own in merge_rounds(up, rows.values.flatten().to_numpy().reshape(len(up), -1), kind)])
+        return pa.array(out, pa.list_(pa.struct([("parents", pa.list_(pa.int32())), ("clusters", pa.list_(pa.list_(pa.int32())))])))
+
+    return run
 
 
 def agglomerate(trees: DataFrame, freq: DataFrame, kind: str = "min", metric: str = "euclidean") -> DataFrame:
     """tree, size, parents, clusters: every clone tree of each tree, from all its nodes to one.
 
-    ``trees``: tree, parents; ``freq``: tree, node, sample, f for its nodes 1..n. Each round merges, in every tree at once, the
-    closest two clones that may merge; a tree in which linear segments are used up goes on across branches. The rounds are
-    sequential by definition, one for each node; the work of a round is joins over all trees, written to shared storage.
+    ``trees``: tree, parents; ``freq``: tree, node, sample, f for its nodes 1..n. A tree is one row with the matrix of its nodes'
+    distances (n * n numbers), so trees spread over tasks, and no round is a job of its own: see ``merge_rounds``. A distance
+    without a value (see ``distance``) counts as infinite. Ward starts from half the squared distance of two nodes.
     """
     if kind not in LINKAGES or metric not in METRICS or (kind == "ward" and metric != "euclidean"):
         raise ValueError(f"linkage is one of {LINKAGES}, metric one of {METRICS}; ward needs euclidean")
-    if kind == "ward":
-        data = freq.select("tree", F.col("node").alias("id"), "sample", clip(F.col("f"), PAC_CLIP, 1 - PAC_CLIP).alias("f"))
-    else:
-        vec = freq.groupBy("tree", F.col("node").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "f"))), lambda s: s["f"]).alias("x"))
-        data = pairwise_distance(vec, metric, keys=["tree"])
-    data = stash(data, "linkage_data", release=False)
-    own = F.transform("parents", lambda p, i: F.when(p >= 0, F.array((i + 1).cast("int"))).otherwise(F.array().cast("array<int>")))
-    spark, state = trees.sparkSession, trees.select("tree", "parents", own.alias("clusters"), F.lit(True).alias("linear"), F.lit(True).alias("changed"))
-    schema, states = state.schema, [save(state, "state")]
-    state = load(spark, schema, states[-1])
-    rounds = state.agg(F.max(F.size(F.filter("parents", lambda p: p >= 0)))).first()[0] or 0
-    for _ in range(rounds):
-        dist = _merge_distances(state, _merges(state), data, kind)
-        best = dist.groupBy("tree").agg(F.min(F.struct(F.round("dist", 12).alias("dist"), "one", "two")).alias("b")).select("tree", "b.one", "b.two")
-        rows = state.join(best, "tree", "left")
-        some = F.col("one").isNotNull()
-        grand = F.get("parents", F.col("two"))
-        parents = F.transform("parents", lambda p, i: F.when(i == F.col("two"), -1).when(p == F.col("two") + 1, grand).otherwise(p).cast("int"))
-        merged = F.array_sort(F.array_union(F.get("clusters", F.col("one")), F.get("clusters", F.col("two"))))
-        clusters = F.transform("clusters", lambda c, i: F.when(i == F.col("one"), merged).when(i == F.col("two"), F.array().cast("array<int>")).otherwise(c))
-        rows = rows.select("tree", F.when(some, parents).otherwise(F.col("parents")).alias("parents"), F.when(some, clusters).otherwise(F.col("clusters")).alias("clusters"), (F.col("linear") & some).alias("linear"), some.alias("changed"))
-        states.append(save(rows, "state"))
-        state = load(spark, schema, states[-1])
-    live = F.filter("clusters", lambda c: F.size(c) > 0)
-    return load(spark, schema, *states).where("changed").select("tree", F.size(live).alias("size"), "parents", live.alias("clusters"))
+    f = clip(F.col("f"), PAC_CLIP, 1 - PAC_CLIP) if kind == "ward" else F.col("f")
+    vec = freq.groupBy("tree", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", f.alias("f")))), lambda s: s["f"]).alias("x"))
+    rows = vec.groupBy("tree").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "x"))), lambda s: s["x"]).alias("x"))
+    far = F.lit(float("inf"))
+    value = lambda a, b: distance(a, b, "sqeuclidean") / 2 if kind == "ward" else F.coalesce(distance(a, b, metric), far)
+    matrix = F.transform("x", lambda a: F.transform("x", lambda b: value(a, b)))
+    rounds = F.arrow_udf(_rounds(kind), "array<struct<parents: array<int>, clusters: array<array<int>>>>")
+    rows = trees.join(rows, "tree").select("tree", "parents", matrix.alias("dist")).select("tree", F.explode(rounds("parents", "dist")).alias("r"))
+    return rows.select("tree", F.size("r.clusters").alias("size"), "r.parents", "r.clusters")
 
 
 def lineage_clusterings(edges: DataFrame, keys: Sequence[str] = ("tree",)) -> DataFrame:

@@ -483,3 +483,52 @@ def pac_star(spark: SparkSession, d: str) -> DataFrame:
     data = c.withColumns({"tree": F.lit(0), "f": F.least(F.lit(1.0), F.col("v") / (F.col("omega") * F.col("n")))})
     rows = C.clustering_llh(C.agglomerate(star, data.select("tree", "node", "sample", "f"), "avg"), data)
     return rows.select("size", "parents", "clusters", r6("llh").alias("llh"))
+
+
+METRIC_SQL = """, c AS (SELECT label, unnest(range(1, 65)) AS i, x FROM vectors), m AS (SELECT label, i, avg(x[i]) AS x FROM c GROUP BY ALL),
+z AS (SELECT label, i, x, x - avg(x) OVER (PARTITION BY label) AS y FROM m),
+p AS (SELECT a.label AS a, b.label AS b, sum(abs(a.x - b.x)) AS cityblock, max(abs(a.x - b.x)) AS chebyshev, sum((a.x - b.x) ** 2) AS sqeuclidean,
+  sum(CASE WHEN a.x = 0 AND b.x = 0 THEN 0 ELSE abs(a.x - b.x) / (abs(a.x) + abs(b.x)) END) AS canberra, sum(abs(a.x - b.x)) / sum(abs(a.x + b.x)) AS braycurtis,
+  1 - sum(a.x * b.x) / sqrt(sum(a.x ** 2) * sum(b.x ** 2)) AS cosine, 1 - sum(a.y * b.y) / sqrt(sum(a.y ** 2) * sum(b.y ** 2)) AS correlation, avg(CASE WHEN a.x <> b.x THEN 1.0 ELSE 0.0 END) AS hamming
+  FROM z a JOIN z b ON a.i = b.i AND a.label < b.label GROUP BY ALL)
+SELECT a, b, """ + ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in C.METRICS if m != "euclidean") + " FROM p"
+
+
+@query(with_views("vectors", METRIC_SQL))
+def pairwise_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """All distances but the Euclidean one of the labels' mean vectors."""
+    rows = S.embeddings(spark, d).select("label", F.posexplode("x").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    mean = rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x"))
+    pairs = mean.select(F.col("label").alias("a"), F.col("x").alias("xa")).join(mean.select(F.col("label").alias("b"), F.col("x").alias("xb")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", *[r6(C.distance(F.col("xa"), F.col("xb"), m)).alias(m) for m in C.METRICS if m != "euclidean"])
+
+
+#: Two linear segments below the root: 2 under 1, 4 under 3.
+SEGMENTS = (0, 1, 0, 3)
+
+
+@query(
+    with_views(
+        "cells",
+        """, q AS (SELECT 1 + (node - 1) % 4 AS node, sample, sum(v) AS v, sum(n) AS n, 0.5 AS omega FROM cells GROUP BY ALL),
+ds AS (SELECT a.node AS a, b.node AS b, round(sqrt(sum((least(1.0, a.v / (a.omega * a.n)) - least(1.0, b.v / (b.omega * b.n))) ** 2)), 12) AS dist FROM q a JOIN q b ON a.sample = b.sample AND a.node < b.node GROUP BY ALL),
+k AS (SELECT (SELECT dist FROM ds WHERE a = 1 AND b = 2) <= (SELECT dist FROM ds WHERE a = 3 AND b = 4) AS left_first),
+g AS (SELECT 4 AS size, i AS node, i AS clone FROM range(1, 5) t(i) UNION ALL SELECT 3, i, CASE WHEN left_first AND i = 1 THEN 2 WHEN NOT left_first AND i = 3 THEN 4 ELSE i END FROM range(1, 5) t(i), k
+  UNION ALL SELECT 2, i, CASE WHEN i < 3 THEN 2 ELSE 4 END FROM range(1, 5) t(i) UNION ALL SELECT 1, i, 2 FROM range(1, 5) t(i)),
+up AS (SELECT * FROM (VALUES (1, 0), (2, 1), (3, 0), (4, 3)) t(node, parent)),
+r AS (SELECT size, clone AS cluster, sample, least(v, 2 * n * omega) + 1 AS v, 2 * n * omega + 2 AS n, least(greatest(least(1.0, v / (omega * n)), 1e-4), 1 - 1e-4) AS f FROM g JOIN q USING (node)),
+pc AS (SELECT size, cluster, sample, sum(0.5 * f * n) / sum(n) AS p FROM r GROUP BY ALL),
+ll AS (SELECT size, sum(""" + PMF_SQL + """) AS llh FROM r JOIN pc USING (size, cluster, sample) GROUP BY size),
+cl AS (SELECT size, list(own ORDER BY clone) AS clusters FROM (SELECT size, clone, list(CAST(node AS INT) ORDER BY node) AS own FROM g GROUP BY ALL) GROUP BY size),
+pa AS (SELECT size, list(CASE WHEN clone <> node THEN -1 WHEN parent > 0 AND EXISTS (SELECT 1 FROM g h WHERE h.size = g.size AND h.node = up.parent AND h.clone = h.node) THEN parent ELSE 0 END ORDER BY node) AS parents FROM g JOIN up USING (node) GROUP BY size)
+SELECT size, parents, clusters, round(llh, 6) + 0.0 AS llh FROM cl JOIN pa USING (size) JOIN ll USING (size)""",
+    )
+)
+def pac_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every clone tree of two linear segments of two groups of nodes each: the segments merge first, the closer one before the
+    other, then across branches."""
+    c = _grouped_cells(spark, d, 4)
+    start = c.groupBy().agg(F.lit(0).alias("tree")).select("tree", F.array(*map(F.lit, SEGMENTS)).alias("parents"))
+    data = c.withColumns({"tree": F.lit(0), "f": F.least(F.lit(1.0), F.col("v") / (F.col("omega") * F.col("n")))})
+    rows = C.clustering_llh(C.agglomerate(start, data.select("tree", "node", "sample", "f"), "avg"), data)
+    return rows.select("size", "parents", "clusters", r6("llh").alias("llh"))
