@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -213,10 +213,11 @@ def matrix_column(freq: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return row.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "row"))), lambda s: s["row"]).alias("matrix"))
 
 
-def tree_table(packaged: DataFrame, method: str = "arbora") -> DataFrame:
-    """``search.package``'s rows with ``TREE``'s columns but clusters."""
+def tree_table(packaged: DataFrame, method: str = "arbora", keys: Sequence[str] = ()) -> DataFrame:
+    """``search.package``'s rows (with ``keys``, such as run) with ``TREE``'s columns but clusters."""
     from arbora.operators.trees import edges_of, newick
 
+    keys = list(keys)
     turned = lambda c: F.transform(F.sequence(F.lit(0), F.size("parents")), lambda i: F.transform("fits", lambda s: F.get(s[c], i)))
-    rows = packaged.select(F.lit(method).alias("method"), (F.col("rank") - 1).alias("tree_idx"), "parents", turned("f").alias("phi"), turned("eta").alias("eta"), "count", "llh", "prob")
-    return rows.join(newick(edges_of(rows, keys=["tree_idx"]), ["tree_idx"]), "tree_idx")
+    rows = packaged.select(*keys, F.lit(method).alias("method"), (F.col("rank") - 1).alias("tree_idx"), "parents", turned("f").alias("phi"), turned("eta").alias("eta"), "count", "llh", "prob")
+    return rows.join(newick(edges_of(rows, keys=[*keys, "tree_idx"]), [*keys, "tree_idx"]), [*keys, "tree_idx"])
