@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.queries import analysis, reads, trees
+from arbora.queries import analysis, reads, runs, trees
 
-_MODULES = (reads, trees, analysis)
+_MODULES = (reads, trees, analysis, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

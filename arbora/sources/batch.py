@@ -1,6 +1,6 @@
 """Folders of inputs: all mutation and parameter files below a path as tables with a column ``run``.
 
-A run is a file's name up to its first dot. Inputs that break a rule are set aside with the reason; the others go on.
+Inputs that break a rule are set aside with the reason; the others go on.
 """
 
 from __future__ import annotations
@@ -15,21 +15,23 @@ from arbora.sources.formats import PARAMS, SSM, tree_table
 MUTATIONS, PARAMETERS = "*.ssm", "*.params.json"
 
 
-def _run() -> Column:
-    return F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -1), ".", 1)
+def _run(by_folder: bool) -> Column:
+    """A file's name up to its first dot; or the name of its folder, without what stands before an equals sign there."""
+    name = F.element_at(F.split("_metadata.file_path", "/"), -2 if by_folder else -1)
+    return F.substring_index(name, "=", -1) if by_folder else F.substring_index(name, ".", 1)
 
 
-def read_mutations(spark: SparkSession, path: str) -> DataFrame:
+def read_mutations(spark: SparkSession, path: str, names: str = MUTATIONS, by_folder: bool = False) -> DataFrame:
     """run, id, name, var_reads, total_reads, var_read_prob of all mutation files, columns by position; what isn't a number is null."""
-    raw = spark.read.csv(path, sep="\t", header=True, schema=SSM, recursiveFileLookup=True, pathGlobFilter=MUTATIONS)
+    raw = spark.read.csv(path, sep="\t", header=True, schema=SSM, recursiveFileLookup=True, pathGlobFilter=names)
     cast = lambda c, t: F.transform(F.split(c, r"\s*,\s*"), lambda x: x.try_cast(t)).alias(c)
-    return raw.select(_run().alias("run"), "id", "name", cast("var_reads", "bigint"), cast("total_reads", "bigint"), cast("var_read_prob", "double"))
+    return raw.select(_run(by_folder).alias("run"), "id", "name", cast("var_reads", "bigint"), cast("total_reads", "bigint"), cast("var_read_prob", "double"))
 
 
-def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+def read_parameters(spark: SparkSession, path: str, names: str = PARAMETERS, by_folder: bool = False) -> DataFrame:
     """run, samples, clusters, garbage of all parameter files; what can't be read as such is null."""
-    rows = spark.read.json(path, multiLine=True, schema=PARAMS, recursiveFileLookup=True, pathGlobFilter=PARAMETERS)
-    return rows.select(_run().alias("run"), "samples", "clusters", F.coalesce("garbage", F.array().cast("array<string>")).alias("garbage"))
+    rows = spark.read.json(path, multiLine=True, schema=PARAMS, recursiveFileLookup=True, pathGlobFilter=names)
+    return rows.select(_run(by_folder).alias("run"), "samples", "clusters", F.coalesce("garbage", F.array().cast("array<string>")).alias("garbage"))
 
 
 def problems(mutations: DataFrame, params: DataFrame) -> DataFrame:
@@ -62,10 +64,10 @@ def problems(mutations: DataFrame, params: DataFrame) -> DataFrame:
     return both.select("run", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("problem"))
 
 
-def read_inputs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_inputs(spark: SparkSession, path: str, mutations: str = MUTATIONS, parameters: str = PARAMETERS, by_folder: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, params, problems): run, node, sample, v, n, omega of all good runs, as ``search`` takes them; their parameters; and
-    run, problem of the others."""
-    mutations, params = read_mutations(spark, path), read_parameters(spark, path)
+    run, problem of the others. ``by_folder`` takes a run's name from its folder instead of its files."""
+    mutations, params = read_mutations(spark, path, mutations, by_folder), read_parameters(spark, path, parameters, by_folder)
     bad = problems(mutations, params)
     good = lambda rows: rows.join(bad.select("run"), "run", "left_anti")
     members = good(params).select("run", F.posexplode("clusters").alias("i", "ids")).select("run", (F.col("i") + 1).alias("node"), F.explode("ids").alias("id"))
