@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import gumbel, gumbel_with_maximum, key_uniform, safe_divide, softmax
@@ -55,7 +55,7 @@ def _orders(cells: DataFrame, p: SearchParams) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["node"]).alias("todo"))
 
 
-def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_000) -> DataFrame:
+def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_000, progress: Callable[[dict], None] | None = None) -> DataFrame:
     """instance, parents, score, llh, fits, explored, cut: the complete trees of all instances, at most ``beam_width`` of each.
 
     ``cells`` (node, sample, v, n, omega) must hold every node 1..n in every sample. With a column ``run`` it holds many inputs,
@@ -64,9 +64,14 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
     Each step takes the ``expansion_factor`` best partial trees of each search off its queue, proposes and scores placements of
     its next node, fits the best ``branching_factor``, cuts them to ``beam_width`` for each parent, and queues those whose
     parents vector is new to the search; the queue is cut to its size, which shrinks by one whenever an expansion completes new
-    trees. Only counts pass through the driver, one row for each search; queue, seen vectors and results stay in tables of
-    shared storage. All ranks are total orders and noise is a function of (seed, instance, parents), so results don't depend on
-    partitioning. ``explored`` and ``cut`` count the partial trees expanded, and those given up by the cuts, of the search.
+    trees. Queue, seen trees, room and counters stay in tables of shared storage; one row of observed metrics passes through the
+    driver each step, however many searches there are. A tree can only have been seen with as many nodes placed, so a step reads
+    the hashes (128 bits) of the earlier steps that made trees of its children's sizes, and no other column or step.
+
+    All ranks are total orders and noise is a function of (seed, instance, parents), so results don't depend on partitioning.
+    ``explored`` and ``cut`` count the partial trees expanded, and those given up by the cuts, of the search; a queue that has
+    shrunk is cut to its shrunken size. ``progress`` is called after each step with the step's number, the sums of explored, cut
+    and waiting over all searches, and the best log likelihood of a tree that is alive.
     """
     p = p or SearchParams()
     spark, many = cells.sparkSession, "run" in cells.columns
@@ -81,60 +86,62 @@ def search(cells: DataFrame, p: SearchParams | None = None, max_steps: int = 10_
     fits = F.transform("samples", lambda s: F.struct(s["sample"].alias("sample"), root.alias("f"), root.alias("eta")))
     first = packed.join(_orders(cells, p), "run")
     queue = first.select(*KEY, "todo", F.array_repeat(F.lit(-1), n).alias("parents"), F.lit(0).alias("step"), F.lit(0.0).alias("score"), F.lit(0.0).alias("llh"), fits.alias("fits"))
-    columns, states, schema, widest = queue.columns, [], None, 1
-    size = {(r["run"], r["instance"]): {"room": p.beam_width, "waiting": 1, "explored": 0, "cut": 0} for r in queue.select(*KEY).collect()}
+    none = F.lit(0).cast("long")
+    rooms = stash(queue.select(*KEY, F.lit(p.beam_width).alias("room"), (none + 1).alias("waiting"), none.alias("explored"), none.alias("cut")), "rooms", release=False)
+    columns, states, schema, table = queue.columns, [], None, rooms
+    seen = {"low": 0, "high": 0, "widest": 1}
     columns_of = {"candidates": placement.candidate_columns(p.force_monoprimary), "scores": placement.score_columns(), "fits": fit_columns()}
     columns_of["child"] = apply_action("parents", F.col("u"), F.col("v"), F.col("c"))
-    whole, same = F.col("step") == F.size("parents"), lambda v: F.size(F.filter("parents", lambda p: (p == v) & (p >= 0)))
+    hashes = {"h1": F.xxhash64("parents"), "h2": F.xxhash64(F.lit("tree"), "parents")}
+    whole, live, same = F.col("step") == F.size("parents"), ~F.col("again"), lambda v: F.size(F.filter("parents", lambda p: (p == v) & (p >= 0)))
+    by_rank, by_hash = Window.partitionBy(*KEY).orderBy("score", "parents"), Window.partitionBy(*KEY, *hashes).orderBy(F.desc("old"), "score", "origin")
+    not_made = [F.lit(None).cast(kind).alias(c) for c, kind in (("origin", "array<int>"), ("h1", "long"), ("h2", "long"))] + [none.alias("lost"), F.lit(False).alias("new"), F.lit(False).alias("again")]
+    per_search = [
+        F.size(F.collect_set(F.when(whole & live, F.col("origin")))).alias("finished"), F.count_if(~whole & live).alias("left"), F.sum("lost").alias("lost"), F.max(F.array_max(F.transform("parents", same))).alias("widest"),
+        *[f(F.when(of & live, F.col("step"))).alias(name) for name, f, of in (("low", F.min, ~whole), ("high", F.max, ~whole), ("new_low", F.min, F.col("new")), ("new_high", F.max, F.col("new")))], F.max(F.when(live, F.col("llh"))).alias("best"),
+    ]
+    taken = F.least(F.col("waiting"), F.lit(p.expansion_factor))
+    update = [
+        *KEY, F.greatest(F.lit(0), F.col("room") - F.coalesce("finished", F.lit(0))).cast("int").alias("room"), F.coalesce("left", none).alias("waiting"), (F.col("explored") + taken).alias("explored"),
+        (F.col("cut") + F.greatest(none, F.col("waiting") - F.greatest("room", taken)) + F.coalesce("lost", none)).alias("cut"), "widest", "low", "high", "new_low", "new_high", "best",
+    ]
+    observed = [F.max("waiting").alias("most"), F.sum("waiting").alias("waiting"), F.sum("explored").alias("explored"), F.sum("cut").alias("cut"), F.max("best").alias("best"), F.max("widest").alias("widest"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("new_low").alias("new_low"), F.max("new_high").alias("new_high")]
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     partitions = int(partitions) if partitions.isdigit() else 200
-    for _ in range(max_steps):
-        for x in size.values():
-            taken = min(x["waiting"], p.expansion_factor)
-            x["explored"] += taken
-            x["cut"] += max(0, x["waiting"] - max(x["room"], taken))
-        rooms = spark.createDataFrame([(*k, x["room"]) for k, x in size.items()], f"run {schema_of(cells, 'run')}, instance int, room int")
-        ranked = queue.join(_few(rooms, len(size)), KEY).withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "parents")))
-        tasks = min(partitions, len(size) * p.expansion_factor)
-        branches = ranked.where(F.col("rn") <= p.expansion_factor).select(*columns).repartition(tasks, *KEY, "parents")
-        fresh = _expand(branches, packed, p, widest, columns_of).withColumns({"new": F.lit(True), "old": F.lit(False)})
-        if states:
-            known = load(spark, schema, *states).where("new and not again").select(*KEY, "parents", F.lit(True).alias("old"))
+    searches = rooms.count()
+    for number in range(1, max_steps + 1):
+        ranked = queue.join(rooms.select(*KEY, "room"), KEY).withColumn("rn", F.row_number().over(by_rank))
+        branches = ranked.where(F.col("rn") <= p.expansion_factor).select(*columns).repartition(min(partitions, searches * p.expansion_factor), *KEY, "parents")
+        fresh = _expand(branches, packed, p, seen["widest"], columns_of).withColumns(hashes | {"new": F.lit(True), "old": F.lit(False)})
+        low, high = seen["low"] + 1, seen["high"] + 1
+        if paths := [path for path, least, most in states if most is not None and least <= high and most >= low]:
+            known = load(spark, schema, *paths).where(F.col("new") & live & F.col("step").between(low, high)).select(*KEY, *hashes, F.lit(True).alias("old"))
             fresh = fresh.unionByName(known, allowMissingColumns=True)
-        again = F.row_number().over(Window.partitionBy(*KEY, "parents").orderBy(F.desc("old"), "score", "origin")) > 1
-        fresh = fresh.withColumn("again", again).where("not old").select(*columns, "origin", "lost", "new", "again")
-        kept = ranked.where((F.col("rn") > p.expansion_factor) & (F.col("rn") <= F.col("room"))).select(*columns, F.lit(None).cast("array<int>").alias("origin"), F.lit(0).cast("long").alias("lost"), F.lit(False).alias("new"), F.lit(False).alias("again"))
+        fresh = fresh.withColumn("again", F.row_number().over(by_hash) > 1).where("not old").select(*columns, "origin", *hashes, "lost", "new", "again")
+        kept = ranked.where((F.col("rn") > p.expansion_factor) & (F.col("rn") <= F.col("room"))).select(*columns, *not_made)
         state = fresh.unionByName(kept)
-        schema = state.schema
-        states.append(save(state, "state"))
-        state = load(spark, schema, states[-1])
-        live = ~F.col("again")
-        counts = state.groupBy(*KEY).agg(F.count_distinct(F.when(whole & live, F.col("origin"))).alias("finished"), F.count_if(~whole & live).alias("waiting"), F.sum("lost").alias("lost"), F.max(F.array_max(F.transform("parents", same))).alias("widest")).collect()  # one small row for each search
-        for x in size.values():
-            x["waiting"] = 0
-        for r in counts:
-            x = size[r["run"], r["instance"]]
-            x["room"], x["waiting"], x["cut"] = max(0, x["room"] - r["finished"]), r["waiting"], x["cut"] + r["lost"]
-        if not any(x["waiting"] for x in size.values()):
+        schema, path = state.schema, save(state, "state")
+        state = load(spark, schema, path)
+        metrics = Observation()
+        after = rooms.join(state.groupBy(*KEY).agg(*per_search), KEY, "left").select(*update).observe(metrics, *observed)
+        after = stash(after, "rooms", release=False)
+        seen = metrics.get
+        states.append((path, seen["new_low"], seen["new_high"]))
+        rooms = after.select(*KEY, "room", "waiting", "explored", "cut")
+        drop(spark, table)
+        table = after
+        if progress:
+            progress({"step": number, **{c: seen[c] for c in ("explored", "cut", "waiting", "best")}})
+        if not seen["most"]:
             break
-        queue, widest = state.where(~whole & live).select(*columns), max(r["widest"] for r in counts)
-    counters = spark.createDataFrame([(*k, x["explored"], x["cut"]) for k, x in size.items()], f"run {schema_of(cells, 'run')}, instance int, explored long, cut long")
-    done = load(spark, schema, *states).where(whole & F.col("new") & ~F.col("again")).select(*KEY, "parents", "score", "llh", "fits")
-    done = done.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "parents"))).where(F.col("rn") <= p.beam_width).drop("rn")
-    done = stash(done.join(_few(counters, len(size)), KEY), "complete_trees", release=False)
-    drop(spark, *states)
+        queue = state.where(~whole & live).select(*columns)
+    done = load(spark, schema, *[path for path, *_ in states]).where(whole & F.col("new") & live).select(*KEY, "parents", "score", "llh", "fits")
+    done = done.withColumn("rn", F.row_number().over(by_rank)).where(F.col("rn") <= p.beam_width).drop("rn")
+    done = stash(done.join(rooms.select(*KEY, "explored", "cut"), KEY), "complete_trees", release=False)
+    drop(spark, *[path for path, *_ in states], table)
     return done if many else done.drop("run")
 
 
-def _few(rows: DataFrame, n: int) -> DataFrame:
-    """One row for each of ``n`` searches: broadcast, unless there are very many."""
-    return F.broadcast(rows) if n <= 100_000 else rows
-
-
-def schema_of(rows: DataFrame, column: str) -> str:
-    return rows.schema[column].dataType.simpleString()
-
-
 def _expand(branches: DataFrame, packed: DataFrame, p: SearchParams, widest: int, columns: dict) -> DataFrame:
     """Children of ``branches``, fitted, scored and cut: run, instance, parents, step, score, llh, fits, origin, lost (how many
     children of the same branch were cut, on the first of them).

@@ -114,3 +114,21 @@ def test_tables_go_when_dropped(spark):
     with temporary(spark):
         assert stash(spark.range(7), "seven").count() == 7 and len(set(base.iterdir()) - before) == 1
     assert set(base.iterdir()) == before
+
+
+def test_search_reads_only_trees_of_its_childrens_sizes_and_tells_its_progress(spark, monkeypatch):
+    from arbora.operators import search as S
+
+    rows = [(v, s, 5 * (6 - v) + s, 60, 0.5) for v in range(1, 6) for s in range(2)]
+    cells = spark.createDataFrame(rows, "node int, sample int, v long, n long, omega double")
+    told, read, real = [], [], S.load
+    monkeypatch.setattr(S, "load", lambda spark, schema, *paths: read.append(len(paths)) or real(spark, schema, *paths))
+    done = S.search(cells, S.SearchParams(beam_width=2, branching_factor=3, instances=2, node_order="diverse"), progress=told.append).collect()
+    assert [x["step"] for x in told] == list(range(1, len(told) + 1)) and told[-1]["waiting"] == 0
+    assert all(a["explored"] < b["explored"] and a["cut"] <= b["cut"] for a, b in zip(told, told[1:]))
+    one = {r.instance: r for r in done}
+    assert sum(r.explored for r in one.values()) == told[-1]["explored"] and sum(r["cut"] for r in one.values()) == told[-1]["cut"]
+    assert max(r.llh for r in done) <= max(x["best"] for x in told if x["best"] is not None)
+    probes = [n for n in read[:-1] if n != 1]  # one path: the step's own state; the last call gathers all
+    assert read[-1] == len(told) and all(n < len(told) - 1 for n in probes)
+    assert len({(r.instance, tuple(r.parents)) for r in done}) == len(done)
