@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from arbora.functions import clip, log_binom_pmf, softmax
 from arbora.functions.numeric import LLH_CLIP
+from arbora.operators.rank import global_rank, neighbours
+from arbora.plans import stash
 from arbora.sources.formats import require
 
 #: Relationships of clones i and j (fixed values): i is j's ancestor, its descendant, the same clone, on another branch.
@@ -89,7 +91,7 @@ def relation_loss(probs: DataFrame, truth: DataFrame, strict_lower: bool = False
     By default the pairs with b at most one place after a count, in mutation order, so neighbours count twice and the diagonal
     once; ``strict_lower`` takes each pair once. Both are divided by n (n - 1) / 2. ``truth`` (a, b, rel, q) itself scores 0.
     """
-    order = truth.select(F.col("a").alias("mut")).distinct().withColumn("place", F.row_number().over(Window.orderBy("mut")))
+    order = stash(global_rank(truth.select(F.col("a").alias("mut")).distinct(), [F.asc("mut")], "place"), "mutation_order", release=False)
     one = F.lit(1).alias("_one")
     methods = probs.select("method", one).distinct()
     full = probs.join(truth, ["a", "b", "rel"], "left").select("method", "a", "b", "rel", "p", F.coalesce("q", F.lit(0.0)).alias("q"))
@@ -125,8 +127,7 @@ def clone_relation_loss(probs: DataFrame, truth: DataFrame, members: DataFrame,
     weight = pairs / 2 + (F.lit(0) if strict_lower else F.when(own, F.col("n")).otherwise(0))
     total = loss.select("method", (F.col("jsd") * weight).alias("part"))
     if not strict_lower:
-        ahead = Window.orderBy("mut")  # one row for each mutation
-        near = mutations.select("i", "x", F.lead("i").over(ahead).alias("j"), F.lead("x").over(ahead).alias("y")).where("j is not null").groupBy(*classes).agg(F.count(F.lit(1)).alias("times"))
+        near = neighbours(mutations, [F.asc("mut")], ["i", "x"]).where("next is not null").select("i", "x", F.col("next.i").alias("j"), F.col("next.x").alias("y")).groupBy(*classes).agg(F.count(F.lit(1)).alias("times"))
         total = total.unionByName(loss.join(near, classes).select("method", (F.col("jsd") * F.col("times")).alias("part")))
     count = mutations.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
     total = total.groupBy("method").agg(F.sum("part").alias("s"), F.lit(1).alias("_one"))
@@ -140,7 +141,7 @@ def plot_score(llh: Column, nodes: Column, samples: Column) -> Column:
 
 def require_same_shape(sizes: DataFrame) -> None:
     """Fail unless all methods (method, size: the number of mutations and samples that they score) have one size."""
-    require(sizes.select("size").distinct().withColumn("nth", F.row_number().over(Window.orderBy("size"))).where("nth > 1"), "methods of different shapes")
+    require(sizes.agg(F.min("size").alias("low"), F.max("size").alias("high")).where("low < high"), "methods of different shapes")
 
 
 def method_scores(methods: DataFrame, scored: DataFrame, truth: str | None = "truth") -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions import EPSILON, clip, log_binom_pmf, safe_divide, wald_interval, wilson_interval
 from arbora.functions.numeric import LLH_CLIP, MIN_OMEGA, MIN_VAR_READS, MIN_VARIANCE, PAC_CLIP
+from arbora.operators.rank import global_rank
 
 
 def supervariants(members: DataFrame, *keys: str) -> DataFrame:
@@ -40,7 +41,7 @@ def var_weights(cells: DataFrame) -> DataFrame:
 def fsum_order(cells: DataFrame) -> DataFrame:
     """node, weight, rank: nodes by their summed implied frequency (not clipped), largest first, ties to the smaller node."""
     rows = cells.groupBy("node").agg(F.sum(safe_divide(F.col("v"), F.col("n") * F.col("omega"))).alias("weight"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("weight", 9)), "node")))
+    return global_rank(rows, [F.desc(F.round("weight", 9)), F.asc("node")]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def random_order(cells: DataFrame, seed: int, instance: int = 0) -> DataFrame:
@@ -48,7 +49,8 @@ def random_order(cells: DataFrame, seed: int, instance: int = 0) -> DataFrame:
     from arbora.functions import key_uniform
 
     u = key_uniform(F.concat_ws("|", F.lit(str(seed)), F.lit(str(instance)), F.col("node").cast("string")))
-    return cells.select("node").distinct().withColumn("rank", F.row_number().over(Window.orderBy(u, "node")))
+    rows = cells.select("node").distinct().withColumn("_luck", u)
+    return global_rank(rows, [F.asc("_luck"), F.asc("node")]).select("node", F.col("rank").cast("int").alias("rank"))
 
 
 def depth_rescale(cells: DataFrame) -> DataFrame:

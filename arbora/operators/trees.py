@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.numeric import ISA_SLACK
 from arbora.operators.euler import jump, subtree_sums, tour
+from arbora.operators.rank import global_rank
 from arbora.plans import drop, stash
 
 
@@ -59,8 +60,10 @@ def children(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def partial_parents(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, node, rank, parent_rank: placed nodes (parent >= 0) renumbered 1, 2, ... in node order; the root stays 0."""
     placed = edges.where("parent >= 0")
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("node")) if keys else F.dense_rank().over(Window.orderBy("node"))
-    ranked = placed.withColumn("rank", rank)
+    if keys:
+        ranked = placed.withColumn("rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy("node")))
+    else:
+        ranked = stash(global_rank(placed, [F.asc("node")]).withColumn("rank", F.col("rank").cast("int")), "ranked_nodes", release=False)
     up = ranked.select(*keys, F.col("node").alias("parent"), F.col("rank").alias("r"))
     return ranked.join(up, [*keys, "parent"], "left").select(*keys, "node", "rank", F.coalesce("r", F.lit(0)).alias("parent_rank"))
 

@@ -13,6 +13,7 @@ from arbora.operators import plotdata as V
 from arbora.operators import reads as R
 from arbora.operators import trees as T
 from arbora.operators.fit import fit_trees, frequencies, pack
+from arbora.operators.rank import exact_quantiles
 from arbora.operators.search import SearchParams, package, search
 from arbora.queries.reads import F_HAT_SQL, r6
 from arbora.queries.trees import PARENTS_SQL, TREE_LLH_SQL, tree_frequencies, tree_likelihoods
@@ -227,10 +228,10 @@ def sp_table(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def action_stats(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return S.actions(spark, d).groupBy("branch").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg(v)).alias("mean"), r6(F.median(v)).alias("median"), r6(F.max(v)).alias("max"), r6(F.min(v)).alias("min"), r6(F.percentile(v, 0.25)).alias("p25"), r6(F.percentile(v, 0.75)).alias("p75")
-    )
+    rows, v = S.actions(spark, d), F.col("value")
+    shares = exact_quantiles(rows, ["branch"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    plain = rows.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(v)).alias("mean"), r6(F.max(v)).alias("max"), r6(F.min(v)).alias("min"))
+    return plain.join(shares, "branch").select("branch", "n", "mean", r6("median").alias("median"), "max", "min", r6("p25").alias("p25"), r6("p75").alias("p75"))
 
 
 @query(
