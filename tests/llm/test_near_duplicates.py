@@ -226,3 +226,24 @@ def test_asymmetric_distances_are_within_the_coding_error():
     codes, error = model.encode(rows)
     true = np.linalg.norm(q[:, None] - rows[None], axis=2)
     assert (np.abs(model.distances(q, codes) - true) <= error + 1e-6).all()
+
+
+@pytest.mark.parametrize(("n", "most", "least"), [(51_200, 8, 0.99), (1_000_000, 22, 0.985), (100_000_000, 95, 0.98)])
+def test_probes_and_recall_of_planted_links_at_any_size(n, most, least):
+    """Lists of all vectors of so large a table, on isotropic vectors, the hardest ones; links at the very threshold."""
+    rng = np.random.default_rng(0)
+    coarse, levels = pq.layout(n, pq.LIST_ROWS, pq.COARSE_LISTS, pq.CODES, pq.SUBSPACES)
+    model = pq.fit(pq.unit(rng.normal(size=(max(64 * coarse, 4096), 64))), coarse)
+    x = pq.unit(rng.normal(size=(1000, 64)))
+    y = rng.normal(size=x.shape)
+    y = pq.unit(y - (x * y).sum(1, keepdims=True) * x)
+    cos = rng.uniform(0.95, 0.955, (1000, 1))
+    lists = pq.Lists(model, levels, 0.1**0.5 * pq.SLACK / 8)
+    homes, probed = [], []
+    for z in (x, cos * x + np.sqrt(1 - cos**2) * y):
+        home, row, probe = lists.place(z)
+        homes.append(home)
+        probed.append(set(zip(row.tolist(), probe.tolist())))
+        assert len(probe) / len(z) < most and all((i, h) in probed[-1] for i, h in enumerate(home.tolist()))
+    found = [(i, homes[1][i]) in probed[0] or (i, homes[0][i]) in probed[1] for i in range(len(x))]
+    assert np.mean(found) >= least
