@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.queries import analysis, reads, runs, trees
+from arbora.queries import analysis, choices, reads, runs, trees
 
-_MODULES = (reads, trees, analysis, runs)
+_MODULES = (reads, trees, analysis, runs, choices)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

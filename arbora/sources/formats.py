@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SSM = "id string, name string, var_reads string, total_reads string, var_read_prob string"
@@ -36,6 +36,17 @@ def require(rows: DataFrame, problem: str) -> None:
         raise InvalidInput(f"{n} rows: {problem}")
 
 
+def check(rows: DataFrame, problems: dict[str, Column], unique: dict[str, list[str]]) -> None:
+    """Fail if any row has a problem, or if rows agree in the columns that tell them apart: all rules in one job, the first that
+    is broken is named."""
+    ((repeated, keys),), counts = unique.items(), [F.count_if(x).alias(f"p{k}") for k, x in enumerate(problems.values())]
+    own = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *counts)
+    found = own.agg(*[F.sum(f"p{k}") for k in range(len(problems))], F.count_if(F.col("n") > 1)).first()
+    for problem, n in zip([*problems, repeated], found):
+        if n:
+            raise InvalidInput(f"{n} rows: {problem}")
+
+
 def read_ssm(spark: SparkSession, path: str, rescale_depth: bool = False) -> DataFrame:
     """id, name, var_reads, total_reads, var_read_prob (arrays over samples) of a tab-separated mutation file.
 
@@ -45,11 +56,16 @@ def read_ssm(spark: SparkSession, path: str, rescale_depth: bool = False) -> Dat
     raw = spark.read.csv(path, sep="\t", header=True, schema=SSM, enforceSchema=False)
     cast = lambda c, t: F.transform(F.split(c, r"\s*,\s*"), lambda x: x.try_cast(t)).alias(c)
     rows = raw.select("id", "name", cast("var_reads", "bigint"), cast("total_reads", "bigint"), cast("var_read_prob", "double"))
-    bad_count = lambda c: F.exists(c, lambda x: x.isNull() | (x < 0))
-    require(rows.where((F.size("var_reads") != F.size("total_reads")) | (F.size("var_reads") != F.size("var_read_prob"))), "lists of different lengths")
-    require(rows.where(bad_count("var_reads") | bad_count("total_reads")), "read counts must be whole numbers of 0 or more")
-    require(rows.where(F.exists("var_read_prob", lambda x: x.isNull() | (x <= 0) | (x > 1))), "probabilities must lie in (0, 1]")
-    require(rows.groupBy("id").count().where("count > 1"), "repeated ids")
+    bad = lambda c, test: F.exists(c, lambda x: x.isNull() | test(x))
+    check(
+        rows,
+        {
+            "lists of different lengths": (F.size("var_reads") != F.size("total_reads")) | (F.size("var_reads") != F.size("var_read_prob")),
+            "read counts must be whole numbers of 0 or more": bad("var_reads", lambda x: x < 0) | bad("total_reads", lambda x: x < 0),
+            "probabilities must lie in (0, 1]": bad("var_read_prob", lambda x: (x <= 0) | (x > 1)),
+        },
+        {"repeated ids": ["id"]},
+    )
     if not rescale_depth:
         return rows
     long = read_cells(rows)
@@ -94,17 +110,17 @@ def write_params(params: DataFrame, path: str) -> None:
 def with_clusters(params: DataFrame, clustering: DataFrame) -> DataFrame:
     """The one row of params with its clusters replaced by those of the one row of ``clustering``."""
     one = F.lit(1).alias("_one")
-    return params.drop("clusters").select("*", one).join(F.broadcast(clustering.select("clusters", one)), "_one").select("samples", "clusters", "garbage")
+    return params.drop("clusters").select("*", one).join(clustering.select("clusters", one), "_one").select("samples", "clusters", "garbage")
 
 
 def write_trees(trees: DataFrame, path: str) -> None:
     """Trees of ``TREE``'s columns, checked for rows of frequencies and for whole, finite values."""
-    for matrix in ("phi", "eta"):
-        require(trees.where(F.size(matrix) != F.size("parents") + 1), f"{matrix} needs a row for the root and each node")
-        require(trees.where(F.exists(matrix, lambda row: F.exists(row, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))), f"{matrix} holds values that are not finite")
-    require(trees.where(F.exists("parents", lambda p: p.isNull() | (p < 0) | (p > F.size("parents")))), "parents must be nodes of the tree")
-    require(trees.where(F.col("count").isNull() | (F.col("count") < 1) | F.col("llh").isNull()), "every tree needs a count and a log likelihood")
-    require(trees.groupBy("method", "tree_idx").count().where("count > 1"), "a method's trees need numbers of their own")
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    problems = {f"{m} needs a row for the root and each node": F.size(m) != F.size("parents") + 1 for m in ("phi", "eta")}
+    problems |= {f"{m} holds values that are not finite": F.exists(m, lambda row: F.exists(row, odd)) for m in ("phi", "eta")}
+    problems["parents must be nodes of the tree"] = F.exists("parents", lambda p: p.isNull() | (p < 0) | (p > F.size("parents")))
+    problems["every tree needs a count and a log likelihood"] = F.col("count").isNull() | (F.col("count") < 1) | F.col("llh").isNull()
+    check(trees, problems, {"a method's trees need numbers of their own": ["method", "tree_idx"]})
     trees.select(*_names(TREE)).write.parquet(path)
 
 
@@ -199,7 +215,7 @@ def to_method(trees: DataFrame, method: str, params: DataFrame) -> DataFrame:
     """Trees of a run under a method's name, each with the run's clusters."""
     one = F.lit(1).alias("_one")
     rows = trees.drop("method", "clusters").select(F.lit(method).alias("method"), "*", one)
-    return rows.join(F.broadcast(params.select("clusters", one)), "_one").drop("_one")
+    return rows.join(params.select("clusters", one), "_one").drop("_one")
 
 
 def write_assignment(rows: DataFrame, path: str) -> None:
