@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -14,65 +16,116 @@ from arbora.functions.numeric import LLH_CLIP, log_choose
 from arbora.operators.reads import variance_weight
 
 
-def fit_sample(parents: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(f, eta) for one tree and sample: minimises sum (f - target)^2 / weight with f[0] = 1 and f[v] >= sum of v's children.
+class Forest:
+    """Trees that share their subtrees: a subtree is a node with its subtrees below, and has one number in all trees."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, ...], int] = {}
+
+    def add(self, parents: Sequence[int]) -> tuple[list[int], list[list[int]], list[int]]:
+        """(nodes from the root down, children of each, number of each one's subtree) of a parents vector."""
+        below: list[list[int]] = [[] for _ in range(len(parents) + 1)]
+        for i, p in enumerate(parents):
+            if p >= 0:
+                below[p].append(i + 1)
+        order = [0]
+        for v in order:
+            order.extend(below[v])
+        own = [-1] * len(below)
+        for v in reversed(order):
+            own[v] = self.numbers.setdefault((v, *(own[c] for c in below[v])), len(self.numbers))
+        return order, below, own
+
 
-    ``parents[i]`` is the parent of node i + 1, below 0 for nodes that are not placed, whose results are NaN. ``target`` and
-    ``weight`` hold one value for each node 1..n.
+def _between(x: list[float], y: list[float], at: float) -> float:
+    """The piecewise-linear function through ascending x, constant beyond its ends."""
+    k = bisect_right(x, at)
+    if k == 0 or k == len(x):
+        return y[0] if k == 0 else y[-1]
+    return y[k - 1] + (y[k] - y[k - 1]) * ((at - x[k - 1]) / (x[k] - x[k - 1]))
 
-    Exact, by the multipliers of the constraints. Given the multiplier of the constraint above it, a node's frequency is a
-    falling piecewise-linear function; bottom up, the functions of a node's children are added and shifted by the node's own
-    term; the root's frequency fixes the first multiplier, and the rest follow top down.
+
+class SampleFit:
+    """Fits of many trees to one sample's targets and weights (one value for each node 1..n).
+
+    A fit minimises sum (f - target)^2 / weight with f[0] = 1 and f[v] >= sum of v's children. Exact, by the multipliers of the
+    constraints. Given the multiplier of the constraint above it, a node's frequency is a falling piecewise-linear function;
+    bottom up, the functions of a node's children are added and shifted by the node's own term; the root's frequency fixes the
+    first multiplier, and the rest follow top down. The functions of a subtree depend on it alone and are kept: trees that
+    differ in one node are new only on the way from there to the root.
     """
-    n = len(parents)
-    below: list[list[int]] = [[] for _ in range(n + 1)]
-    for i, p in enumerate(parents.tolist()):
-        if p >= 0:
-            below[p].append(i + 1)
-    order = [0]
-    for v in order:
-        order.extend(below[v])
-    knots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # node -> multiplier above, its frequency, multiplier below
-
-    def at(v: int, above: np.ndarray) -> np.ndarray:
-        lam, t, _ = knots[v]
-        free = target[v - 1] - above * weight[v - 1] / 2
-        return np.where(above < lam[0], free, np.interp(above, lam, t))
-
-    total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for v in reversed(order):
-        if below[v]:
-            mu = np.unique(np.concatenate([[0.0], *(knots[c][0] for c in below[v])]))
+
+    def __init__(self, target: np.ndarray, weight: np.ndarray):
+        self.target, self.weight = target, weight
+        self.total: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # subtree -> multiplier below, what the children then sum to
+        self.knots: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # subtree -> multiplier above, its frequency
+        self.lists: dict[int, tuple[list[float], list[float], list[float]]] = {}  # the same, and the multiplier below, for single values
+
+    def _at(self, v: int, own: int, above: np.ndarray) -> np.ndarray:
+        lam, t = self.knots[own]
+        return np.where(above < lam[0], self.target[v - 1] - above * self.weight[v - 1] / 2, np.interp(above, lam, t))
+
+    def _add(self, v: int, children: list[int], own: list[int]) -> None:
+        if children:
+            mu = np.unique(np.concatenate([[0.0], *(self.knots[own[c]][0] for c in children)]))
             mu = mu[mu >= 0]
-            x = np.maximum(sum(at(c, mu) for c in below[v]), 0.0)
+            x = np.maximum(sum(self._at(c, own[c], mu) for c in children), 0.0)
         else:
             mu, x = np.zeros(1), np.zeros(1)
-        total[v] = mu, x
+        self.total[own[v]] = mu, x
         if v:
-            knots[v] = mu - (x - target[v - 1]) * 2 / weight[v - 1], x, mu
-    f, multiplier = np.full(n + 1, np.nan), np.zeros(n + 1)
-    f[0] = 1.0
-    mu, x = total[0]
-    multiplier[0] = 0.0 if x[0] <= 1 else float(np.interp(-1.0, -x, mu))
-    for v in order:
-        for c in below[v]:
-            lam, _, own = knots[c]
-            f[c] = max(0.0, float(at(c, np.array([multiplier[v]]))[0]))
-            multiplier[c] = 0.0 if multiplier[v] <= lam[0] else float(np.interp(multiplier[v], lam, own))
-    eta = f.copy()
-    for v in order:
-        if below[v]:
-            eta[v] = max(0.0, f[v] - f[below[v]].sum())
-    return f, eta
+            lam = mu - (x - self.target[v - 1]) * 2 / self.weight[v - 1]
+            self.knots[own[v]] = lam, x
+            self.lists[own[v]] = lam.tolist(), x.tolist(), mu.tolist()
+
+    def fit(self, order: list[int], below: list[list[int]], own: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(f, eta) of a tree of ``Forest``; NaN for nodes that are not placed."""
+        for v in reversed(order):
+            if own[v] not in self.total:
+                self._add(v, below[v], own)
+        f, multiplier = [math.nan] * len(below), [0.0] * len(below)
+        f[0] = 1.0
+        mu, x = self.total[own[0]]
+        multiplier[0] = 0.0 if x[0] <= 1 else float(np.interp(-1.0, -x, mu))
+        for v in order:
+            m = multiplier[v]
+            for c in below[v]:
+                lam, t, under = self.lists[own[c]]
+                free = m < lam[0]
+                f[c] = max(0.0, float(self.target[c - 1] - m * self.weight[c - 1] / 2) if free else _between(lam, t, m))
+                multiplier[c] = 0.0 if m <= lam[0] else _between(lam, under, m)
+        eta = [max(0.0, x - math.fsum(f[c] for c in kids)) if kids else x for x, kids in zip(f, below)]
+        return np.array(f), np.array(eta)
+
+
+def fit_sample(parents: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(f, eta) for one tree and sample, see ``SampleFit``. ``parents[i]`` is the parent of node i + 1, below 0 for nodes that are
+    not placed."""
+    return SampleFit(target, weight).fit(*Forest().add(parents.tolist()))
+
+
+#: Subtrees of a batch whose functions are kept before a batch starts anew, over all samples.
+KEPT = 200_000
 
 
 def _fit_batch(parents: pa.Array, target: pa.Array, weight: pa.Array) -> pa.Array:
-    """One fit for each tree and sample; targets and weights are arrays over samples of arrays over nodes."""
-    out = []
+    """One fit for each tree and sample; targets and weights are arrays over samples of arrays over nodes.
+
+    The children of a branch stand side by side in a batch, so most of their subtrees are shared.
+    """
+    out, forest, samples = [], Forest(), {}
     for tree, targets, weights in zip(parents, target, weight):
-        up = np.array(tree.as_py())
-        fits = [fit_sample(up, t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(targets, weights)]
-        out.append([{"f": f, "eta": eta} for f, eta in fits])
+        if len(forest.numbers) * max(1, len(samples)) > KEPT:
+            forest, samples = Forest(), {}
+        shape, fits = forest.add(tree.as_py()), []
+        for t, w in zip(targets, weights):
+            t, w = t.values.to_numpy(), w.values.to_numpy()
+            key = t.tobytes(), w.tobytes()
+            if key not in samples:
+                samples[key] = SampleFit(t, w)
+            f, eta = samples[key].fit(*shape)
+            fits.append({"f": f, "eta": eta})
+        out.append(fits)
     return pa.array(out, pa.list_(pa.struct([("f", pa.list_(pa.float64())), ("eta", pa.list_(pa.float64()))])))
 
 

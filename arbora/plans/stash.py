@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -69,13 +70,20 @@ def stash(df: DataFrame, name: str, release: bool = True) -> DataFrame:
     return table
 
 
-def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Delete tables of ``stash``, or saved ones by their paths, that nothing will read again. Without a JVM beside the session
-    they stay."""
+def _delete(spark: SparkSession, folder: str) -> None:
     if jvm := getattr(spark, "_jvm", None):
-        for path in (t if isinstance(t, str) else _paths.pop(t) for t in tables):
-            at = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])  # its own folder, named by a uuid
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    else:
+        system, at = fs.FileSystem.from_uri(folder)
+        system.delete_dir(at)
+
+
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables of ``stash``, or saved ones by their paths, that nothing will read again: by the file access of the session
+    where it has a JVM beside it, else by that of Arrow, which knows local folders and the common object stores."""
+    for path in (t if isinstance(t, str) else _paths.pop(t) for t in tables):
+        _delete(spark, path.rsplit("/", 1)[0])  # its own folder, named by a uuid
 
 
 @contextmanager
