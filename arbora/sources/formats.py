@@ -5,12 +5,8 @@ Tables of trees and clusterings are Parquet with the columns of ``TREE`` and ``C
 
 from __future__ import annotations
 
-import io
-import json
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +14,6 @@ SSM = "id string, name string, var_reads string, total_reads string, var_read_pr
 PARAMS = "samples array<string>, clusters array<array<string>>, garbage array<string>"
 TREE = "method string, tree_idx int, parents array<int>, phi array<array<double>>, eta array<array<double>>, count bigint, llh double, prob double, newick string, clusters array<array<string>>"
 TRUTH = "phi array<array<double>>, structure array<int>, clusters array<array<string>>, vids_garbage array<string>"
-ARCHIVE = "path string, tree_idx int, parents array<int>, phi array<array<double>>, eta array<array<double>>, count bigint, llh double, prob double, newick string, clusters array<array<string>>, samples array<string>"
 CLUSTERING = "step int, size int, llh double, parents array<int>, clusters array<array<string>>, sv_clusters array<array<string>>"
 
 
@@ -128,44 +123,8 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TREE).parquet(path)
 
 
-def _array_type(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
-    kinds |= {f"array<array<{k}>>": pa.list_(pa.list_(kinds[k])) for k in ("double", "string")}
-    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
-
-
-def _archive_trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _array_type(ARCHIVE)
-    for batch in batches:
-        for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-            with np.load(io.BytesIO(content), allow_pickle=False) as z:
-
-                def get(key: str):
-                    if f"{key}.json" in z.files:
-                        return json.loads(str(z[f"{key}.json"]))
-                    return z[key].tolist() if key in z.files else None
-
-                trees = get("struct") or []
-                names = {"clusters": get("clusters"), "samples": get("sampnames") or get("samples")}
-                per_tree = {column: get(key) or [None] * len(trees) for column, key in (("phi", "phi"), ("eta", "eta"), ("count", "count"), ("llh", "llh"), ("prob", "prob"), ("newick", "newick"))}
-            if any(len(x) != len(trees) for x in per_tree.values()):
-                raise InvalidInput(f"{path}: lists of different lengths")
-            rows = [{"path": path, "tree_idx": i, "parents": t, **names, **{c: x[i] for c, x in per_tree.items()}} for i, t in enumerate(trees)]
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``ARCHIVE``'s columns of all .npz result files below a path (or that a glob names), one row for each tree.
-
-    A file holds arrays (struct, phi, eta, count, llh, prob, newick, by tree) and, as arrays of strings or as JSON text under the
-    key with ``.json``, clusters and sampnames. Missing keys give nulls. Files with pickled objects are refused.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInArrow(_archive_trees, ARCHIVE)
-
-
 def with_sample_names(trees: DataFrame, params: DataFrame) -> DataFrame:
-    """``trees`` of ``read_archives`` with the sample names of the one row of params where a file has none."""
+    """``trees`` of ``archive.read_archives`` with the sample names of the one row of params where a file has none."""
     one = F.lit(1).alias("_one")
     rows = trees.select("*", one).join(params.select(F.col("samples").alias("_samples"), one), "_one")
     return rows.withColumn("samples", F.coalesce("samples", "_samples")).drop("_one", "_samples")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arbora.operators import cluster, metrics
 from arbora.operators.search import SearchParams, package, search
 from arbora.plans import drop, save, shared_dir, stash, temporary
-from arbora.sources import formats
+from arbora.sources import archive, formats
 
 
 def cells_of(spark, shift, nodes=3, samples=2):
@@ -91,7 +91,7 @@ def test_archives(spark, tmp_path):
     (tmp_path / "runs" / "a").mkdir(parents=True)
     np.savez(tmp_path / "runs" / "a" / "x.npz", **one, **{"clusters.json": json.dumps([["s0"], ["s1"]]), "sampnames": np.array(["p", "q"])})
     np.savez(tmp_path / "runs" / "y.npz", struct=np.array([[0]]))
-    got = formats.read_archives(spark, str(tmp_path / "runs"))
+    got = archive.read_archives(spark, str(tmp_path / "runs"))
     rows = {(r.path.rsplit("/", 1)[1], r.tree_idx): r for r in got.collect()}
     assert set(rows) == {("x.npz", 0), ("x.npz", 1), ("y.npz", 0)}
     x = rows["x.npz", 1]
@@ -100,7 +100,7 @@ def test_archives(spark, tmp_path):
     assert {(r.path[-5:], tuple(r.samples)) for r in formats.with_sample_names(got, params).collect()} == {("x.npz", ("p", "q")), ("y.npz", ("u",))}
     np.savez(tmp_path / "bad.npz", **(one | {"llh": np.array([-1.0])}))
     with pytest.raises(Exception, match="different lengths"):
-        formats.read_archives(spark, str(tmp_path / "bad.npz")).collect()
+        archive.read_archives(spark, str(tmp_path / "bad.npz")).collect()
 
 
 def test_tables_go_when_dropped(spark):
