@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from arbora.llm import langid, packing, quality, simhash, substring
@@ -53,17 +54,31 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _finished(spark: SparkSession, marker: str) -> bool:
+    try:
+        return not spark.read.parquet(marker).isEmpty()
+    except AnalysisException:
+        return False
+
+
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to shared storage and read again for the next. What a stage
-    leaves there besides, and its rows once the next stage has used them, are deleted."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/arbora/{uuid.uuid4().hex}/stage-{k}"
+    leaves there besides, and its rows once the next stage has used them, are deleted.
+
+    A run with a ``name`` marks the stages that are done. If its driver is lost, another run of that name goes on after the last
+    of them; the caller sees to it that the input is the same.
+    """
+    folder = f"{shared_dir(spark)}/arbora/{name or uuid.uuid4().hex}"
+    rows, done = ([f"{folder}-{k}-{what}/{what}" for k in range(len(STAGES))] for what in ("rows", "done"))
+    last = max((k for k in range(len(STAGES)) if name and _finished(spark, done[k])), default=-1)
+    docs = spark.read.parquet(rows[last] if last >= 0 else f"{sf_dir}/documents.parquet")
+    for k in range(last + 1, len(STAGES)):
         with temporary(spark):
-            out = stage(spark, docs, sf_dir)
-            out.write.parquet(path)
-        docs = load(spark, out.schema, path)
-        if before:
-            drop(spark, before)
-        before = path
+            out = STAGES[k][1](spark, docs, sf_dir)
+            out.write.mode("overwrite").parquet(rows[k])
+        docs = load(spark, out.schema, rows[k])
+        if name:
+            spark.range(1).write.mode("overwrite").parquet(done[k])
+        if k:
+            drop(spark, rows[k - 1], *[done[k - 1]] * bool(name))
     return docs
