@@ -1,8 +1,10 @@
 """The pipeline's stages take effect, in order, on all that the stage before kept."""
 
+import uuid
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -78,3 +80,27 @@ def test_every_operator_is_registered():
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_a_named_run_goes_on_after_its_last_stage(spark, sf, monkeypatch):
+    calls, broken = [], [True]
+
+    def stage(k):
+        def run(spark, docs, sf_dir):
+            calls.append(k)
+            if k == 2 and broken[0]:
+                raise RuntimeError("lost")
+            return docs.withColumn(f"stage_{k}", F.lit(k))
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), stage(k)) for k in range(4)])
+    name = uuid.uuid4().hex
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf, name)
+    broken[0] = False
+    out = corpus_pipeline.run(spark, sf, name)
+    assert calls == [0, 1, 2, 2, 3] and out.columns[-4:] == [f"stage_{k}" for k in range(4)]
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert out.count() == n and corpus_pipeline.run(spark, sf, name).count() == n and len(calls) == 5
+    assert corpus_pipeline.run(spark, sf).count() == n and len(calls) == 9
