@@ -265,6 +265,10 @@ def test_loss_by_clones_is_the_loss_by_pairs(spark, strict):
 @pytest.mark.parametrize("metric", cluster.METRICS)
 def test_distances(spark, metric):
     a, b = np.array([1.0, 2.0, -3.0]), np.array([0.5, 0.0, 4.0])
-    want = {"euclidean": np.linalg.norm(a - b), "cityblock": np.abs(a - b).sum(), "chebyshev": np.abs(a - b).max(), "cosine": 1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b)}[metric]
+    d, c = np.abs(a - b), lambda x, y: 1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+    want = {
+        "euclidean": np.linalg.norm(a - b), "sqeuclidean": d @ d, "cityblock": d.sum(), "chebyshev": d.max(), "canberra": (d / (np.abs(a) + np.abs(b))).sum(),
+        "braycurtis": d.sum() / np.abs(a + b).sum(), "cosine": c(a, b), "correlation": c(a - a.mean(), b - b.mean()), "hamming": 1.0,
+    }[metric]
     df = spark.createDataFrame([(1, a.tolist()), (2, b.tolist())], "id int, x array<double>")
     assert abs(cluster.pairwise_distance(df, metric).first().dist - want) < 1e-12
