@@ -201,7 +201,7 @@ def ranks(rows: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -
     Of the N rows of at least ``min_words`` words, floor(N * percent / 100) are drawn: the highest scores, ties to the smaller
     id, rows without an id last. Rows that agree in both are told apart in any order.
     """
-    able = rows.withColumn("drawable", F.col("n_words") >= min_words)
+    able = stash(rows.withColumn("drawable", F.col("n_words") >= min_words), "scored", release=False)  # ranges are sampled: not weighed twice
     out = stash(global_rank(able, _order(), "place"), "ranked", release=False)
     size = out.where("drawable").count() * percent // 100
     return out.withColumn("rank", F.when(F.col("drawable") & (F.col("place") <= size), F.col("place"))).drop("drawable", "place")
