@@ -72,7 +72,8 @@ def links(fps: DataFrame, distance: int = 3, segments: int = 4) -> DataFrame:
     distance 3 these budgets are 0, 1, 2, 3. The join key holds the first two budgets: the first segment is equal, and the
     second is equal after at most one set bit of one side is cleared; so a key has 32 bits and a fingerprint has about 36
     keys. The longer chains are then checked, and last the full distance. No bound is put on the partners of a fingerprint;
-    as fingerprints are distinct, there are 43,744 others within 3 bits at most, so links don't grow with a group's square.
+    as fingerprints are distinct, there are 43,744 others within 3 bits at most, so links don't grow with a group's square. The
+    join is merged: Spark takes the exploded sides for as small as the file of ``fps`` and would broadcast them from the driver.
     """
     width = BITS // segments
     budget = [(i + 1) * distance // segments for i in range(segments)]
@@ -88,16 +89,19 @@ def links(fps: DataFrame, distance: int = 3, segments: int = 4) -> DataFrame:
     cond = (F.col("nth") > 0) | (F.col("pid") < F.col("id"))
     for i in range(2, segments):
         cond = cond & (F.bit_count(F.shiftrightunsigned(diff, BITS - width * (i + 1)) if i + 1 < segments else diff) <= budget[i])
-    return index.join(probe, "key").where(cond).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"))
+    return index.join(probe.hint("merge"), "key").where(cond).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"))
 
 
 def _groups(fps: DataFrame, distance: int) -> DataFrame:
-    """fp, node, component_id: for each distinct fingerprint the smallest one that links reach, and the smallest id among them."""
+    """fp, node, component_id: for each distinct fingerprint the smallest one that links reach, and the smallest id among them.
+
+    These tables grow with the documents, so here and below their joins are merged, not broadcast from the driver.
+    """
     distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct_fingerprints")
     comp = components(links(distinct.select(F.col("fp").alias("id"), "fp"), distance))
-    rows = stash(distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("node")), "node_of_fingerprint")
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("component_id"))
-    return stash(rows.select("fp", "node").join(first, "node"), "component_of_fingerprint")
+    rows = stash(distinct.join(comp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("node")), "node_of_fingerprint")
+    first = stash(rows.groupBy("node").agg(F.min("doc_id").alias("component_id")), "component_of_node")
+    return stash(rows.select("fp", "node").join(first.hint("merge"), "node"), "component_of_fingerprint")
 
 
 def simhash_groups(docs: DataFrame, distance: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +114,7 @@ def simhash_groups(docs: DataFrame, distance: int = 3, width: int = 3, id_col: s
     an empty result.
     """
     fps = stash(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    return fps.join(_groups(fps, distance), "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(_groups(fps, distance).hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:

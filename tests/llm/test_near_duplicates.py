@@ -95,6 +95,36 @@ def test_groups(spark):
     assert {(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got} == {(i, fps[i], want[i]) for i in fps}
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of all tables that are written."""
+    seen = []
+
+    def stash(df, name, release=True, write=simhash.stash):
+        seen.append(plan(df))
+        return write(df, name, release)
+
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "stash", stash)
+    return seen
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_table_that_grows_is_broadcast(spark, plans, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0, raising=False)
+    rows = some_docs()
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text")
+    groups = simhash.simhash_groups(docs)
+    plans.append(plan(groups))
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+    fps = {i: slow_fingerprint(t) for i, t, *_ in rows}
+    want = closure(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
+    assert {r.doc_id: r.component_id for r in groups.collect()} == want
+
+
 def test_kept_documents(spark):
     docs = spark.createDataFrame(some_docs(), DOCS)
     groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()}
