@@ -124,13 +124,13 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) ->
     in both any one. So rows that repeat, and rows without an id, are copies like others.
     """
     fps = stash(fingerprints(docs, width), "fingerprints")
-    rows = fps.join(_groups(fps, distance).select("fp", "node"), "fp").groupBy("node", "doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    rows = fps.join(_groups(fps, distance).select("fp", "node").hint("merge"), "fp").groupBy("node", "doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
     best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "times")).alias("best"))
     best = stash(best.select("best.*"), "kept_documents")
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("digest"))
-    once = keyed.join(best.where("times = 1"), same, "left_semi").select("row.*")
-    more = keyed.join(best.where("times > 1"), same, "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row"))
+    once = keyed.join(best.where("times = 1").hint("merge"), same, "left_semi").select("row.*")
+    more = keyed.join(best.where("times > 1").hint("merge"), same, "left_semi").groupBy("id", "hash").agg(F.first("row").alias("row"))
     return once.unionByName(more.select("row.*"))
 
 

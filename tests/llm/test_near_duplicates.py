@@ -125,6 +125,14 @@ def test_no_table_that_grows_is_broadcast(spark, plans, monkeypatch):
     assert {r.doc_id: r.component_id for r in groups.collect()} == want
 
 
+def test_no_text_or_kept_id_is_broadcast(spark, plans, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
+    docs = spark.createDataFrame(some_docs(), DOCS)
+    kept = simhash.drop_near_duplicates(docs)
+    plans.append(plan(kept))
+    assert "SortMergeJoin" in plans[-1] and not any("Broadcast" in p for p in plans)
+
+
 def test_kept_documents(spark):
     docs = spark.createDataFrame(some_docs(), DOCS)
     groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()}
